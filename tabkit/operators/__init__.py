@@ -37,7 +37,7 @@ from tabkit.operators.groups import (
     time_bucket_count,
     top_k,
 )
-from tabkit.operators.indexing import fit_string_indexer, index_labels, label_counts, rank_labels
+from tabkit.operators.indexing import fit_string_indexers, index_labels, label_counts, rank_labels
 from tabkit.operators.lookup import join_lookup, measured_bytes
 from tabkit.operators.metrics import classification_metrics, confusion_counts, metrics_row
 from tabkit.operators.quality import (

@@ -7,7 +7,7 @@ from itertools import combinations, combinations_with_replacement
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabkit.functions import is_complete
@@ -17,6 +17,9 @@ from tabkit.sources import settle
 # Up to here the pair sums of one aggregate beat the vector form; measured.
 SQL_COLUMNS = 8
 
+# Rows whose mean serves as the point to sum around.
+SHIFT_ROWS = 1000
+
 
 def _complete(df: DataFrame, columns: Sequence[str], weight: str | None) -> DataFrame:
     """The columns as doubles, only rows without NULL and NaN."""
@@ -26,43 +29,53 @@ def _complete(df: DataFrame, columns: Sequence[str], weight: str | None) -> Data
     return chosen.select(*numbers, *extra)
 
 
+def _near_centre(data: DataFrame, d: int) -> list[float]:
+    """A point among the rows: the mean of the first few, from a short job."""
+    rows = data.select(*[f"_x{i}" for i in range(d)]).take(SHIFT_ROWS)
+    return [sum(r[i] for r in rows) / len(rows) if rows else 0.0 for i in range(d)]
+
+
 def _moments(data: DataFrame, d: int, weighted: bool) -> DataFrame:
-    """One row with the centred pair sums ``_s{i}_{j}``; 0 for constants.
+    """One row with the centred pair sums ``_s{i}_{j}``, from one scan.
 
-    Means come first, as a scalar subquery, because sums around zero lose the
-    digits that matter.  A column with equal bounds is constant, whatever the
-    rounding of its mean says.
+    The sums are taken around a point among the rows and shifted to the mean
+    afterwards; sums around zero would lose the digits that matter.  A column
+    with equal bounds is constant, whatever its sums say: they become 0.
     """
-    w = F.col("_weight") if weighted else F.lit(1.0)
-    centre = data.agg(
-        F.struct(
-            *[F.try_divide(F.sum(F.col(f"_x{i}") * w), F.sum(w)).alias(f"m{i}") for i in range(d)],
-            *[(F.min(f"_x{i}") == F.max(f"_x{i}")).alias(f"c{i}") for i in range(d)],
-        )
-    ).scalar()
-    centred = data.select(
-        *[
-            F.when(centre[f"c{i}"], F.lit(0.0)).otherwise(F.col(f"_x{i}") - centre[f"m{i}"]).alias(f"_x{i}")
-            for i in range(d)
-        ],
+    shift = _near_centre(data, d)
+    times = " * _weight" if weighted else ""
+    shifted = data.select(
+        *[(F.col(f"_x{i}") - F.lit(k)).alias(f"_x{i}") for i, k in enumerate(shift)],
         *(["_weight"] if weighted else []),
     )
-    return centred.agg(
+    pairs = list(combinations_with_replacement(range(d), 2))
+    raw = shifted.agg(
+        F.expr("sum(_weight) AS _w" if weighted else "cast(count(1) as double) AS _w"),
+        *[F.expr(f"min(_x{i}) < max(_x{i}) AS _v{i}") for i in range(d)],
+        *[F.expr(f"sum(_x{i}{times}) AS _t{i}") for i in range(d)],
+        *[F.expr(f"sum(_x{i} * _x{j}{times}) AS _s{i}_{j}") for i, j in pairs],
+    )
+    return raw.select(
         *[
-            F.sum(F.col(f"_x{i}") * F.col(f"_x{j}") * w).alias(f"_s{i}_{j}")
-            for i, j in combinations_with_replacement(range(d), 2)
+            F.expr(
+                f"CASE WHEN _v{i} AND _v{j} THEN _s{i}_{j} - _t{i} * try_divide(_t{j}, _w) "
+                f"ELSE 0.0D END AS _s{i}_{j}"
+            )
+            for i, j in pairs
         ]
     )
 
 
-def _coefficient(i: int, j: int) -> Column:
-    """Pearson's r from the pair sums, within [-1, 1]; NULL for constants."""
-    own_i, own_j = F.col(f"_s{i}_{i}"), F.col(f"_s{j}_{j}")
+def _cell(i: int, j: int) -> str:
+    """Pearson's r of a pair from its sums, within [-1, 1]; NULL for constants."""
+    own_i, own_j = f"_s{i}_{i}", f"_s{j}_{j}"
+    both = f"_s{min(i, j)}_{max(i, j)}"
+    value = f"try_divide({both}, sqrt({own_i}) * sqrt({own_j}))"
     if i == j:
-        return F.when(own_i > 0, F.lit(1.0))
-    both = F.col(f"_s{min(i, j)}_{max(i, j)}")
-    value = F.try_divide(both, F.sqrt(own_i) * F.sqrt(own_j))
-    return F.when((own_i > 0) & (own_j > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value)))
+        value = "1.0D"
+    varies = f"{own_i} > 0 AND {own_j} > 0"
+    r = f"CASE WHEN {varies} THEN greatest(-1.0D, least(1.0D, {value})) END"
+    return f"named_struct('i', {i}, 'j', {j}, 'corr', {r})"
 
 
 def corr_long(
@@ -75,25 +88,22 @@ def corr_long(
 
     Rows with NULL or NaN in any of the columns are left out, or fail the job
     with ``null="error"``.  A constant column correlates with nothing: NULL.
-    Up to ``SQL_COLUMNS`` columns (and always with ``weight``) it is two
-    aggregates; a wider table goes through Spark ML, whose d x d matrix is
-    the only thing on the driver.
+    Up to ``SQL_COLUMNS`` columns (and always with ``weight``) it is one
+    aggregate, after a short look at the first rows; a wider table goes through
+    Spark ML, whose d x d matrix is the only thing on the driver.
     """
     data = _checked(df, columns, null)
     d = len(columns)
     if d > SQL_COLUMNS and weight is None:
         return _corr_wide_table(data, columns)
     sums = _moments(_complete(data, columns, weight), d, weight is not None)
-    cells = [
-        F.struct(
-            F.lit(a).alias("col_a"),
-            F.lit(b).alias("col_b"),
-            _coefficient(i, j).alias("corr"),
-        )
-        for i, a in enumerate(columns)
-        for j, b in enumerate(columns)
-    ]
-    return sums.select(F.inline(F.array(*cells)))
+    cells = ", ".join(_cell(i, j) for i in range(d) for j in range(d))
+    names = F.array(*[F.lit(c) for c in columns])
+    return sums.select(F.expr(f"inline(array({cells}))")).select(
+        F.element_at(names, F.col("i") + 1).alias("col_a"),
+        F.element_at(names, F.col("j") + 1).alias("col_b"),
+        "corr",
+    )
 
 
 def _checked(df: DataFrame, columns: Sequence[str], null: str) -> DataFrame:

@@ -106,34 +106,36 @@ def index_labels(
     return out
 
 
-def fit_string_indexer(
+def fit_string_indexers(
     df: DataFrame,
     columns: Sequence[str],
     outputs: Sequence[str],
     handle_invalid: str = "keep",
     max_labels: int = 10_000,
-) -> StringIndexerModel:
-    """A StringIndexerModel for all columns from one scan.
+) -> list[StringIndexerModel]:
+    """One StringIndexerModel per column, all from a single scan.
 
-    The model keeps its labels on the driver, so their number is measured
-    first; a column with more than ``max_labels`` is refused, and
+    A model keeps its labels on the driver, so no more of them are fetched than
+    the limit allows; a column with more than ``max_labels`` is refused, and
     :func:`index_labels` is the way for it.  The output columns carry the
     nominal metadata that tree models read.
     """
-    counts = settle(label_counts(df, columns))
-    sizes = _sizes(counts)
-    wide = [c for c, (labels, _) in sizes.items() if labels > max_labels]
-    if wide:
-        raise ValueError(f"more than {max_labels} labels in {', '.join(wide)}; use index_labels")
-    rows = rank_labels(counts).orderBy("column", "index").collect()
-    labels: dict[str, list[str]] = {c: [] for c in columns}
+    most = max_labels * len(columns)
+    rows = label_counts(df, columns).select("column", "value", "n").limit(most + 1).collect()
+    labels: dict[str, list[tuple[int, str]]] = {c: [] for c in columns}
     for r in rows:
-        labels[r["column"]].append(r["value"])
-    return StringIndexerModel.from_arrays_of_labels(
-        [labels[c] for c in columns],
-        inputCols=list(columns),
-        outputCols=list(outputs),
-        handleInvalid=handle_invalid,
-    )
-
-
+        labels[r["column"]].append((-r["n"], r["value"]))
+    wide = [c for c, found in labels.items() if len(found) > max_labels]
+    if wide or len(rows) > most:
+        raise ValueError(
+            f"more than {max_labels} labels in {', '.join(wide or columns)}; use index_labels"
+        )
+    return [
+        StringIndexerModel.from_labels(
+            [value for _, value in sorted(labels[c])],
+            inputCol=c,
+            outputCol=out,
+            handleInvalid=handle_invalid,
+        )
+        for c, out in zip(columns, outputs, strict=True)
+    ]

@@ -112,16 +112,20 @@ def impute_modes(
 ) -> DataFrame:
     """Fill NULL with the mode of the column, for all columns in one scan.
 
-    The modes enter as a one-row scalar subquery: no join, no round trip.  Pass
-    ``modes`` (a settled :func:`mode_row`) when the result feeds several
-    actions, so that they are not counted anew for each.  A column without any
-    value stays NULL.
+    The modes enter as a one-row scalar subquery, named once and read by each
+    column: no join, no round trip.  Pass ``modes`` (a settled
+    :func:`mode_row`) when the result feeds several actions, so that they are
+    not counted anew for each.  A column without any value stays NULL.
     """
     filled = df
     for part in slices(columns):
         row = mode_row(df, part, include_null) if modes is None else modes
         found = row.select(F.struct(*[F.col(f"`{c}`") for c in part])).scalar()
-        filled = filled.withColumns({c: F.coalesce(F.col(f"`{c}`"), found[c]) for c in part})
+        filled = (
+            filled.withColumn("_modes", found)
+            .withColumns({c: F.coalesce(F.col(f"`{c}`"), F.col("_modes")[c]) for c in part})
+            .drop("_modes")
+        )
     return filled
 
 

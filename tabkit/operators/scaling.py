@@ -24,19 +24,19 @@ def column_bounds(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def min_max(df: DataFrame, columns: Sequence[str], suffix: str = "_scaled") -> DataFrame:
     """Scale each column to [0, 1]; a constant column becomes 0.5, NULL stays.
 
-    The bounds are one aggregate over all columns and enter the projection as a
+    The bounds are one aggregate over all columns and enter the projection as one
     scalar subquery.
     """
     bounds = column_bounds(df, columns).select(F.struct(*[f"`{c}`" for c in columns])).scalar()
     added = {}
     for c in columns:
         x = as_number(df.schema[c].dataType, F.col(f"`{c}`")).cast("double")
-        low, high = bounds[c]["low"], bounds[c]["high"]
+        low, high = F.col("_bounds")[c]["low"], F.col("_bounds")[c]["high"]
         added[c + suffix] = F.when(
             x.isNotNull(),
             F.when(low == high, F.lit(0.5)).otherwise(F.try_divide(x - low, high - low)),
         )
-    return df.withColumns(added)
+    return df.withColumn("_bounds", bounds).withColumns(added).drop("_bounds")
 
 
 def min_max_vector(
