@@ -161,8 +161,7 @@ def poverty_clean_by_profile(spark: SparkSession, d: str) -> DataFrame:
     f"WITH {_POVERTY_READY} SELECT AGEP, count(*) AS n FROM ready GROUP BY 1 ORDER BY 1",
 )
 def poverty_age_counts(spark: SparkSession, d: str) -> DataFrame:
-    cleaned = poverty_plan.clean(poverty(spark, d))
-    return poverty_plan.age_counts(poverty_plan.adult_citizens(cleaned))
+    return poverty_plan.age_counts(poverty_plan.people(poverty(spark, d)))
 
 
 @query("poverty_ready", f"WITH {_POVERTY_READY} SELECT * FROM ready")
@@ -196,7 +195,7 @@ def poverty_numeric_correlation(spark: SparkSession, d: str) -> DataFrame:
     f"WITH {_POVERTY_READY}, {corr_categorical_sql(poverty_plan.CORRELATED_CATEGORIES, 'ready')}",
 )
 def poverty_category_correlation(spark: SparkSession, d: str) -> DataFrame:
-    ready = poverty_plan.adult_citizens(poverty_plan.clean(poverty(spark, d)))
+    ready = poverty_plan.people(poverty(spark, d))
     return rounded(poverty_plan.category_correlation(ready))
 
 
@@ -205,7 +204,7 @@ def poverty_category_correlation(spark: SparkSession, d: str) -> DataFrame:
     f"WITH {_POVERTY_READY} {cramers_sql(poverty_plan.CORRELATED_CATEGORIES, 'ready')}",
 )
 def poverty_category_association(spark: SparkSession, d: str) -> DataFrame:
-    ready = poverty_plan.adult_citizens(poverty_plan.clean(poverty(spark, d)))
+    ready = poverty_plan.people(poverty(spark, d))
     return poverty_plan.category_association(ready).withColumn("v", F.round("v", 6))
 
 
@@ -216,7 +215,7 @@ def poverty_category_association(spark: SparkSession, d: str) -> DataFrame:
     + " FROM ready",
 )
 def poverty_scaled(spark: SparkSession, d: str) -> DataFrame:
-    ready = poverty_plan.adult_citizens(poverty_plan.clean(poverty(spark, d)))
+    ready = poverty_plan.people(poverty(spark, d))
     scaled = poverty_plan.scaled(poverty_plan.without_leaks(ready))
     return scaled.select(
         "PERSON_KEY",
@@ -226,5 +225,5 @@ def poverty_scaled(spark: SparkSession, d: str) -> DataFrame:
 
 @query("poverty_status_forest")
 def poverty_status_forest(spark: SparkSession, d: str) -> DataFrame:
-    ready = poverty_plan.adult_citizens(poverty_plan.clean(poverty(spark, d)))
+    ready = poverty_plan.people(poverty(spark, d))
     return poverty_plan.status_forest(ready, seed=42, keys=["PERSON_KEY"]).metrics

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabkit import functions as fn
 from tabkit import operators as op
+from tabkit.sources import store
 
 # The columns of an arrests table and what each is for.
 IMPUTED = ("LAW_CAT_CD", "PERP_RACE")
@@ -84,12 +85,13 @@ def dated(df: DataFrame, month: str = "position") -> DataFrame:
 def prepared(raw: DataFrame, month: str = "position") -> DataFrame:
     """All steps before statistics and models.
 
-    The two modes and the weekday ranks are computed here, once; what returns
-    is one pass over the raw table.
+    The text is parsed once, into a stored table; the modes and the weekday
+    ranks are counted from that, and so is whatever follows.
     """
-    modes = op.settled_modes(op.null_tokens(raw), IMPUTED)
-    ready = dated(adults(typed(clean(raw, modes))), month)
-    indexed = op.index_labels(ready, ["DIA_SEMANA"])
+    named = store(op.null_tokens(raw), "arrests")
+    modes = op.settled_modes(named, IMPUTED)
+    whole = op.drop_missing(op.impute_modes(named, IMPUTED, modes=modes), REQUIRED)
+    indexed = op.index_labels(dated(adults(typed(whole)), month), ["DIA_SEMANA"])
     return indexed.withColumnRenamed("DIA_SEMANA_index", "DIA_SEMANA_INDEX")
 
 

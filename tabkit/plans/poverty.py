@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from tabkit import operators as op
+from tabkit.sources import store
 
 # The columns of a poverty table and what each is for.
 MOSTLY_MISSING = ("JWTR", "ENG", "WKW")
@@ -90,29 +91,40 @@ CITIZENS = (1, 2)
 FOREST = (100, 10)
 
 
-def clean(
-    raw: DataFrame, max_missing_pct: float | None = None, modes: DataFrame | None = None
-) -> DataFrame:
-    """Sentinels to NULL, sparse and unused columns dropped, modes filled in.
+def dense(raw: DataFrame, max_missing_pct: float | None = None) -> DataFrame:
+    """Sentinels to NULL, sparse and unused columns dropped.
 
     The sparse columns are the listed ones, or with ``max_missing_pct`` those
     that the profile of this table shows.
     """
     named = op.null_tokens(raw)
     if max_missing_pct is None:
-        dense = op.drop_columns(named, MOSTLY_MISSING, strict=False)
+        kept = op.drop_columns(named, MOSTLY_MISSING, strict=False)
     else:
-        dense = op.drop_sparse(named, max_missing_pct)
-    filled = op.impute_modes(dense, IMPUTED, modes=modes)
-    return op.drop_columns(filled, UNUSED, strict=False)
+        kept = op.drop_sparse(named, max_missing_pct)
+    return op.drop_columns(kept, UNUSED, strict=False)
+
+
+def clean(
+    raw: DataFrame, max_missing_pct: float | None = None, modes: DataFrame | None = None
+) -> DataFrame:
+    """:func:`dense`, with the modes filled in.
+
+    ``modes`` as in :func:`tabkit.operators.impute_modes`.
+    """
+    return op.impute_modes(dense(raw, max_missing_pct), IMPUTED, modes=modes)
+
+
+def typed(cleaned: DataFrame) -> DataFrame:
+    """The declared number types."""
+    return op.cast_columns(cleaned, CASTS)
 
 
-def adult_citizens(cleaned: DataFrame) -> DataFrame:
-    """Typed, and only adults who are citizens.
+def adult_citizens(numbers: DataFrame) -> DataFrame:
+    """Only adults who are citizens, from a typed table.
 
-    Numbers are compared as numbers, after the cast.
+    Numbers are compared as numbers; the bound on the age reaches the scan.
     """
-    numbers = op.cast_columns(cleaned, CASTS)
     adults = op.filter_range(numbers, "AGEP", low=ADULT_AGE)
     return op.filter_in(adults, "CitizenStatus", CITIZENS, kind="int")
 
@@ -136,10 +148,20 @@ def enriched(df: DataFrame) -> DataFrame:
     )
 
 
+def people(raw: DataFrame, max_missing_pct: float | None = None) -> DataFrame:
+    """Cleaned and typed adult citizens, read from a stored table.
+
+    The text is parsed once; modes, filters and all later steps read the typed
+    columns they need.
+    """
+    table = store(typed(dense(raw, max_missing_pct)), "poverty")
+    modes = op.settled_modes(table, IMPUTED)
+    return adult_citizens(op.impute_modes(table, IMPUTED, modes=modes))
+
+
 def prepared(raw: DataFrame) -> DataFrame:
     """All steps before statistics and models."""
-    modes = op.settled_modes(op.null_tokens(raw), IMPUTED)
-    return enriched(adult_citizens(clean(raw, modes=modes)))
+    return enriched(people(raw))
 
 
 def numeric_correlation(ready: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-from tabkit.sources.scratch import settle, shared_dir, shared_path
+from tabkit.sources.scratch import settle, shared_dir, shared_path, store
 from tabkit.sources.tables import matrix_frame, preview, read_csv_text, read_table
 
 __all__ = [
@@ -9,4 +9,5 @@ __all__ = [
     "settle",
     "shared_dir",
     "shared_path",
+    "store",
 ]

@@ -39,3 +39,14 @@ def settle(df: DataFrame) -> DataFrame:
     """
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as parquet in the shared folder and read it back.
+
+    For a large table that several later steps read: text is parsed once, and
+    each step then reads only its own columns and row groups.
+    """
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
