@@ -2,66 +2,68 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SLOT = "_slot"
+COLUMN = "_column"
 COUNT = "_n"
 ROWS = "_rows"
 
-# A grouping id is a 64-bit number; wider lists are counted in several scans.
-SLOTS_PER_SCAN = 60
+# Types whose values share one bigint column.
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 
-def slices(columns: Sequence[str]) -> Iterator[list[str]]:
-    """The column list in parts that one scan can count."""
-    for start in range(0, len(columns), SLOTS_PER_SCAN):
-        yield list(columns[start : start + SLOTS_PER_SCAN])
+def value_homes(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[str, str]]:
+    """Per column the value column that :func:`count_values` puts it in, and its type."""
+    kinds = dict(df.dtypes)
+    types = {c: "bigint" if kinds[c] in _WHOLE else kinds[c] for c in columns}
+    order = list(dict.fromkeys(types.values()))
+    return {c: (f"_value{order.index(t)}", t) for c, t in types.items()}
 
 
 def count_values(
     df: DataFrame, columns: Sequence[str], weight: str | None = None
 ) -> DataFrame:
-    """Count of every value of every column, one grouping set per column.
+    """Count of every value of every column; NULL is a value.
 
-    Returns the columns in their own types, of which only the one that ``_slot``
-    points at is filled, ``_rows``, and ``_n``: the sum of ``weight``, or the
-    rows again.  The counts are combined before the shuffle, so a value that
-    fills a third of the rows costs one row per task.
+    Returns ``_column``, ``_rows``, ``_n`` (the sum of ``weight``, or the rows
+    again) and one value column per type, of which the one that
+    :func:`value_homes` names for the column is filled.  Columns of one type are
+    unpivoted and counted together, so each is read once and the grouping key
+    stays two columns wide.  The counts are combined before the shuffle: a
+    value that fills a third of the rows costs one row per task.
     """
-    if len(columns) > SLOTS_PER_SCAN:
-        raise ValueError(f"at most {SLOTS_PER_SCAN} columns per scan")
-    cols = [F.col(f"`{c}`") for c in columns]
-    everything = (1 << len(columns)) - 1
-    slot = F.lit(None).cast("int")
-    for i in range(len(columns)):
-        grouping = everything - (1 << (len(columns) - 1 - i))
-        slot = F.when(F.col("_grouping") == grouping, F.lit(i)).otherwise(slot)
-    extra = [] if weight is None else [F.col(f"`{weight}`").alias("_weight")]
-    total = F.count(F.lit(1)) if weight is None else F.sum("_weight")
-    return (
-        df.select(*cols, *extra)
-        .groupingSets([[c] for c in cols], *cols)
-        .agg(
-            F.count(F.lit(1)).alias(ROWS),
-            total.alias(COUNT),
-            F.grouping_id().alias("_grouping"),
+    homes = value_homes(df, columns)
+    types = dict(homes.values())
+    keep = [] if weight is None else ["_weight"]
+    parts = []
+    for home, kind in types.items():
+        own = [c for c in columns if homes[c][0] == home]
+        chosen = df.select(
+            *[F.col(f"`{c}`").cast(kind).alias(c) for c in own],
+            *([] if weight is None else [F.col(f"`{weight}`").alias("_weight")]),
         )
-        .withColumn(SLOT, slot)
-        .drop("_grouping")
-    )
-
-
-def slot_text(columns: Sequence[str]) -> Column:
-    """The filled value of a :func:`count_values` row as text."""
-    picks = [
-        F.when(F.col(SLOT) == i, F.col(f"`{c}`").cast("string")) for i, c in enumerate(columns)
-    ]
-    return F.coalesce(*picks)
+        total = F.count(F.lit(1)) if weight is None else F.sum("_weight")
+        counted = (
+            chosen.unpivot(keep, [F.col(f"`{c}`") for c in own], COLUMN, home)
+            .groupBy(COLUMN, home)
+            .agg(F.count(F.lit(1)).alias(ROWS), total.alias(COUNT))
+        )
+        parts.append(
+            counted.select(
+                COLUMN,
+                ROWS,
+                COUNT,
+                *[(F.col(h) if h == home else F.lit(None).cast(k)).alias(h) for h, k in types.items()],
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
 
 
-def slot_name(columns: Sequence[str]) -> Column:
-    """The column name a :func:`count_values` row belongs to."""
-    return F.element_at(F.array(*[F.lit(c) for c in columns]), F.col(SLOT) + 1)
+def value_text(df: DataFrame, columns: Sequence[str]) -> Column:
+    """The value of a :func:`count_values` row as text."""
+    homes = dict.fromkeys(h for h, _ in value_homes(df, columns).values())
+    return F.coalesce(*[F.col(h).cast("string") for h in homes])

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.ml.feature import StringIndexerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabkit.operators.counts import COUNT, ROWS, count_values, slices, slot_name, slot_text
+from tabkit.operators.counts import COLUMN, COUNT, ROWS, count_values, value_text
 from tabkit.operators.lookup import BROADCAST_BYTES, join_lookup, row_bytes
 from tabkit.operators.ranking import number_rows
 from tabkit.sources import settle
@@ -22,18 +21,16 @@ def label_counts(
 
     ``n`` is the sum of ``weight`` for a table whose rows carry a count.
     """
-    parts = []
-    for part in slices(columns):
-        counted = count_values(df, part, weight)
-        parts.append(
-            counted.select(
-                slot_name(part).alias("column"),
-                slot_text(part).alias("value"),
-                F.col(COUNT).alias("n"),
-                F.col(ROWS).alias("rows"),
-            ).where(F.col("value").isNotNull())
+    return (
+        count_values(df, columns, weight)
+        .select(
+            F.col(COLUMN).alias("column"),
+            value_text(df, columns).alias("value"),
+            F.col(COUNT).alias("n"),
+            F.col(ROWS).alias("rows"),
         )
-    return reduce(DataFrame.unionByName, parts)
+        .where(F.col("value").isNotNull())
+    )
 
 
 def _sizes(counts: DataFrame) -> dict[str, tuple[int, int]]:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabkit.functions import MISSING_TOKENS, is_missing
-from tabkit.operators.counts import COUNT, SLOT, count_values, slices
+from tabkit.operators.counts import COLUMN, COUNT, count_values, value_homes
 from tabkit.sources import settle
 
 
@@ -59,26 +59,33 @@ def missing_profile(
     )
 
 
-def _best(slot: int, column: str, include_null: bool) -> Column:
-    """Most frequent value of a slot; ties go to the smallest value."""
-    value = F.col(f"`{column}`")
-    mine = F.col(SLOT) == slot
-    if not include_null:
-        mine = mine & value.isNotNull()
-    return F.min(F.when(mine, F.struct((-F.col(COUNT)).alias("k"), value.alias("v"))))
+def _modes(df: DataFrame, columns: Sequence[str], include_null: bool) -> DataFrame:
+    """One row; per column a struct of the negative count and the best value.
+
+    Values are counted first and only the best one of each column is kept, so
+    neither step gathers a column in one task.
+    """
+    homes = value_homes(df, columns)
+    best = []
+    for i, c in enumerate(columns):
+        value = F.col(homes[c][0])
+        mine = F.col(COLUMN) == c
+        if not include_null:
+            mine = mine & value.isNotNull()
+        typed = value.cast(df.schema[c].dataType).alias("v")
+        best.append(
+            F.min(F.when(mine, F.struct((-F.col(COUNT)).alias("k"), typed))).alias(f"_{i}")
+        )
+    return count_values(df, columns).agg(*best)
 
 
 def mode_row(df: DataFrame, columns: Sequence[str], include_null: bool = False) -> DataFrame:
     """One row with the mode of each column, in the column's own type.
 
-    NULL is not a candidate unless ``include_null`` is set (with it, NULL wins
-    a tie).  Values are counted first and only the best one of each column is
-    kept, so neither step gathers a column in one task.
+    Ties go to the smallest value.  NULL is not a candidate unless
+    ``include_null`` is set; with it, NULL wins a tie.
     """
-    if len(list(slices(columns))) > 1:
-        raise ValueError("too many columns for one scan; use column_modes")
-    counted = count_values(df, columns)
-    best = counted.agg(*[_best(i, c, include_null).alias(f"_{i}") for i, c in enumerate(columns)])
+    best = _modes(df, columns, include_null)
     return best.select(*[F.col(f"_{i}.v").alias(c) for i, c in enumerate(columns)])
 
 
@@ -86,22 +93,17 @@ def column_modes(
     df: DataFrame, columns: Sequence[str], include_null: bool = False
 ) -> DataFrame:
     """``(column, value, n)`` with the mode of each column as text."""
-    parts = []
-    for part in slices(columns):
-        counted = count_values(df, part)
-        best = counted.agg(*[_best(i, c, include_null).alias(f"_{i}") for i, c in enumerate(part)])
-        lines = F.array(
-            *[
-                F.struct(
-                    F.lit(c).alias("column"),
-                    F.col(f"_{i}.v").cast("string").alias("value"),
-                    (-F.col(f"_{i}.k")).alias("n"),
-                )
-                for i, c in enumerate(part)
-            ]
-        )
-        parts.append(best.select(F.inline(lines)))
-    return reduce(DataFrame.unionByName, parts)
+    lines = F.array(
+        *[
+            F.struct(
+                F.lit(c).alias("column"),
+                F.col(f"_{i}.v").cast("string").alias("value"),
+                (-F.col(f"_{i}.k")).alias("n"),
+            )
+            for i, c in enumerate(columns)
+        ]
+    )
+    return _modes(df, columns, include_null).select(F.inline(lines))
 
 
 def impute_modes(
@@ -110,23 +112,20 @@ def impute_modes(
     include_null: bool = False,
     modes: DataFrame | None = None,
 ) -> DataFrame:
-    """Fill NULL with the mode of the column, for all columns in one scan.
+    """Fill NULL with the mode of the column, counted for all columns together.
 
     The modes enter as a one-row scalar subquery, named once and read by each
     column: no join, no round trip.  Pass ``modes`` (a settled
     :func:`mode_row`) when the result feeds several actions, so that they are
     not counted anew for each.  A column without any value stays NULL.
     """
-    filled = df
-    for part in slices(columns):
-        row = mode_row(df, part, include_null) if modes is None else modes
-        found = row.select(F.struct(*[F.col(f"`{c}`") for c in part])).scalar()
-        filled = (
-            filled.withColumn("_modes", found)
-            .withColumns({c: F.coalesce(F.col(f"`{c}`"), F.col("_modes")[c]) for c in part})
-            .drop("_modes")
-        )
-    return filled
+    row = mode_row(df, columns, include_null) if modes is None else modes
+    found = row.select(F.struct(*[F.col(f"`{c}`") for c in columns])).scalar()
+    return (
+        df.withColumn("_modes", found)
+        .withColumns({c: F.coalesce(F.col(f"`{c}`"), F.col("_modes")[c]) for c in columns})
+        .drop("_modes")
+    )
 
 
 def settled_modes(df: DataFrame, columns: Sequence[str], include_null: bool = False) -> DataFrame:

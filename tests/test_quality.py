@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +55,9 @@ def test_mode_ignores_null_and_breaks_ties_low(ansi, edge):
 
 def test_mode_keeps_the_type(spark):
     df = spark.createDataFrame([(9, "x"), (10, "x"), (9, "y"), (10, "y")], "n int, s string")
+    df = df.selectExpr("n", "s", "date '2024-01-01' as d", "n > 9 as b", "cast(n as decimal(9, 2)) as m")
+    odd = {r["column"]: r["value"] for r in op.column_modes(df, df.columns).collect()}
+    assert odd == {"n": "9", "s": "x", "d": "2024-01-01", "b": "false", "m": "9.00"}
     row = op.mode_row(df, ["n", "s"])
     assert row.schema["n"].dataType.simpleString() == "int"
     assert rows(row) == [(9, "x")]
@@ -81,11 +86,20 @@ def test_impute_leaves_nothing_missing(ansi, edge):
 def test_impute_counts_values_once(spark, tmp_path, edge):
     edge.write.parquet(str(tmp_path / "e"))
     df = spark.read.parquet(str(tmp_path / "e"))
-    plan = executed(op.impute_modes(df, ["cat", "num", "label"]))
+    plan = executed(op.impute_modes(df, ["cat", "label"]))
     final = plan.split("== Initial Plan ==")[0]
     assert final.count("Expand") == 1 and "Join" not in final
 
 
+def test_modes_read_each_column_once(spark, tmp_path, edge):
+    edge.write.parquet(str(tmp_path / "e"))
+    df = spark.read.parquet(str(tmp_path / "e"))
+    plan = executed(op.column_modes(df, ["cat", "num", "label", "id"]))
+    final = plan.split("== Initial Plan ==")[0]
+    schemas = sorted(re.findall(r"ReadSchema: struct<([^>]*)>", final))
+    assert schemas == ["cat:string,label:string", "id:bigint", "num:double"]
+
+
 def test_impute_with_given_modes(edge):
     clean = op.null_tokens(edge)
     modes = op.settled_modes(clean, ["cat"])
