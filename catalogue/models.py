@@ -1,4 +1,9 @@
-"""Random forests on labelled documents.  SQL has no twin for these."""
+"""Random forests.
+
+SQL has no twin for a forest on real labels, so those queries carry none.  The
+``_rule`` queries train on orders whose label follows from one feature; a forest
+that works must find the rule, and then SQL knows every answer.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +14,7 @@ from pyspark.sql import functions as F
 from catalogue.inputs import labelled_documents
 from catalogue.registry import query
 from tabkit import operators as op
+from tabkit.sources import read_table
 
 _SEED = 42
 _CATEGORIES = ("lang", "source")
@@ -64,3 +70,65 @@ def rf_sweep(spark: SparkSession, d: str) -> DataFrame:
         op.ForestParams(_SEED, 20, 20),
     ]
     return op.sweep(train, test, _features(train, scale=False), params)
+
+
+# The order state decides nothing, the priority everything.
+_RULE = "CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'fast' ELSE 'slow' END AS speed"
+_RULE_FEATURES = ("o_orderstatus", "o_orderpriority")
+_RULE_FORESTS = ((10, 5), (50, 5), (20, 20))
+_TRAIN = (
+    "CAST('0x' || substring(md5(CAST(o_orderkey AS VARCHAR)), 1, 8) AS BIGINT) % 100 < 80 AS train"
+)
+_RULE_SQL = f"""WITH t AS (SELECT o_orderkey, {_RULE}, {_TRAIN} FROM orders),
+    x AS (SELECT speed, CAST(row_number() OVER (ORDER BY count(*) DESC, speed) - 1 AS DOUBLE) AS i
+      FROM t WHERE train GROUP BY speed)
+    SELECT o_orderkey, i AS label, i AS prediction FROM t JOIN x USING (speed) WHERE NOT train"""
+
+
+def _rule_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    orders = read_table(spark, d, "orders").selectExpr("o_orderkey", *_RULE_FEATURES, _RULE)
+    return op.split_by_key(orders, ["o_orderkey"])
+
+
+def _rule_predicted(spark: SparkSession, d: str, scale: bool) -> DataFrame:
+    train, test = _rule_parts(spark, d)
+    features = op.fit_features(train, _RULE_FEATURES, "speed", scale=scale)
+    model = op.train_forest(op.apply_features(features, train), features, op.ForestParams(_SEED, 10))
+    return op.predict(model, features, test).select("o_orderkey", "label", "prediction")
+
+
+@query("rf_predict_rule", _RULE_SQL)
+def rf_predict_rule(spark: SparkSession, d: str) -> DataFrame:
+    return _rule_predicted(spark, d, scale=False)
+
+
+@query("rf_predict_scaled_rule", _RULE_SQL)
+def rf_predict_scaled_rule(spark: SparkSession, d: str) -> DataFrame:
+    return _rule_predicted(spark, d, scale=True)
+
+
+@query(
+    "rf_importance_rule",
+    """SELECT 'o_orderpriority_index' AS feature, 1.0::DOUBLE AS importance
+    UNION ALL SELECT 'o_orderstatus_index', 0.0::DOUBLE""",
+)
+def rf_importance_rule(spark: SparkSession, d: str) -> DataFrame:
+    train, _ = _rule_parts(spark, d)
+    features = op.fit_features(train, _RULE_FEATURES, "speed")
+    model = op.train_forest(op.apply_features(features, train), features, op.ForestParams(_SEED, 10))
+    return op.importances(model, features)
+
+
+@query(
+    "rf_sweep_rule",
+    "SELECT num_trees, max_depth, metric, 1.0::DOUBLE AS \"value\" FROM (VALUES "
+    + ", ".join(f"({n}, {k})" for n, k in _RULE_FORESTS)
+    + ") AS f(num_trees, max_depth), (VALUES ('accuracy'), ('weightedPrecision'), "
+    "('weightedRecall'), ('f1')) AS m(metric)",
+)
+def rf_sweep_rule(spark: SparkSession, d: str) -> DataFrame:
+    train, test = _rule_parts(spark, d)
+    params = [op.ForestParams(_SEED, n, k) for n, k in _RULE_FORESTS]
+    features = op.fit_features(train, _RULE_FEATURES, "speed")
+    table = op.sweep(train, test, features, params)
+    return table.withColumn("value", F.round("value", 9))
