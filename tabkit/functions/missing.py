@@ -45,8 +45,11 @@ def is_missing(
 
 
 def is_complete(fields: Sequence[T.StructField]) -> Column:
-    """True where none of the columns is NULL or NaN."""
-    return reduce(and_, [~is_missing(f, tokens=()) for f in fields], F.lit(True))
+    """True where no column is NULL and no floating column is NaN."""
+    tests = [
+        ~is_missing(f, tokens=(), nan=not isinstance(f.dataType, T.StringType)) for f in fields
+    ]
+    return reduce(and_, tests, F.lit(True))
 
 
 def not_equal_keep_null(c: Column, value: object) -> Column:

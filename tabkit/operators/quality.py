@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabkit.functions import MISSING_TOKENS, is_missing
+from tabkit.functions import MISSING_TOKENS, is_complete, is_missing
 from tabkit.operators.counts import COLUMN, COUNT, count_values, value_homes
 from tabkit.sources import settle
 
@@ -134,13 +133,13 @@ def settled_modes(df: DataFrame, columns: Sequence[str], include_null: bool = Fa
 
 
 def drop_missing(df: DataFrame, subset: Sequence[str]) -> DataFrame:
-    """Drop rows with NULL in any of the columns."""
+    """Drop rows with NULL (or, in a floating column, NaN) in any of the columns."""
     return df.dropna(how="any", subset=list(subset))
 
 
 def rows_before_after(df: DataFrame, subset: Sequence[str]) -> DataFrame:
     """``(n_before, n_after)`` of :func:`drop_missing`, from one scan."""
-    whole = reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in subset])
+    whole = is_complete([df.schema[c] for c in subset])
     return df.agg(
         F.count(F.lit(1)).alias("n_before"), F.count_if(whole).alias("n_after")
     )

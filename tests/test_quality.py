@@ -117,8 +117,9 @@ def test_hot_value_is_combined_before_the_shuffle(spark):
 
 def test_rows_before_after_matches_the_drop(ansi, edge):
     clean = op.null_tokens(edge)
-    before, after = op.rows_before_after(clean, ["cat", "num"]).head()
-    assert before == clean.count() and after == op.drop_missing(clean, ["cat", "num"]).count()
+    for subset in (["cat", "num"], ["num"], ["txt_num", "num"]):
+        before, after = op.rows_before_after(clean, subset).head()
+        assert before == clean.count() and after == op.drop_missing(clean, subset).count()
 
 
 @pytest.mark.parametrize("limit, gone", [(10.0, {"cat", "txt_num", "num"}), (50.0, {"cat"}), (99.0, set())])
