@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations, combinations_with_replacement
 
@@ -15,7 +16,7 @@ from tabkit.operators.indexing import index_labels
 from tabkit.sources import settle
 
 # Up to here the pair sums of one aggregate beat the vector form; measured.
-SQL_COLUMNS = 8
+SQL_COLUMNS = 10
 
 # Rows whose mean serves as the point to sum around.
 SHIFT_ROWS = 1000
@@ -35,47 +36,58 @@ def _near_centre(data: DataFrame, d: int) -> list[float]:
     return [sum(r[i] for r in rows) / len(rows) if rows else 0.0 for i in range(d)]
 
 
-def _moments(data: DataFrame, d: int, weighted: bool) -> DataFrame:
-    """One row with the centred pair sums ``_s{i}_{j}``, from one scan.
+Pairs = dict[tuple[int, int], float | None]
+
+
+def _pearson(data: DataFrame, d: int, weighted: bool) -> Pairs:
+    """Pearson's r of every unordered pair, from one aggregate over one scan.
 
     The sums are taken around a point among the rows and shifted to the mean
     afterwards; sums around zero would lose the digits that matter.  A column
-    with equal bounds is constant, whatever its sums say: they become 0.
+    with equal bounds is constant, whatever its sums say.
     """
-    shift = _near_centre(data, d)
     times = " * _weight" if weighted else ""
     shifted = data.select(
-        *[(F.col(f"_x{i}") - F.lit(k)).alias(f"_x{i}") for i, k in enumerate(shift)],
+        *[
+            (F.col(f"_x{i}") - F.lit(k)).alias(f"_x{i}")
+            for i, k in enumerate(_near_centre(data, d))
+        ],
         *(["_weight"] if weighted else []),
     )
     pairs = list(combinations_with_replacement(range(d), 2))
-    raw = shifted.agg(
-        F.expr("sum(_weight) AS _w" if weighted else "cast(count(1) as double) AS _w"),
-        *[F.expr(f"min(_x{i}) < max(_x{i}) AS _v{i}") for i in range(d)],
-        *[F.expr(f"sum(_x{i}{times}) AS _t{i}") for i in range(d)],
-        *[F.expr(f"sum(_x{i} * _x{j}{times}) AS _s{i}_{j}") for i, j in pairs],
-    )
-    return raw.select(
-        *[
-            F.expr(
-                f"CASE WHEN _v{i} AND _v{j} THEN _s{i}_{j} - _t{i} * try_divide(_t{j}, _w) "
-                f"ELSE 0.0D END AS _s{i}_{j}"
-            )
-            for i, j in pairs
-        ]
-    )
-
+    row = shifted.agg(
+        F.expr("sum(_weight) AS w" if weighted else "cast(count(1) as double) AS w"),
+        *[F.expr(f"min(_x{i}) < max(_x{i}) AS varies{i}") for i in range(d)],
+        *[F.expr(f"sum(_x{i}{times}) AS t{i}") for i in range(d)],
+        *[F.expr(f"sum(_x{i} * _x{j}{times}) AS s{i}_{j}") for i, j in pairs],
+    ).head()
 
-def _cell(i: int, j: int) -> str:
-    """Pearson's r of a pair from its sums, within [-1, 1]; NULL for constants."""
-    own_i, own_j = f"_s{i}_{i}", f"_s{j}_{j}"
-    both = f"_s{min(i, j)}_{max(i, j)}"
-    value = f"try_divide({both}, sqrt({own_i}) * sqrt({own_j}))"
-    if i == j:
-        value = "1.0D"
-    varies = f"{own_i} > 0 AND {own_j} > 0"
-    r = f"CASE WHEN {varies} THEN greatest(-1.0D, least(1.0D, {value})) END"
-    return f"named_struct('i', {i}, 'j', {j}, 'corr', {r})"
+    def moment(i: int, j: int) -> float:
+        if not (row[f"varies{i}"] and row[f"varies{j}"]):
+            return 0.0
+        return row[f"s{i}_{j}"] - row[f"t{i}"] * row[f"t{j}"] / row["w"]
+
+    found: Pairs = {}
+    for i, j in pairs:
+        scale = math.sqrt(max(moment(i, i), 0.0)) * math.sqrt(max(moment(j, j), 0.0))
+        r = max(-1.0, min(1.0, moment(i, j) / scale)) if scale > 0 else None
+        found[i, j] = 1.0 if i == j and r is not None else r
+    return found
+
+
+def _pearson_vectors(data: DataFrame, d: int) -> Pairs:
+    """The same by Spark ML, for wide tables."""
+    names = [f"_x{i}" for i in range(d)]
+    row = data.agg(*[F.expr(f"min({c}) < max({c}) AS {c}") for c in names]).head()
+    if not any(row):
+        return {}
+    packed = VectorAssembler(inputCols=names, outputCol="_packed").transform(data)
+    matrix = Correlation.corr(packed.select("_packed"), "_packed").head()[0]
+    return {
+        (i, j): float(matrix[i, j])
+        for i, j in combinations_with_replacement(range(d), 2)
+        if row[i] and row[j]
+    }
 
 
 def corr_long(
@@ -90,20 +102,20 @@ def corr_long(
     with ``null="error"``.  A constant column correlates with nothing: NULL.
     Up to ``SQL_COLUMNS`` columns (and always with ``weight``) it is one
     aggregate, after a short look at the first rows; a wider table goes through
-    Spark ML, whose d x d matrix is the only thing on the driver.
+    Spark ML.  Runs those jobs; only the d x d numbers come to the driver.
     """
-    data = _checked(df, columns, null)
     d = len(columns)
+    data = _complete(_checked(df, columns, null), columns, weight)
     if d > SQL_COLUMNS and weight is None:
-        return _corr_wide_table(data, columns)
-    sums = _moments(_complete(data, columns, weight), d, weight is not None)
-    cells = ", ".join(_cell(i, j) for i in range(d) for j in range(d))
-    names = F.array(*[F.lit(c) for c in columns])
-    return sums.select(F.expr(f"inline(array({cells}))")).select(
-        F.element_at(names, F.col("i") + 1).alias("col_a"),
-        F.element_at(names, F.col("j") + 1).alias("col_b"),
-        "corr",
-    )
+        found = _pearson_vectors(data, d)
+    else:
+        found = _pearson(data, d, weight is not None)
+    rows = [
+        (a, b, found.get((min(i, j), max(i, j))))
+        for i, a in enumerate(columns)
+        for j, b in enumerate(columns)
+    ]
+    return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, corr double")
 
 
 def _checked(df: DataFrame, columns: Sequence[str], null: str) -> DataFrame:
@@ -112,28 +124,8 @@ def _checked(df: DataFrame, columns: Sequence[str], null: str) -> DataFrame:
     if null != "error":
         raise ValueError("null is 'skip' or 'error'")
     whole = is_complete([df.schema[c] for c in columns])
-    return df.where(F.when(whole, F.lit(True)).otherwise(
-        F.raise_error(F.lit("NULL or NaN in a correlation column")).cast("boolean")
-    ))
-
-
-def _corr_wide_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    data = _complete(df, columns, None)
-    names = data.columns
-    bounds = data.agg(
-        F.count(F.lit(1)).alias("n"), *[(F.min(c) == F.max(c)).alias(c) for c in names]
-    ).head()
-    packed = VectorAssembler(inputCols=names, outputCol="_packed").transform(data)
-    empty = bounds["n"] < 2
-    matrix = None if empty else Correlation.corr(packed.select("_packed"), "_packed").head()[0]
-    rows = []
-    for i, a in enumerate(columns):
-        for j, b in enumerate(columns):
-            r = None
-            if not empty and not bounds[f"_x{i}"] and not bounds[f"_x{j}"]:
-                r = float(matrix[i, j])
-            rows.append((a, b, r))
-    return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, corr double")
+    stop = F.raise_error(F.lit("NULL or NaN in a correlation column")).cast("boolean")
+    return df.where(F.when(whole, F.lit(True)).otherwise(stop))
 
 
 def corr_wide(long: DataFrame, columns: Sequence[str]) -> DataFrame:
