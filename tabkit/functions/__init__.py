@@ -11,6 +11,7 @@ from tabkit.functions.temporal import (
     date_field_by_position,
     month_of_date,
     parse_date,
+    time_bucket,
     weekday_name,
 )
 
@@ -28,6 +29,7 @@ __all__ = [
     "not_equal_keep_null",
     "parse_date",
     "ratio",
+    "time_bucket",
     "to_type",
     "weekday_name",
 ]

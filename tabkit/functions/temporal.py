@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabkit.functions.numbers import as_int
 
@@ -47,3 +48,27 @@ def date_field_by_position(c: Column, start: int = 4, length: int = 2) -> Column
     :func:`month_of_date` for the month.
     """
     return as_int(F.substring(c, start, length))
+
+
+# Calendar units, coarse to fine.
+DATE_UNITS = ("year", "quarter", "month", "week", "day")
+CLOCK_UNITS = ("hour", "minute", "second")
+
+
+def time_bucket(source: T.DataType, c: Column, unit: str) -> Column:
+    """A time cut down to its calendar unit, in the column's own type.
+
+    A time without zone is cut by its own date and clock: going through the
+    session's zone would move the hours that a clock change skips.
+    """
+    if unit not in (*DATE_UNITS, *CLOCK_UNITS):
+        raise ValueError(f"unit is one of {', '.join((*DATE_UNITS, *CLOCK_UNITS))}")
+    if isinstance(source, T.TimestampType):
+        return F.date_trunc(unit, c)
+    date = c.cast("date")
+    if unit in DATE_UNITS:
+        start = date if unit == "day" else F.trunc(date, unit)
+        return start.cast(source)
+    clock = [F.hour(c), F.minute(c), F.floor(F.second(c))]
+    kept = clock[: CLOCK_UNITS.index(unit) + 1]
+    return date.cast(source) + F.make_dt_interval(F.lit(0), *[k.cast("int") for k in kept])

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabkit.functions import as_number, ratio, to_type
+from tabkit.functions import as_number, ratio, time_bucket, to_type
 from tabkit.operators.lookup import BROADCAST_BYTES, join_lookup
 from tabkit.sources import settle
 
@@ -40,8 +40,7 @@ def histogram(df: DataFrame, key: str, kind: str = "int", name: str = "n") -> Da
 
 def time_bucket_count(df: DataFrame, ts: str, unit: str, name: str = "n") -> DataFrame:
     """Rows per calendar unit of a time column, oldest first."""
-    kind = df.schema[ts].dataType.simpleString()
-    bucket = F.date_trunc(unit, F.col(f"`{ts}`")).cast(kind).alias("bucket")
+    bucket = time_bucket(df.schema[ts].dataType, F.col(f"`{ts}`"), unit).alias("bucket")
     return group_count(df.select(bucket), ["bucket"], name).orderBy("bucket")
 
 

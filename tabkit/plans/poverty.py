@@ -137,15 +137,15 @@ def age_counts(df: DataFrame) -> DataFrame:
 def enriched(df: DataFrame) -> DataFrame:
     """Add the marital index, scaled income, and income relative to the
     mean of the same education."""
-    indexed = op.index_labels(df, ["MAR"]).withColumnRenamed("MAR_index", "MaritalStatusIndex")
-    scaled = op.min_max(indexed, ["PreTaxIncome_PU"])
-    return op.group_mean_ratio(
-        scaled,
+    relative = op.group_mean_ratio(
+        op.min_max(df, ["PreTaxIncome_PU"]),
         ["EducAttain"],
         "PreTaxIncome_PU",
         mean_name="AvgIncomeByEducation",
         ratio_name="NormalizedIncomeByEducation",
     )
+    indexed = op.index_labels(relative, ["MAR"])
+    return indexed.withColumnRenamed("MAR_index", "MaritalStatusIndex")
 
 
 def people(raw: DataFrame, max_missing_pct: float | None = None) -> DataFrame:

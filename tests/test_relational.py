@@ -5,7 +5,15 @@ from pyspark.sql import functions as F
 
 from tabkit import operators as op
 from tabkit.operators.lookup import join_lookup, measured_bytes
-from tabkit.sources import matrix_frame, preview, read_csv_text, read_table, settle
+from tabkit.sources import (
+    matrix_frame,
+    preview,
+    read_csv_text,
+    read_table,
+    settle,
+    shared_dir,
+    store,
+)
 from tests.conftest import SMALL, executed, rows
 
 
@@ -150,3 +158,62 @@ def test_time_bucket_keeps_the_type(spark):
 
 def test_top_k(edge):
     assert [tuple(r) for r in op.top_k(edge, ["label"], 2).collect()] == [("a", 9), ("b", 4)]
+
+
+UNITS = ("year", "quarter", "month", "week", "day", "hour", "minute", "second")
+
+
+@pytest.mark.parametrize("unit", UNITS)
+def test_time_bucket_ignores_the_session_zone(ansi, spark, unit):
+    times = ["2024-03-10 02:30:45.5", "2024-11-03 01:59:59.999", "2023-12-31 23:00:00"]
+    df = spark.createDataFrame([(t,) for t in times], "t string").select(
+        F.col("t").cast("timestamp_ntz").alias("t")
+    )
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    utc = df.select(F.date_trunc(unit, F.col("t").cast("timestamp")).cast("timestamp_ntz").alias("b"))
+    want = sorted(r["b"] for r in utc.collect())
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = op.time_bucket_count(df, "t", unit).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert sorted(b for b, n in got for _ in range(n)) == want
+
+
+def test_time_bucket_of_other_types(spark):
+    df = spark.sql("select timestamp '2024-05-06 07:08:09' as z, date '2024-05-06' as d")
+    assert str(op.time_bucket_count(df, "z", "hour").head()[0]) == "2024-05-06 07:00:00"
+    assert str(op.time_bucket_count(df, "d", "month").head()[0]) == "2024-05-01"
+    with pytest.raises(ValueError, match="unit"):
+        op.time_bucket_count(df, "z", "fortnight")
+
+
+class _NoFolder:
+    """A session without a checkpoint folder."""
+
+    def __init__(self, master):
+        self.sparkContext = self
+        self.conf = self
+        self.master = master
+        self.folder = None
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+    def get(self, key, default):
+        return default
+
+
+def test_only_a_local_session_gets_a_temporary_folder():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(_NoFolder("spark://host"))
+    assert "tabkit-" in shared_dir(_NoFolder("local[2]"))
+
+
+def test_stored_table_reads_back(spark, edge):
+    stored = store(edge, "edge")
+    assert stored.count() == edge.count() and stored.dtypes == edge.dtypes
+    assert shared_dir(spark).removeprefix("file:") in stored.inputFiles()[0]
