@@ -28,7 +28,7 @@ class ForestParams:
     """What distinguishes one forest from another.  The seed has no default.
 
     Deep trees keep the node of every row in the cache instead of sending the
-    trees to every task, which halves their training time.
+    trees to every task.
     """
 
     seed: int
