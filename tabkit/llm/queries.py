@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabkit.llm import mixing, packing, quality, secret_scan, simhash
+from tabkit.llm import compression, language, mixing, packing, quality, secret_scan, simhash, suffix_tree
 from tabkit.sources import read_table
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,18 @@ def query(run: Runner) -> Runner:
     return run
 
 
+@query
+def op3_compression(spark: SparkSession, folder: str) -> DataFrame:
+    """Learned from labelled rows of three quarters; 1 from a score of 0.7 on."""
+    docs, labels = (read_table(spark, folder, t) for t in ("documents", "labels"))
+    held = compression.held_out("doc_id", 4, 2)
+    model = compression.fit_compression(docs, labels, learn=~held)
+    scored = compression.compression_scores(docs, model)
+    return scored.select(
+        "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 @query
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Sequences of 2048 tokens; a document ends with id 1."""
@@ -37,6 +49,15 @@ def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(docs, weights=(3.0, 1.0, 2.0), share=1.5, most=2.0, seed=42)
 
 
+@query
+def op6_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Learned from two thirds."""
+    docs = read_table(spark, folder, "documents")
+    held = compression.held_out("doc_id", 3, 1)
+    found = language.detect_languages(docs, language.fit_languages(docs, learn=~held))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """All rules of the cascade."""
@@ -54,6 +75,13 @@ def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op9_suffix_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """Learned from four fifths."""
+    docs = read_table(spark, folder, "documents")
+    return suffix_tree.suffix_tree_scores(docs, compression.held_out("doc_id", 5, 1))
+
+
 @query
 def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Counts and digests of the spans that were found."""
