@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabkit.llm import compression, language, mixing, packing, quality, secret_scan, simhash, suffix_tree
+from tabkit.llm import (
+    compression,
+    language,
+    mixing,
+    packing,
+    quality,
+    secret_scan,
+    simhash,
+    substrings,
+    suffix_tree,
+    vectors,
+)
 from tabkit.sources import read_table
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +32,19 @@ def query(run: Runner) -> Runner:
     return run
 
 
+@query
+def op1_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Cosine of 0.98 within a label."""
+    found = vectors.near_vectors(read_table(spark, folder, "embeddings"), cosine=0.98)
+    return found.withColumnRenamed("component", "component_id")
+
+
+@query
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Windows of 50 words."""
+    return substrings.remove_repeats(read_table(spark, folder, "documents"), size=50, texts=False)
+
+
 @query
 def op3_compression(spark: SparkSession, folder: str) -> DataFrame:
     """Learned from labelled rows of three quarters; 1 from a score of 0.7 on."""
