@@ -7,11 +7,11 @@ from tabkit.operators.columns import (
     project,
 )
 from tabkit.operators.correlation import (
-    combination_counts,
     corr_categorical,
     corr_long,
     corr_wide,
     cramers_v,
+    pair_counts,
 )
 from tabkit.operators.filters import filter_in, filter_ne, filter_range
 from tabkit.operators.forest import (
@@ -23,7 +23,10 @@ from tabkit.operators.forest import (
     fit_features,
     importances,
     predict,
+    skipped_rows,
     sweep,
+    sweep_importances,
+    sweep_models,
     train_forest,
 )
 from tabkit.operators.groups import (
@@ -37,7 +40,14 @@ from tabkit.operators.groups import (
     time_bucket_count,
     top_k,
 )
-from tabkit.operators.indexing import fit_string_indexers, index_labels, label_counts, rank_labels
+from tabkit.operators.indexing import (
+    Labels,
+    apply_labels,
+    fit_labels,
+    index_labels,
+    label_counts,
+    rank_labels,
+)
 from tabkit.operators.lookup import join_lookup, measured_bytes
 from tabkit.operators.metrics import classification_metrics, confusion_counts, metrics_row
 from tabkit.operators.quality import (

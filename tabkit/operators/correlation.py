@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations, combinations_with_replacement
+from operator import and_
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
@@ -12,108 +14,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabkit.functions import is_complete
-from tabkit.operators.indexing import index_labels
+from tabkit.operators.ranking import number_rows
 from tabkit.sources import settle
 
-# Up to here the pair sums of one aggregate beat the vector form; measured.
-SQL_COLUMNS = 10
-
-# Rows whose mean serves as the point to sum around.
-SHIFT_ROWS = 1000
-
-
-def _complete(df: DataFrame, columns: Sequence[str], weight: str | None) -> DataFrame:
+def _complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The columns as doubles, only rows without NULL and NaN."""
     chosen = df.where(is_complete([df.schema[c] for c in columns]))
-    extra = [] if weight is None else [F.col(f"`{weight}`").cast("double").alias("_weight")]
-    numbers = [F.col(f"`{c}`").cast("double").alias(f"_x{i}") for i, c in enumerate(columns)]
-    return chosen.select(*numbers, *extra)
-
-
-def _near_centre(data: DataFrame, d: int) -> list[float]:
-    """A point among the rows: the mean of the first few, from a short job."""
-    rows = data.select(*[f"_x{i}" for i in range(d)]).take(SHIFT_ROWS)
-    return [sum(r[i] for r in rows) / len(rows) if rows else 0.0 for i in range(d)]
-
-
-Pairs = dict[tuple[int, int], float | None]
-
-
-def _pearson(data: DataFrame, d: int, weighted: bool) -> Pairs:
-    """Pearson's r of every unordered pair, from one aggregate over one scan.
-
-    The sums are taken around a point among the rows and shifted to the mean
-    afterwards; sums around zero would lose the digits that matter.  A column
-    with equal bounds is constant, whatever its sums say.
-    """
-    times = " * _weight" if weighted else ""
-    shifted = data.select(
-        *[
-            (F.col(f"_x{i}") - F.lit(k)).alias(f"_x{i}")
-            for i, k in enumerate(_near_centre(data, d))
-        ],
-        *(["_weight"] if weighted else []),
+    return chosen.select(
+        *[F.col(f"`{c}`").cast("double").alias(f"_x{i}") for i, c in enumerate(columns)]
     )
-    pairs = list(combinations_with_replacement(range(d), 2))
-    row = shifted.agg(
-        F.expr("sum(_weight) AS w" if weighted else "cast(count(1) as double) AS w"),
-        *[F.expr(f"min(_x{i}) < max(_x{i}) AS varies{i}") for i in range(d)],
-        *[F.expr(f"sum(_x{i}{times}) AS t{i}") for i in range(d)],
-        *[F.expr(f"sum(_x{i} * _x{j}{times}) AS s{i}_{j}") for i, j in pairs],
-    ).head()
-
-    def moment(i: int, j: int) -> float:
-        if not (row[f"varies{i}"] and row[f"varies{j}"]):
-            return 0.0
-        return row[f"s{i}_{j}"] - row[f"t{i}"] * row[f"t{j}"] / row["w"]
 
-    found: Pairs = {}
-    for i, j in pairs:
-        scale = math.sqrt(max(moment(i, i), 0.0)) * math.sqrt(max(moment(j, j), 0.0))
-        r = max(-1.0, min(1.0, moment(i, j) / scale)) if scale > 0 else None
-        found[i, j] = 1.0 if i == j and r is not None else r
-    return found
 
+def _pearson(data: DataFrame, d: int) -> dict[tuple[int, int], float]:
+    """Pearson's r of every unordered pair whose columns vary and are finite.
 
-def _pearson_vectors(data: DataFrame, d: int) -> Pairs:
-    """The same by Spark ML, for wide tables."""
+    Spark ML's moments, centred before they are multiplied, whatever the width.
+    """
     names = [f"_x{i}" for i in range(d)]
-    row = data.agg(*[F.expr(f"min({c}) < max({c}) AS {c}") for c in names]).head()
-    if not any(row):
+    sound = data.agg(
+        *[F.expr(f"min({c}) < max({c}) AND max(abs({c})) < double('Infinity') AS {c}") for c in names]
+    ).head()
+    good = [i for i in range(d) if sound[i]]
+    if not good:
         return {}
-    packed = VectorAssembler(inputCols=names, outputCol="_packed").transform(data)
+    packed = VectorAssembler(inputCols=[names[i] for i in good], outputCol="_packed").transform(data)
     matrix = Correlation.corr(packed.select("_packed"), "_packed").head()[0]
     return {
-        (i, j): float(matrix[i, j])
-        for i, j in combinations_with_replacement(range(d), 2)
-        if row[i] and row[j]
+        (i, j): float(matrix[x, y])
+        for x, i in enumerate(good)
+        for y, j in enumerate(good)
+        if not math.isnan(matrix[x, y])
     }
 
 
-def corr_long(
-    df: DataFrame,
-    columns: Sequence[str],
-    weight: str | None = None,
-    null: str = "skip",
-) -> DataFrame:
+def corr_long(df: DataFrame, columns: Sequence[str], null: str = "skip") -> DataFrame:
     """``(col_a, col_b, corr)`` for every ordered pair; Pearson.
 
     Rows with NULL or NaN in any of the columns are left out, or fail the job
-    with ``null="error"``.  A constant column correlates with nothing: NULL.
-    Up to ``SQL_COLUMNS`` columns (and always with ``weight``) it is one
-    aggregate, after a short look at the first rows; a wider table goes through
-    Spark ML.  Runs those jobs; only the d x d numbers come to the driver.
+    with ``null="error"``.  A constant column, or one with an infinity, correlates
+    with nothing, itself included: NULL.  Any number of columns takes the same
+    path: their bounds from one aggregate, then Spark ML's covariances of the
+    columns that vary.  Only the d x d numbers come to the driver.
     """
-    d = len(columns)
-    data = _complete(_checked(df, columns, null), columns, weight)
-    if d > SQL_COLUMNS and weight is None:
-        found = _pearson_vectors(data, d)
-    else:
-        found = _pearson(data, d, weight is not None)
+    found = _pearson(_complete(_checked(df, columns, null), columns), len(columns))
     rows = [
-        (a, b, found.get((min(i, j), max(i, j))))
-        for i, a in enumerate(columns)
-        for j, b in enumerate(columns)
+        (a, b, found.get((i, j))) for i, a in enumerate(columns) for j, b in enumerate(columns)
     ]
     return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, corr double")
 
@@ -137,74 +82,109 @@ def corr_wide(long: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def combination_counts(df: DataFrame, columns: Sequence[str], name: str = "n") -> DataFrame:
-    """Rows per combination of the categories, settled.
+def pair_counts(
+    df: DataFrame, columns: Sequence[str], complete: bool, itself: bool = False
+) -> DataFrame:
+    """``(_i, _j, _a, _b, _n)``: rows per pair of values, for every pair of columns.
 
-    The only step that reads the whole table; combined before the shuffle.
+    Values are text.  ``_i`` and ``_j`` are positions in ``columns``, ``_i < _j``,
+    with ``itself`` also each column paired with itself.  ``complete`` leaves out
+    rows with a NULL in any of the columns, else those with a NULL in the pair.
+    Counts are combined before the shuffle: what moves, and what is stored, is
+    bounded by the tables of the pairs, not by the rows.
     """
-    return settle(df.groupBy(*[F.col(f"`{c}`") for c in columns]).agg(F.count(F.lit(1)).alias(name)))
+    present = [F.col(f"`{c}`").isNotNull() for c in columns]
+    data = df.where(reduce(and_, present)) if complete else df
+    pick = combinations_with_replacement if itself else combinations
+    texts = [F.col(f"`{c}`").cast("string") for c in columns]
+    lines = F.array(
+        *[
+            F.struct(F.lit(i).alias("_i"), F.lit(j).alias("_j"), texts[i].alias("_a"), texts[j].alias("_b"))
+            for i, j in pick(range(len(columns)), 2)
+        ]
+    )
+    return settle(
+        data.select(F.inline(lines))
+        .where(F.col("_a").isNotNull() & F.col("_b").isNotNull())
+        .groupBy("_i", "_j", "_a", "_b")
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+
+
+def _pair_names(df: DataFrame, pairs: Sequence[tuple[int, int]], columns: Sequence[str]) -> DataFrame:
+    rows = [(i, j, columns[i], columns[j]) for i, j in pairs]
+    schema = "_i int, _j int, col_a string, col_b string"
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def corr_categorical(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of frequency ranks, ``(col_a, col_b, corr)``.
 
-    The rows enter once, as counts per combination; ranks and sums are made
-    from those.  Rows with a NULL category are left out.  See
-    :func:`cramers_v` for a measure that does not depend on the ranks.
+    One scan counts the pairs of values; the label counts, the ranks and the
+    moments are made from those.  Rows with a NULL category are left out.  Every
+    ordered pair is there; a column with one value correlates with nothing: NULL.
+    See :func:`cramers_v` for a measure that does not depend on the ranks.
     """
-    combos = combination_counts(df.dropna(subset=list(columns)), columns, "_n")
-    ranked = index_labels(combos, columns, suffix="_index", weight="_n")
-    long = corr_long(ranked, [c + "_index" for c in columns], weight="_n")
-    return long.select(
-        F.regexp_replace("col_a", "_index$", "").alias("col_a"),
-        F.regexp_replace("col_b", "_index$", "").alias("col_b"),
-        "corr",
+    cells = pair_counts(df, columns, complete=True, itself=True)
+    labels = cells.where(F.col("_i") == F.col("_j")).select(
+        F.col("_i").alias("column"), F.col("_a").alias("value"), F.col("_n").alias("n")
+    )
+    ranks = settle(number_rows(settle(labels), ["column"], [F.desc("n"), F.asc("value")], "index"))
+
+    def side(i: str, value: str, name: str) -> DataFrame:
+        return ranks.select(
+            F.col("column").alias(i), F.col("value").alias(value), F.col("index").cast("double").alias(name)
+        )
+
+    ranked = cells.join(side("_i", "_a", "_x"), ["_i", "_a"]).join(side("_j", "_b", "_y"), ["_j", "_b"])
+    n, x, y = (F.col(c) for c in ("_n", "_x", "_y"))
+    # Around the middle of the ranks, so that the sums stay small.
+    middle = ranked.groupBy("_i", "_j").agg(
+        (F.sum(n * x) / F.sum(n)).alias("_mx"), (F.sum(n * y) / F.sum(n)).alias("_my")
     )
+    dx, dy = x - F.col("_mx"), y - F.col("_my")
+    moments = (
+        ranked.join(middle, ["_i", "_j"])
+        .groupBy("_i", "_j")
+        .agg(F.sum(n * dx * dy).alias("_xy"), F.sum(n * dx * dx).alias("_xx"), F.sum(n * dy * dy).alias("_yy"))
+    )
+    r = F.try_divide(F.col("_xy"), F.sqrt("_xx") * F.sqrt("_yy"))
+    bounded = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
+    one = F.when(r.isNotNull(), F.when(F.col("_i") == F.col("_j"), F.lit(1.0)).otherwise(bounded))
+    found = moments.select("_i", "_j", one.alias("corr"))
+    both = found.unionByName(
+        found.where("_i < _j").select(F.col("_j").alias("_i"), F.col("_i").alias("_j"), "corr")
+    )
+    d = range(len(columns))
+    names = _pair_names(df, [(i, j) for i in d for j in d], columns)
+    return names.join(both, ["_i", "_j"], "left").select("col_a", "col_b", "corr")
 
 
 def cramers_v(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(col_a, col_b, v)`` for every unordered pair of categories.
 
     Chi-squared over the contingency table of the pair; rows with NULL in
-    either are left out of that pair.  NULL where a column has one value.
+    either are left out of that pair.  NULL where a column has one value, or
+    the pair no row.
     """
-    combos = combination_counts(df, columns, "_n")
-    pairs = list(combinations(columns, 2))
-    lines = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("_pair"),
-                F.col(f"`{a}`").cast("string").alias("_a"),
-                F.col(f"`{b}`").cast("string").alias("_b"),
-            )
-            for i, (a, b) in enumerate(pairs)
-        ]
-    )
-    cells = (
-        combos.select("_n", F.inline(lines))
-        .where(F.col("_a").isNotNull() & F.col("_b").isNotNull())
-        .groupBy("_pair", "_a", "_b")
-        .agg(F.sum("_n").alias("_n"))
-    )
-    cells = settle(cells)
-    side_a = cells.groupBy("_pair", "_a").agg(F.sum("_n").alias("_n_a"))
-    side_b = cells.groupBy("_pair", "_b").agg(F.sum("_n").alias("_n_b"))
+    cells = pair_counts(df, columns, complete=False)
+    pair = ["_i", "_j"]
+    side_a = cells.groupBy(*pair, "_a").agg(F.sum("_n").alias("_n_a"))
+    side_b = cells.groupBy(*pair, "_b").agg(F.sum("_n").alias("_n_b"))
     shape = (
-        side_a.groupBy("_pair")
-        .agg(F.count(F.lit(1)).alias("_r"), F.sum("_n_a").alias("_total"))
-        .join(side_b.groupBy("_pair").agg(F.count(F.lit(1)).alias("_c")), "_pair")
+        side_a.groupBy(*pair)
+        .agg(F.count(F.lit(1)).alias("_r"))
+        .join(side_b.groupBy(*pair).agg(F.count(F.lit(1)).alias("_c")), pair)
     )
     share = F.col("_n").cast("double") * F.col("_n") / (F.col("_n_a").cast("double") * F.col("_n_b"))
     phi = (
-        cells.join(side_a, ["_pair", "_a"])
-        .join(side_b, ["_pair", "_b"])
-        .groupBy("_pair")
+        cells.join(side_a, [*pair, "_a"])
+        .join(side_b, [*pair, "_b"])
+        .groupBy(*pair)
         .agg((F.sum(share) - 1).alias("_phi2"))
     )
     degrees = F.least(F.col("_r"), F.col("_c")) - 1
     v = F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.col("_phi2"), degrees.cast("double"))))
-    name_a = F.element_at(F.array(*[F.lit(a) for a, _ in pairs]), F.col("_pair") + 1)
-    name_b = F.element_at(F.array(*[F.lit(b) for _, b in pairs]), F.col("_pair") + 1)
-    return phi.join(shape, "_pair").select(
-        name_a.alias("col_a"), name_b.alias("col_b"), F.when(degrees > 0, v).alias("v")
-    )
+    found = phi.join(shape, pair).select(*pair, F.when(degrees > 0, v).alias("v"))
+    names = _pair_names(df, list(combinations(range(len(columns)), 2)), columns)
+    return names.join(found, pair, "left").select("col_a", "col_b", "v")

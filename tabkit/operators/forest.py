@@ -4,21 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.feature import MinMaxScaler, VectorAssembler
+from pyspark.ml.feature import MinMaxScaler, MinMaxScalerModel, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabkit.functions import is_complete
-from tabkit.operators.indexing import fit_string_indexers
+from tabkit.operators.indexing import Labels, apply_labels, fit_labels
 from tabkit.operators.metrics import classification_metrics
 from tabkit.sources import settle, shared_dir
 
+# Partitions that the rows of a forest are dealt into, unless the caller says more.
+PARTS = 16
+
 # The default of Spark's trees; more categories in one feature need more bins.
 DEFAULT_BINS = 32
 
@@ -45,13 +48,36 @@ class ForestParams:
 
 @dataclass(frozen=True)
 class Features:
-    """A fitted feature preparation."""
+    """A fitted feature preparation, and the names of what it adds."""
 
-    model: PipelineModel
+    labels: Labels
+    categorical: tuple[str, ...]
+    answer: str
     names: tuple[str, ...]
     max_bins: int
+    scaler: MinMaxScalerModel | None
+    unseen: str
+    number_invalid: str
+    label_invalid: str
     column: str = "features"
     label: str = "label"
+    parts: int = PARTS
+
+    @property
+    def numbers(self) -> list[str]:
+        indices = {_index_name(c) for c in self.categorical}
+        return [c for c in self.names if c not in indices]
+
+
+def _index_name(column: str) -> str:
+    return column + "_index"
+
+
+def _free(name: str, taken: Sequence[str]) -> str:
+    """``name``, or one with as many underscores before it as it takes to be new."""
+    while name in taken:
+        name = "_" + name
+    return name
 
 
 def assemble(
@@ -79,61 +105,115 @@ def fit_features(
     numeric: Sequence[str] = (),
     order: Sequence[str] | None = None,
     scale: bool = False,
-    handle_invalid: str = "keep",
+    unseen: str = "keep",
+    number_invalid: str = "error",
+    label_invalid: str = "error",
+    output: str | None = None,
+    label_output: str | None = None,
+    parts: int = PARTS,
 ) -> Features:
     """Index categories and label, pack the features, optionally scale them.
 
     All indices come from one scan of ``df``, which should be the training part
-    alone.  ``order`` fixes the order of the features (by default categories,
-    then numbers).  A label seen only later gets the index after the last one
-    under ``"keep"``.  Unscaled features keep their nominal metadata, and
-    ``max_bins`` is large enough for the widest of them; scaling makes every
-    feature continuous.
+    alone; there is no limit on the number of labels, and no list of them on the
+    driver.  ``order`` fixes the order of the features (by default categories,
+    then numbers).  A category that is NULL or seen only later gets the index
+    after the last one under ``unseen="keep"``.  The label has no such class: a
+    NULL or new one fails the job, or under ``label_invalid="skip"`` its row is
+    left out; so does a NULL or NaN number under ``number_invalid``.
+    :func:`skipped_rows` counts what is left out.
+
+    The new columns are ``output`` and ``label_output``, by default ``features``
+    and ``label`` with underscores before them if the table has such columns.
+    Unscaled features keep their nominal metadata, and ``max_bins`` is large
+    enough for the widest of them; scaling makes every feature continuous.
+    ``parts`` is the number of partitions of the training rows: part of what
+    defines a forest, so it is declared; take about the cores of the cluster.
     """
+    for choice in (number_invalid, label_invalid):
+        if choice not in ("error", "skip"):
+            raise ValueError("number_invalid and label_invalid are 'error' or 'skip'")
     order = list(order) if order is not None else [*categorical, *numeric]
-    names = [c + "_index" if c in categorical else c for c in order]
-    indexers = fit_string_indexers(
-        df,
-        [*categorical, label],
-        [*(c + "_index" for c in categorical), "label"],
-        handle_invalid,
+    names = [_index_name(c) if c in categorical else c for c in order]
+    labels = fit_labels(df, list(dict.fromkeys([*categorical, label])))
+    widest = max((labels.count(c) for c in categorical), default=0) + 1
+    features = Features(
+        labels,
+        tuple(categorical),
+        label,
+        tuple(names),
+        DEFAULT_BINS if scale else max(DEFAULT_BINS, widest),
+        None,
+        unseen,
+        number_invalid,
+        label_invalid,
+        output or _free("features", df.columns),
+        label_output or _free("label", df.columns),
+        parts,
     )
-    widest = max((len(m.labels) for m in indexers[:-1]), default=0) + 1
-    packed = "_packed" if scale else "features"
-    stages = [
-        *indexers,
-        VectorAssembler(
-            inputCols=names,
-            outputCol=packed,
-            handleInvalid="skip" if handle_invalid == "keep" else handle_invalid,
-        ),
-    ]
-    if scale:
-        ready = PipelineModel(stages).transform(df)
-        stages.append(MinMaxScaler(inputCol=packed, outputCol="features").fit(ready))
-    bins = DEFAULT_BINS if scale else max(DEFAULT_BINS, widest)
-    return Features(PipelineModel(stages), tuple(names), bins)
+    if not scale:
+        return features
+    packed = _packed(features, df, "_packed")
+    scaler = MinMaxScaler(inputCol="_packed", outputCol=features.column).fit(packed)
+    return replace(features, scaler=scaler)
+
+
+def _packed(features: Features, df: DataFrame, output: str) -> DataFrame:
+    names = [_index_name(c) for c in features.categorical]
+    indexed = apply_labels(df, features.labels, features.categorical, names, features.unseen)
+    return assemble(indexed, features.names, output, features.number_invalid)
 
 
 def apply_features(features: Features, df: DataFrame) -> DataFrame:
-    """Add ``features`` and ``label`` to ``df``."""
-    return features.model.transform(df).drop("_packed")
+    """Add the features, and the label's index where ``df`` has the label."""
+    if features.scaler is None:
+        out = _packed(features, df, features.column)
+    else:
+        out = features.scaler.transform(_packed(features, df, "_packed")).drop("_packed")
+    if features.answer not in df.columns:
+        return out
+    null = "null" if features.label_invalid == "skip" else "error"
+    out = apply_labels(out, features.labels, [features.answer], [features.label], null)
+    return out.where(F.col(f"`{features.label}`").isNotNull()) if null == "null" else out
+
+
+def skipped_rows(features: Features, df: DataFrame) -> DataFrame:
+    """``(n_rows, n_bad_number, n_bad_label)``: what ``"skip"`` leaves out of ``df``."""
+    whole = is_complete([df.schema[c] for c in features.numbers]) if features.numbers else F.lit(True)
+    known = F.lit(True)
+    seen = df
+    if features.answer in df.columns:
+        seen = apply_labels(df, features.labels, [features.answer], ["_known"])
+        known = F.col("_known").isNotNull()
+    return seen.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(~whole).alias("n_bad_number"),
+        F.count_if(~known).alias("n_bad_label"),
+    )
 
 
 @contextmanager
 def _kept(ready: DataFrame, features: Features) -> Iterator[DataFrame]:
     """The two columns a forest reads, kept while it is fitted.
 
-    Blocks that are lost are computed again.  A table with fewer partitions than
-    the cluster has cores is spread first, since training is bound by cores.
+    A forest depends on how its rows are dealt and ordered.  They are dealt into
+    ``features.parts`` by a hash of their content and sorted by it, so that equal rows and an
+    equal seed make an equal forest however the table was partitioned before,
+    on any cluster.  Blocks that are lost are computed again.
     """
-    narrow = ready.select(features.column, features.label).persist(StorageLevel.MEMORY_AND_DISK)
-    cores = ready.sparkSession.sparkContext.defaultParallelism
-    spread = narrow.repartition(cores) if narrow.rdd.getNumPartitions() < cores else narrow
+    narrow = ready.select(features.column, features.label)
+    content = F.xxhash64(vector_to_array(features.column), F.col(f"`{features.label}`"))
+    dealt = narrow.withColumn("_content", content).repartition(features.parts, "_content")
+    again = F.xxhash64(F.lit(1), vector_to_array(features.column), F.col(f"`{features.label}`"))
+    kept = (
+        dealt.sortWithinPartitions("_content", again)
+        .drop("_content")
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    )
     try:
-        yield spread
+        yield kept
     finally:
-        narrow.unpersist()
+        kept.unpersist()
 
 
 def train_forest(
@@ -188,19 +268,43 @@ def sweep(
     Both parts are prepared once and kept while the forests are fitted and
     scored.  Runs those jobs; the result is settled.
     """
-    results = []
+    return sweep_models(train, test, features, params)[0]
+
+
+def sweep_models(
+    train: DataFrame,
+    test: DataFrame,
+    features: Features,
+    params: Sequence[ForestParams],
+) -> tuple[DataFrame, list[RandomForestClassificationModel]]:
+    """:func:`sweep`, and the forests themselves in the order of ``params``."""
+    results, models = [], []
     with (
         _kept(apply_features(features, train), features) as ready,
         _kept(apply_features(features, test), features) as unseen,
     ):
         for p in params:
             model = _fit(ready, features, p)
+            models.append(model)
             results.append(
-                classification_metrics(model.transform(unseen)).select(
+                classification_metrics(model.transform(unseen), features.label).select(
                     F.lit(p.num_trees).alias("num_trees"),
                     F.lit(p.max_depth).alias("max_depth"),
                     "metric",
                     "value",
                 )
             )
-        return settle(reduce(DataFrame.unionByName, results))
+        return settle(reduce(DataFrame.unionByName, results)), models
+
+
+def sweep_importances(
+    models: Sequence[RandomForestClassificationModel], features: Features, params: Sequence[ForestParams]
+) -> DataFrame:
+    """``(num_trees, max_depth, feature, importance)`` of several forests."""
+    parts = [
+        importances(m, features, ranked=False).select(
+            F.lit(p.num_trees).alias("num_trees"), F.lit(p.max_depth).alias("max_depth"), "feature", "importance"
+        )
+        for m, p in zip(models, params, strict=True)
+    ]
+    return reduce(DataFrame.unionByName, parts)

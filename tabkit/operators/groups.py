@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabkit.functions import as_number, ratio, time_bucket, to_type
@@ -12,6 +14,11 @@ from tabkit.operators.lookup import BROADCAST_BYTES, join_lookup
 from tabkit.sources import settle
 
 
+def _named(columns: Sequence[str]) -> list[Column]:
+    """Columns by their whole names; a dot in a name is part of it."""
+    return [F.col(f"`{c}`") for c in columns]
+
+
 def row_count(df: DataFrame, name: str = "n") -> DataFrame:
     """Number of rows, as a one-row frame."""
     return df.agg(F.count(F.lit(1)).alias(name))
@@ -19,12 +26,12 @@ def row_count(df: DataFrame, name: str = "n") -> DataFrame:
 
 def group_count(df: DataFrame, keys: Sequence[str], name: str = "n") -> DataFrame:
     """Rows per group; NULL is a group."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    return df.groupBy(*_named(keys)).agg(F.count(F.lit(1)).alias(name))
 
 
 def group_count_ranked(df: DataFrame, keys: Sequence[str], name: str = "n") -> DataFrame:
     """Rows per group, largest group first, ties by key."""
-    return group_count(df, keys, name).orderBy(F.desc(name), *keys)
+    return group_count(df, keys, name).orderBy(F.col(f"`{name}`").desc(), *_named(keys))
 
 
 def top_k(df: DataFrame, keys: Sequence[str], k: int, name: str = "n") -> DataFrame:
@@ -35,7 +42,7 @@ def top_k(df: DataFrame, keys: Sequence[str], k: int, name: str = "n") -> DataFr
 def histogram(df: DataFrame, key: str, kind: str = "int", name: str = "n") -> DataFrame:
     """Rows per value of a column, cast first so that 9 sorts before 18."""
     value = to_type(df.schema[key].dataType, F.col(f"`{key}`"), kind)
-    return group_count(df.select(value.alias(key)), [key], name).orderBy(key)
+    return group_count(df.select(value.alias(key)), [key], name).orderBy(*_named([key]))
 
 
 def time_bucket_count(df: DataFrame, ts: str, unit: str, name: str = "n") -> DataFrame:
@@ -47,7 +54,7 @@ def time_bucket_count(df: DataFrame, ts: str, unit: str, name: str = "n") -> Dat
 def group_mean(df: DataFrame, keys: Sequence[str], x: str, name: str = "mean") -> DataFrame:
     """Mean of ``x`` per group; text is read as numbers, bad text is left out."""
     value = as_number(df.schema[x].dataType, F.col(f"`{x}`"))
-    return df.groupBy(*keys).agg(F.avg(value).alias(name))
+    return df.groupBy(*_named(keys)).agg(F.avg(value).alias(name))
 
 
 def join_group_mean(
@@ -68,9 +75,11 @@ def join_group_mean(
     if null_key not in ("null", "group"):
         raise ValueError("null_key is 'null' or 'group'")
     value = as_number(df.schema[x].dataType, F.col(f"`{x}`"))
-    means = df.groupBy(*keys).agg(F.avg(value).alias(name), F.count(F.lit(1)).alias("_rows"))
+    means = df.groupBy(*_named(keys)).agg(
+        F.avg(value).alias(name), F.count(F.lit(1)).alias("_rows")
+    )
     if null_key == "null":
-        means = means.dropna(subset=list(keys))
+        means = means.where(reduce(and_, [k.isNotNull() for k in _named(keys)]))
     return join_lookup(
         df, settle(means), keys, "_rows", null_safe=null_key == "group", max_bytes=max_bytes
     )

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.ml.feature import StringIndexerModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabkit.operators.counts import COLUMN, COUNT, ROWS, count_values, value_text
@@ -57,82 +57,100 @@ def rank_labels(
     )
 
 
-def index_labels(
+@dataclass(frozen=True)
+class Labels:
+    """Fitted indices: a settled table, and per column its labels and their bytes.
+
+    ``table`` is ``(column, value, n, rows, index)``.  It stays in the cluster
+    whatever the number of labels.
+    """
+
+    table: DataFrame
+    sizes: dict[str, tuple[int, int]]
+    max_bytes: int = BROADCAST_BYTES
+
+    def count(self, column: str) -> int:
+        return self.sizes.get(column, (0, 0))[0]
+
+
+def fit_labels(
+    df: DataFrame, columns: Sequence[str], weight: str | None = None, max_bytes: int = BROADCAST_BYTES
+) -> Labels:
+    """Index the values of several columns, from one scan; any number of them."""
+    counts = settle(label_counts(df, columns, weight))
+    sizes = _sizes(counts)
+    ranks = rank_labels(counts, max_bytes, sum(b for _, b in sizes.values()))
+    return Labels(settle(ranks), sizes, max_bytes)
+
+
+def apply_labels(
     df: DataFrame,
+    labels: Labels,
     columns: Sequence[str],
-    suffix: str = "_index",
+    outputs: Sequence[str],
     null: str = "null",
-    weight: str | None = None,
-    max_bytes: int = BROADCAST_BYTES,
+    unseen: str | None = None,
 ) -> DataFrame:
-    """Add a double index per column, for any number of distinct values.
+    """Add the fitted index of each column as a double.
 
-    One scan counts the values of all columns.  Numbers are ranked by their
-    text among equal counts.  NULL: ``"null"`` keeps NULL, ``"keep"`` gives the
-    index after the last label, ``"error"`` fails the job when a row has one.
-    No label list comes to the driver.
+    ``null`` and ``unseen`` (by default the same) say what NULL and a value that
+    was not there at the fit become: ``"null"``, with ``"keep"`` the index after
+    the last label, with ``"error"`` a failure of the job.  The new columns are
+    nominal to Spark ML and say how many values they can have.
     """
-    if null not in ("null", "keep", "error"):
-        raise ValueError("null is 'null', 'keep' or 'error'")
-    counts = settle(label_counts(df, columns, weight))
-    sizes = _sizes(counts)
-    ranks = rank_labels(counts, max_bytes, sum(b for _, b in sizes.values()))
-    if len(columns) > 1 or any(b > max_bytes for _, b in sizes.values()):
-        ranks = settle(ranks)
+    unseen = null if unseen is None else unseen
+    for choice in (null, unseen):
+        if choice not in ("null", "keep", "error"):
+            raise ValueError("null and unseen are 'null', 'keep' or 'error'")
     out = df
-    for c in columns:
-        labels, size = sizes.get(c, (0, 0))
-        own = ranks.where(F.col("column") == c).select(
+    for c, name in zip(columns, outputs, strict=True):
+        n, size = labels.sizes.get(c, (0, 0))
+        own = labels.table.where(F.col("column") == c).select(
             F.col("value").alias("_label"),
-            F.col("index").cast("double").alias(c + suffix),
+            F.col("index").cast("double").alias("_index"),
             F.col("rows").alias("_rows"),
         )
+        value = F.col(f"`{c}`")
         out = join_lookup(
-            out.withColumn("_label", F.col(f"`{c}`").cast("string")),
+            out.withColumn("_label", value.cast("string")),
             own,
             ["_label"],
             "_rows",
-            max_bytes=max_bytes,
+            max_bytes=labels.max_bytes,
             size=size,
-        ).drop("_label")
-        if null == "keep":
-            out = out.withColumn(c + suffix, F.coalesce(F.col(c + suffix), F.lit(float(labels))))
-        elif null == "error":
-            stop = F.raise_error(F.lit(f"NULL in {c}")).cast("double")
-            out = out.withColumn(c + suffix, F.coalesce(F.col(c + suffix), stop))
+        )
+
+        def instead(choice: str, what: str, c: str = c, n: int = n) -> Column:
+            if choice == "error":
+                return F.raise_error(F.lit(f"{what} in {c}")).cast("double")
+            return F.lit(float(n) if choice == "keep" else None).cast("double")
+
+        index = F.when(F.col("_index").isNotNull(), F.col("_index")).otherwise(
+            F.when(value.isNull(), instead(null, "NULL")).otherwise(instead(unseen, "a new value"))
+        )
+        values = n + ("keep" in (null, unseen))
+        nominal = {"ml_attr": {"type": "nominal", "name": name, "num_vals": max(1, values)}}
+        out = out.select(
+            *[F.col(f"`{x}`") for x in out.columns if x not in ("_label", "_index")],
+            index.alias(name, metadata=nominal),
+        )
     return out
 
 
-def fit_string_indexers(
+def index_labels(
     df: DataFrame,
     columns: Sequence[str],
-    outputs: Sequence[str],
-    handle_invalid: str = "keep",
-    max_labels: int = 10_000,
-) -> list[StringIndexerModel]:
-    """One StringIndexerModel per column, all from a single scan.
-
-    A model keeps its labels on the driver, so no more of them are fetched than
-    the limit allows; a column with more than ``max_labels`` is refused, and
-    :func:`index_labels` is the way for it.  The output columns carry the
-    nominal metadata that tree models read.
+    suffix: str = "_index",
+    null: str = "null",
+    weight: str | None = None,
+    max_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """:func:`fit_labels` and :func:`apply_labels` on the same table.
+
+    Numbers are ranked by their text among equal counts.  No label list comes
+    to the driver.
     """
-    most = max_labels * len(columns)
-    rows = label_counts(df, columns).select("column", "value", "n").limit(most + 1).collect()
-    labels: dict[str, list[tuple[int, str]]] = {c: [] for c in columns}
-    for r in rows:
-        labels[r["column"]].append((-r["n"], r["value"]))
-    wide = [c for c, found in labels.items() if len(found) > max_labels]
-    if wide or len(rows) > most:
-        raise ValueError(
-            f"more than {max_labels} labels in {', '.join(wide or columns)}; use index_labels"
-        )
-    return [
-        StringIndexerModel.from_labels(
-            [value for _, value in sorted(labels[c])],
-            inputCol=c,
-            outputCol=out,
-            handleInvalid=handle_invalid,
-        )
-        for c, out in zip(columns, outputs, strict=True)
-    ]
+    if null not in ("null", "keep", "error"):
+        raise ValueError("null is 'null', 'keep' or 'error'")
+    labels = fit_labels(df, columns, weight, max_bytes)
+    return apply_labels(df, labels, columns, [c + suffix for c in columns], null)

@@ -4,15 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def _comparable(df: DataFrame, label: str, prediction: str) -> tuple[Column, Column]:
+    """Both columns in one type: numbers as doubles, else as they are.
+
+    A number is never compared with a text, where 1 and 1.0 would be two classes.
+    """
+    kinds = [df.schema[c].dataType for c in (label, prediction)]
+    columns = (F.col(f"`{label}`"), F.col(f"`{prediction}`"))
+    if all(isinstance(k, T.NumericType) for k in kinds):
+        return columns[0].cast("double"), columns[1].cast("double")
+    if kinds[0] != kinds[1]:
+        raise ValueError(f"{label} and {prediction} are of different types")
+    return columns
 
 
 def confusion_counts(
     predictions: DataFrame, label: str = "label", prediction: str = "prediction"
 ) -> DataFrame:
-    """``(label, prediction, n)``; one small row per pair that occurs."""
-    return predictions.groupBy(
-        F.col(f"`{label}`").alias("label"), F.col(f"`{prediction}`").alias("prediction")
-    ).agg(F.count(F.lit(1)).alias("n"))
+    """``(label, prediction, n)``; one small row per pair that occurs.
+
+    Numbers come out as doubles.
+    """
+    actual, predicted = _comparable(predictions, label, prediction)
+    return predictions.groupBy(actual.alias("label"), predicted.alias("prediction")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
 
 
 def metrics_row(
@@ -30,7 +49,7 @@ def metrics_row(
 
     def side(of: str, actual: Column, predicted: Column, right: Column) -> Column:
         return F.struct(
-            F.col(of).cast("string").alias("class"),
+            F.col(of).alias("class"),
             actual.alias("actual"),
             predicted.alias("predicted"),
             right.cast("bigint").alias("hit"),

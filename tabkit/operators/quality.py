@@ -18,12 +18,20 @@ def null_tokens(
     tokens: Sequence[str] = MISSING_TOKENS,
     columns: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Sentinel texts become NULL in the string columns; the match is exact."""
+    """Sentinel texts become NULL in the string columns; the match is exact.
+
+    ``columns`` narrows them down; a name the table does not have is an error,
+    a column of another type stays as it is.
+    """
+    unknown = set(columns or ()) - set(df.columns)
+    if unknown:
+        raise ValueError(f"no such columns: {', '.join(sorted(unknown))}")
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     chosen = texts if columns is None else [c for c in columns if c in texts]
-    if not chosen:
+    if not chosen or not tokens:
         return df
-    return df.replace(list(tokens), None, subset=chosen)
+    named = {c: F.when(~F.col(f"`{c}`").isin(*tokens), F.col(f"`{c}`")) for c in chosen}
+    return df.select(*[named[c].alias(c) if c in named else F.col(f"`{c}`") for c in df.columns])
 
 
 def missing_counts(
@@ -58,19 +66,31 @@ def missing_profile(
     )
 
 
+def _floating(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, (T.FloatType, T.DoubleType))
+
+
 def _modes(df: DataFrame, columns: Sequence[str], include_null: bool) -> DataFrame:
     """One row; per column a struct of the negative count and the best value.
 
     Values are counted first and only the best one of each column is kept, so
-    neither step gathers a column in one task.
+    neither step gathers a column in one task.  NaN is missing, as NULL is.
     """
+    maps = [c for c in columns if isinstance(df.schema[c].dataType, T.MapType)]
+    if maps:
+        raise ValueError(f"a map has no mode: {', '.join(maps)}")
     homes = value_homes(df, columns)
+    if include_null:
+        df = df.withColumns(
+            {c: F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")) for c in columns if _floating(df, c)}
+        )
     best = []
     for i, c in enumerate(columns):
         value = F.col(homes[c][0])
+        lacking = is_missing(T.StructField(homes[c][0], df.schema[c].dataType), tokens=(), nan=_floating(df, c))
         mine = F.col(COLUMN) == c
         if not include_null:
-            mine = mine & value.isNotNull()
+            mine = mine & ~lacking
         typed = value.cast(df.schema[c].dataType).alias("v")
         best.append(
             F.min(F.when(mine, F.struct((-F.col(COUNT)).alias("k"), typed))).alias(f"_{i}")
@@ -81,8 +101,9 @@ def _modes(df: DataFrame, columns: Sequence[str], include_null: bool) -> DataFra
 def mode_row(df: DataFrame, columns: Sequence[str], include_null: bool = False) -> DataFrame:
     """One row with the mode of each column, in the column's own type.
 
-    Ties go to the smallest value.  NULL is not a candidate unless
-    ``include_null`` is set; with it, NULL wins a tie.
+    Ties go to the smallest value.  NULL, and NaN in a floating column, are no
+    candidates unless ``include_null`` is set; with it, both count as NULL, and
+    NULL wins a tie.
     """
     best = _modes(df, columns, include_null)
     return best.select(*[F.col(f"_{i}.v").alias(c) for i, c in enumerate(columns)])
@@ -111,20 +132,23 @@ def impute_modes(
     include_null: bool = False,
     modes: DataFrame | None = None,
 ) -> DataFrame:
-    """Fill NULL with the mode of the column, counted for all columns together.
+    """Fill NULL, and NaN in floating columns, with the column's mode.
 
-    The modes enter as a one-row scalar subquery, named once and read by each
-    column: no join, no round trip.  Pass ``modes`` (a settled
+    The modes of all columns are counted together and enter as a one-row scalar
+    subquery, named once and read by each column: no join, no round trip.  Pass ``modes`` (a settled
     :func:`mode_row`) when the result feeds several actions, so that they are
     not counted anew for each.  A column without any value stays NULL.
     """
     row = mode_row(df, columns, include_null) if modes is None else modes
-    found = row.select(F.struct(*[F.col(f"`{c}`") for c in columns])).scalar()
-    return (
-        df.withColumn("_modes", found)
-        .withColumns({c: F.coalesce(F.col(f"`{c}`"), F.col("_modes")[c]) for c in columns})
-        .drop("_modes")
-    )
+    found = row.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in columns])).scalar()
+    spread = df.withColumn("_modes", found)
+
+    def filled(c: str):
+        value = F.col(f"`{c}`")
+        whole = ~is_missing(df.schema[c], tokens=(), nan=_floating(df, c))
+        return F.when(whole, value).otherwise(F.col("_modes").getField(c)).alias(c)
+
+    return spread.select(*[filled(c) if c in columns else F.col(f"`{c}`") for c in df.columns])
 
 
 def settled_modes(df: DataFrame, columns: Sequence[str], include_null: bool = False) -> DataFrame:
@@ -134,7 +158,7 @@ def settled_modes(df: DataFrame, columns: Sequence[str], include_null: bool = Fa
 
 def drop_missing(df: DataFrame, subset: Sequence[str]) -> DataFrame:
     """Drop rows with NULL (or, in a floating column, NaN) in any of the columns."""
-    return df.dropna(how="any", subset=list(subset))
+    return df.where(is_complete([df.schema[c] for c in subset]))
 
 
 def rows_before_after(df: DataFrame, subset: Sequence[str]) -> DataFrame:

@@ -125,8 +125,17 @@ def adult_citizens(numbers: DataFrame) -> DataFrame:
 
     Numbers are compared as numbers; the bound on the age reaches the scan.
     """
-    adults = op.filter_range(numbers, "AGEP", low=ADULT_AGE)
-    return op.filter_in(adults, "CitizenStatus", CITIZENS, kind="int")
+    return op.filter_in(adults(numbers), "CitizenStatus", CITIZENS, kind="int")
+
+
+def adults(numbers: DataFrame) -> DataFrame:
+    """Everyone of age, citizen or not; the bound reaches the scan."""
+    return op.filter_range(numbers, "AGEP", low=ADULT_AGE)
+
+
+def citizen_counts(df: DataFrame) -> DataFrame:
+    """People per citizen status."""
+    return op.histogram(df, "CitizenStatus")
 
 
 def age_counts(df: DataFrame) -> DataFrame:
@@ -201,6 +210,7 @@ class StatusModel:
     predictions: DataFrame
     metrics: DataFrame
     importances: DataFrame
+    skipped: DataFrame
 
 
 def status_forest(
@@ -209,11 +219,14 @@ def status_forest(
     keys: Sequence[str] | None = None,
     forest: tuple[int, int] = FOREST,
     fit_on: str = "train",
+    number_invalid: str = "error",
 ) -> StatusModel:
     """Poverty status from scaled features, scored on a 20 percent part.
 
     ``fit_on="all"`` fits indices and scaler before the split, so that the test
-    part leaks into them; ``"train"`` does not.
+    part leaks into them; ``"train"`` does not.  A NULL or NaN number fails the
+    job, or with ``number_invalid="skip"`` its row is left out; ``skipped``
+    counts such rows of the test part.
     """
     if fit_on not in ("train", "all"):
         raise ValueError("fit_on is 'train' or 'all'")
@@ -229,6 +242,7 @@ def status_forest(
         numeric=NUMBERS,
         order=FEATURES,
         scale=True,
+        number_invalid=number_invalid,
     )
     trees, depth = forest
     model = op.train_forest(
@@ -237,6 +251,7 @@ def status_forest(
     predictions = op.predict(model, features, test)
     return StatusModel(
         predictions,
-        op.classification_metrics(predictions),
+        op.classification_metrics(predictions, features.label),
         op.importances(model, features),
+        op.skipped_rows(features, test),
     )

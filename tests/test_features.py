@@ -14,7 +14,6 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import functions as F
 
 from tabkit import operators as op
-from tabkit.operators import correlation
 from tabkit.sources import read_table, settle
 from tests.conftest import SMALL, rows
 
@@ -54,21 +53,32 @@ def test_row_numbers_across_ranges(spark):
     assert far.rdd.getNumPartitions() > 0
 
 
-def test_indexers_carry_only_their_labels(spark, part):
-    models = op.fit_string_indexers(part, ["p_type", "p_size"], ["t", "s"])
-    ml = [StringIndexer(inputCol=c, outputCol="o").fit(part).labels for c in ("p_type", "p_size")]
-    assert [list(m.labels) for m in models] == [list(x) for x in ml]
+def test_labels_are_those_of_the_string_indexer(spark, part):
+    labels = op.fit_labels(part, ["p_type", "p_size"])
+    for c in ("p_type", "p_size"):
+        want = list(StringIndexer(inputCol=c, outputCol="o").fit(part).labels)
+        own = labels.table.where(F.col("column") == c).orderBy("index")
+        assert [r["value"] for r in own.collect()] == want
 
 
-def test_too_many_labels_are_refused(spark, part):
-    with pytest.raises(ValueError, match="p_name|p_partkey"):
-        op.fit_string_indexers(part, ["p_type", "p_partkey"], ["a", "b"], max_labels=50)
+def test_more_than_ten_thousand_labels(spark):
+    train = spark.range(12_000).selectExpr("cast(id as string) as k", "id % 2 as y")
+    labels = op.fit_labels(train, ["k"])
+    assert labels.count("k") == 12_000
+    test = spark.createDataFrame([("7",), ("new",), (None,)], "k string")
+    got = dict(rows(op.apply_labels(test, labels, ["k"], ["i"], "keep")))
+    assert got["new"] == got[None] == 12_000.0 and got["7"] < 12_000
+    kept = op.apply_labels(test, labels, ["k"], ["i"], "keep").schema["i"].metadata["ml_attr"]
+    assert kept["num_vals"] == 12_001 and "vals" not in kept
+    with pytest.raises(Exception, match="a new value in k"):
+        op.apply_labels(test, labels, ["k"], ["i"], "null", "error").collect()
+    assert dict(rows(op.apply_labels(test, labels, ["k"], ["i"])))["new"] is None
 
 
 def test_unseen_label_gets_the_last_index(spark, edge):
-    train = edge.where("label != 'c'")
-    (model,) = op.fit_string_indexers(train, ["label"], ["i"])
-    assert {r["i"] for r in model.transform(edge.where("label = 'c'")).collect()} == {2.0}
+    labels = op.fit_labels(edge.where("label != 'c'"), ["label"])
+    seen = op.apply_labels(edge.where("label = 'c'"), labels, ["label"], ["i"], "keep")
+    assert {r["i"] for r in seen.collect()} == {2.0}
 
 
 def test_min_max_equals_the_vector_form(spark, part):
@@ -105,9 +115,7 @@ def matrix(long, columns):
 COLUMNS = ["l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount"]
 
 
-@pytest.mark.parametrize("limit", [8, 2])
-def test_correlation_equals_spark_ml(spark, monkeypatch, limit):
-    monkeypatch.setattr(correlation, "SQL_COLUMNS", limit)
+def test_correlation_equals_spark_ml(spark):
     lines = read_table(spark, SMALL, "lineitem")
     got = matrix(op.corr_long(lines, COLUMNS), COLUMNS)
     packed = VectorAssembler(inputCols=COLUMNS, outputCol="f").transform(lines)
@@ -116,9 +124,7 @@ def test_correlation_equals_spark_ml(spark, monkeypatch, limit):
     assert np.allclose(got, got.T) and np.allclose(np.diag(got), 1.0)
 
 
-@pytest.mark.parametrize("limit", [8, 2])
-def test_correlation_of_constant_and_missing(ansi, spark, monkeypatch, limit):
-    monkeypatch.setattr(correlation, "SQL_COLUMNS", limit)
+def test_correlation_of_constant_and_missing(ansi, spark):
     df = spark.createDataFrame(
         [(1.0, 0.1, 2.0), (2.0, 0.1, 4.1), (3.0, 0.1, 6.0), (None, 0.1, 9.0), (5.0, 0.1, float("nan"))],
         "a double, c double, b double",
@@ -132,6 +138,30 @@ def test_correlation_of_constant_and_missing(ansi, spark, monkeypatch, limit):
     assert all(r["corr"] is None for r in empty)
 
 
+@pytest.mark.parametrize("width", [2, 10, 11, 40])
+def test_correlation_does_not_depend_on_the_width(spark, width):
+    names = [f"c{i}" for i in range(width)]
+    cell = "CASE WHEN {i} = 0 AND id = 7 THEN double('Infinity') ELSE cast(pmod(xxhash64(id, {i}), 97) AS double) END AS c{i}"
+    df = spark.range(200).selectExpr("id", *[cell.format(i=i) for i in range(width)])
+    got = {(r["col_a"], r["col_b"]): r["corr"] for r in op.corr_long(df, names).collect()}
+    assert len(got) == width * width
+    assert all(v is None for (a, b), v in got.items() if "c0" in (a, b))
+    assert got["c1", "c1"] == 1.0
+    if width > 2:
+        pdf = df.select("c1", "c2").toPandas()
+        assert got["c1", "c2"] == pytest.approx(np.corrcoef(pdf["c1"], pdf["c2"])[0, 1], abs=1e-12)
+
+
+def test_forty_categories_and_a_pair_without_rows(spark):
+    names = [f"k{i}" for i in range(40)]
+    df = spark.range(60).selectExpr(*[f"pmod(xxhash64(id, {i}), 3) AS k{i}" for i in range(40)])
+    assert op.cramers_v(df, names).count() == 780
+    assert op.corr_categorical(df, names).count() == 1600
+    apart = spark.createDataFrame([("a", None, "x"), (None, "b", "y"), ("c", None, "y")], "p string, q string, r string")
+    got = {(r["col_a"], r["col_b"]): r["v"] for r in op.cramers_v(apart, ["p", "q", "r"]).collect()}
+    assert set(got) == {("p", "q"), ("p", "r"), ("q", "r")} and got["p", "q"] is None and got["p", "r"] == 1.0
+
+
 def test_correlation_far_from_zero(spark):
     df = spark.range(1000).select(
         (F.col("id") * 1e-3 + 1e9).alias("a"), (F.col("id") % 7 * 1e-3 - 1e9).alias("b")

@@ -47,6 +47,23 @@ def test_metrics_equal_the_evaluator(ansi, spark):
     assert got["weightedRecall"] == pytest.approx(got["accuracy"])
 
 
+@pytest.mark.parametrize("kinds", [("int", "double"), ("bigint", "double"), ("double", "int"), ("decimal(5,1)", "float")])
+def test_metrics_compare_numbers_as_numbers(spark, kinds):
+    pairs = [(0, 0), (0, 1), (1, 1), (1, 1), (2, 0)]
+    df = spark.createDataFrame(pairs, "l int, p int").selectExpr(
+        f"cast(l as {kinds[0]}) as label", f"cast(p as {kinds[1]}) as prediction"
+    )
+    plain = df.selectExpr("cast(label as double) label", "cast(prediction as double) prediction")
+    for r in op.classification_metrics(df).collect():
+        want = MulticlassClassificationEvaluator(metricName=r["metric"]).evaluate(plain)
+        assert r["value"] == pytest.approx(want), r["metric"]
+
+
+def test_numbers_are_not_compared_with_texts(spark):
+    with pytest.raises(ValueError, match="different types"):
+        op.metrics_row(spark.createDataFrame([("1", 1.0)], "label string, prediction double"))
+
+
 def test_metrics_read_the_predictions_once(spark, tmp_path):
     judged(spark).write.parquet(str(tmp_path / "p"))
     metrics = op.classification_metrics(spark.read.parquet(str(tmp_path / "p")))
@@ -90,6 +107,49 @@ def test_many_categories_get_enough_bins(spark):
     op.train_forest(op.apply_features(features, df), features, op.ForestParams(1, 2))
 
 
+def test_as_many_classes_as_labels_and_no_null_class(spark):
+    df = separable(spark)
+    features = op.fit_features(df, ["kind"], "answer")
+    model = op.train_forest(op.apply_features(features, df), features, op.ForestParams(1, 2))
+    assert model.numClasses == 2
+    holed = df.withColumn("answer", F.when(F.col("id") % 10 > 0, F.col("answer")))
+    with pytest.raises(Exception, match="NULL in answer"):
+        op.apply_features(op.fit_features(holed, ["kind"], "answer"), holed).collect()
+    skipping = op.fit_features(holed, ["kind"], "answer", label_invalid="skip")
+    assert op.apply_features(skipping, holed).count() == 540
+    assert tuple(op.skipped_rows(skipping, holed).head()) == (600, 0, 60)
+    with pytest.raises(Exception, match="a new value in answer"):
+        op.predict(model, features, df.withColumn("answer", F.lit("perhaps"))).collect()
+
+
+def test_bad_numbers_fail_or_are_counted(spark):
+    df = separable(spark).withColumn("noise", F.when(F.col("id") % 5 > 0, F.col("noise")))
+    strict = op.fit_features(df, ["kind"], "answer", numeric=["noise"])
+    with pytest.raises(Exception):
+        op.apply_features(strict, df).collect()
+    loose = op.fit_features(df, ["kind"], "answer", numeric=["noise"], number_invalid="skip")
+    assert op.apply_features(loose, df).count() == 480
+    assert tuple(op.skipped_rows(loose, df).head()) == (600, 120, 0)
+
+
+def test_tables_may_have_columns_of_the_usual_names(spark):
+    df = separable(spark).withColumnsRenamed({"answer": "label", "noise": "features"})
+    features = op.fit_features(df, ["kind"], "label", numeric=["features"])
+    assert (features.column, features.label) == ("_features", "_label")
+    model = op.train_forest(op.apply_features(features, df), features, op.ForestParams(1, 5, 4))
+    assert op.metrics_row(op.predict(model, features, df), features.label).head()["accuracy"] > 0.9
+
+
+def test_partitioning_does_not_change_a_forest(spark):
+    df = separable(spark)
+    features = op.fit_features(df, ["kind"], "answer", numeric=["noise"])
+    found = [
+        op.train_forest(op.apply_features(features, df.repartition(n)), features, op.ForestParams(3, 5, 6))
+        for n in (4, 16)
+    ]
+    assert found[0].featureImportances == found[1].featureImportances
+
+
 def test_label_seen_only_in_test(spark):
     df = separable(spark)
     train, test = df.where("kind != 'f'"), df.where("kind = 'f'")

@@ -125,3 +125,48 @@ def test_rows_before_after_matches_the_drop(ansi, edge):
 @pytest.mark.parametrize("limit, gone", [(10.0, {"cat", "txt_num", "num"}), (50.0, {"cat"}), (99.0, set())])
 def test_drop_sparse(edge, limit, gone):
     assert set(edge.columns) - set(op.drop_sparse(edge, limit).columns) == gone
+
+
+def test_nan_is_no_mode_and_is_filled(ansi, spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(nan,), (nan,), (None,), (1.0,)], "x double")
+    assert rows(op.mode_row(df, ["x"])) == [(1.0,)]
+    assert rows(op.impute_modes(df, ["x"])) == [(1.0,)] * 4
+    assert op.missing_profile(op.impute_modes(df, ["x"])).head()["n_missing"] == 0
+    assert rows(op.column_modes(df, ["x"], include_null=True)) == [("x", None, 3)]
+
+
+def test_unknown_columns_and_maps_are_refused(spark, edge):
+    with pytest.raises(ValueError, match="no such columns: nowhere"):
+        op.null_tokens(edge, columns=["nowhere"])
+    with pytest.raises(ValueError, match="a map has no mode"):
+        op.mode_row(spark.createDataFrame([({"a": 1},)], "m map<string,int>"), ["m"])
+
+
+DOTTED = {
+    "null_tokens": lambda df: op.null_tokens(df, ["-"], ["a.b"]),
+    "missing_profile": op.missing_profile,
+    "missing_counts": op.missing_counts,
+    "modes": lambda df: op.column_modes(df, ["a.b", "n.m"]),
+    "impute": lambda df: op.impute_modes(df, ["a.b", "n.m"]),
+    "drop_missing": lambda df: op.drop_missing(df, ["a.b"]),
+    "before_after": lambda df: op.rows_before_after(df, ["a.b"]),
+    "group_count": lambda df: op.group_count_ranked(df, ["a.b"]),
+    "top_k": lambda df: op.top_k(df, ["a.b"], 1),
+    "histogram": lambda df: op.histogram(df, "n.m"),
+    "group_mean": lambda df: op.group_mean(df, ["a.b"], "n.m"),
+    "group_mean_ratio": lambda df: op.group_mean_ratio(df, ["a.b"], "n.m"),
+    "index": lambda df: op.index_labels(df, ["a.b"]),
+    "corr": lambda df: op.corr_long(df, ["n.m", "k"]),
+    "corr_categorical": lambda df: op.corr_categorical(df, ["a.b", "k"]),
+    "cramers": lambda df: op.cramers_v(df, ["a.b", "k"]),
+    "min_max": lambda df: op.min_max(df, ["n.m"]),
+}
+
+
+@pytest.mark.parametrize("name", sorted(DOTTED))
+def test_dots_in_names(spark, name):
+    df = spark.createDataFrame(
+        [("x", 1.0, 1), ("x", 2.0, 2), ("-", None, 1), (None, 4.0, 3)], "`a.b` string, `n.m` double, k int"
+    )
+    assert DOTTED[name](df).count() > 0
