@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from tabkit.operators.lookup import BROADCAST_BYTES, measured_bytes
 from tabkit.sources import settle
 
+# Bytes of a range that is sorted and numbered in one task.
+RANGE_BYTES = 32 * 1024 * 1024
+
+# monotonically_increasing_id puts the partition above this many bits.
+_WITHIN = 33
+
 
 def number_rows(
     df: DataFrame,
@@ -18,13 +24,16 @@ def number_rows(
     name: str,
     max_bytes: int = BROADCAST_BYTES,
     size: int | None = None,
+    range_bytes: int = RANGE_BYTES,
 ) -> DataFrame:
     """``row_number()`` per ``by`` group in a total order, starting at 0.
 
     ``df`` must be settled.  Measured below ``max_bytes``, it is one window.
-    Beyond that the rows are range-partitioned by group and order, numbered
-    inside each range, and shifted by the sizes of the ranges before it; the
-    table of sizes has one row per range and group in it.
+    Beyond that the rows are put in ranges of about ``range_bytes`` by group and
+    order, sorted there, and settled with their place in the range: one
+    shuffle.  A group's number is that place, less the group's first place in
+    the range, plus the group's rows in the ranges before; the table of these
+    has one row per range and group in it.
     """
     keys = [F.col(f"`{b}`") for b in by]
     size = measured_bytes(df) if size is None else size
@@ -32,24 +41,26 @@ def number_rows(
         window = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(name, F.row_number().over(window) - 1)
 
-    ranges = settle(
-        df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id())
-    )
+    n = max(2, -(-size // range_bytes))
+    placed = settle(
+        df.repartitionByRange(n, *keys, *order)
+        .sortWithinPartitions(*keys, *order)
+        .withColumn("_at", F.monotonically_increasing_id())
+    ).withColumn("_range", F.shiftright("_at", _WITHIN))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    shift = (
-        ranges.groupBy(*keys, "_range")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_shift", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-        .select(*[k.alias(f"_by{i}") for i, k in enumerate(keys)],
-                F.col("_range").alias("_range_of"), "_shift")
+    starts = (
+        placed.groupBy(*keys, "_range")
+        .agg(F.count(F.lit(1)).alias("_rows"), F.min("_at").alias("_first"))
+        .withColumn("_shift", F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first"))
+        .select(
+            *[k.alias(f"_by{i}") for i, k in enumerate(keys)], F.col("_range").alias("_range_of"), "_shift"
+        )
     )
     same = F.col("_range") == F.col("_range_of")
     for i, k in enumerate(keys):
         same = same & k.eqNullSafe(F.col(f"_by{i}"))
-    inside = Window.partitionBy("_range", *keys).orderBy(*order)
     return (
-        ranges.withColumn("_inside", F.row_number().over(inside) - 1)
-        .join(shift, same, "inner")
-        .withColumn(name, F.col("_inside") + F.col("_shift"))
-        .select(*df.columns, name)
+        placed.join(starts, same, "inner")
+        .withColumn(name, F.col("_at") + F.col("_shift"))
+        .select(*[F.col(f"`{c}`") for c in df.columns], name)
     )

@@ -115,11 +115,11 @@ def skewed(spark):
 
 
 @pytest.mark.parametrize("null_safe", [False, True])
-@pytest.mark.parametrize("max_bytes, shares", [(1 << 20, 20), (500, 20), (0, 20), (5000, 1)])
-def test_join_lookup_paths_agree(spark, null_safe, max_bytes, shares):
+@pytest.mark.parametrize("max_bytes, rows_per_task", [(1 << 20, 100), (0, 100), (0, 1), (0, 10_000)])
+def test_join_lookup_paths_agree(spark, null_safe, max_bytes, rows_per_task):
     df = skewed(spark)
     stats = settle(df.groupBy("k").agg(F.avg("x").alias("m"), F.count(F.lit(1)).alias("_rows")))
-    got = join_lookup(df, stats, ["k"], "_rows", null_safe, max_bytes, shares)
+    got = join_lookup(df, stats, ["k"], "_rows", null_safe, max_bytes, rows_per_task)
     means: dict = {}
     for _, k, x in df.collect():
         means.setdefault(k, []).append(x)
@@ -130,16 +130,26 @@ def test_join_lookup_paths_agree(spark, null_safe, max_bytes, shares):
     assert sorted(tuple(r) for r in got.collect()) == want
 
 
-def test_hot_rows_are_not_shuffled(spark):
-    df = skewed(spark)
-    stats = settle(df.groupBy("k").agg(F.avg("x").alias("m"), F.count(F.lit(1)).alias("_rows")))
-    assert measured_bytes(stats) > 500
+def test_a_hot_and_long_key_is_split_and_the_source_read_once(spark, tmp_path):
+    """Half of the rows have one key, of ten thousand characters."""
+    key = F.when(F.col("id") % 2 == 0, F.repeat(F.lit("h"), 10_000)).otherwise(F.col("id").cast("string"))
+    spark.range(4000).select("id", key.alias("k")).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    stats = settle(df.groupBy("k").agg(F.max("id").alias("m"), F.count(F.lit(1)).alias("_rows")))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = executed(join_lookup(df, stats, ["k"], "_rows", False, 500, 20))
+        joined = join_lookup(df, stats, ["k"], "_rows", False, 0, 100)
+        plan = executed(joined).split("== Initial Plan ==")[0]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert "BroadcastHashJoin" in plan and "LeftAnti" in plan and "SortMergeJoin" in plan
+    assert plan.count("FileScan") == 1 and "LeftAnti" not in plan
+    got = {r["id"]: r["m"] for r in joined.select("id", "m").collect()}
+    assert got == {i: 3998 if i % 2 == 0 else i for i in range(4000)}
+
+
+def test_the_size_of_nested_values_is_not_guessed(spark):
+    with pytest.raises(ValueError, match="nested columns is not known: v"):
+        measured_bytes(spark.createDataFrame([(1, [1.0])], "k int, v array<double>"))
 
 
 def test_group_mean_does_not_shuffle_the_rows(spark):
