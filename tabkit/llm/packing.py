@@ -10,9 +10,11 @@ their length.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, insort
 from collections import defaultdict
-from itertools import chain
+from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,31 +27,85 @@ from tabkit.llm.quality import docs_key_type
 from tabkit.llm.texts import columns_batch, in_arrow
 from tabkit.sources import shared_path
 
-# Distinct words a task keeps the ids of before it forgets them all.
-KEPT_WORDS = 300_000
+# Distinct words a Python worker keeps the ids of before it forgets them all.
+KEPT_WORDS = 900_000
+#: Texts whose new words are encoded together, and new words encoded in one go.
+TOGETHER = 256
+AT_ONCE = 2000
 
+#: Latin-1: letters in lower case, and how upper case becomes it.
+_LETTERS = rb"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
+_LOWER = bytes(c + 32 if 65 <= c <= 90 or 192 <= c <= 222 and c != 215 else c for c in range(256))
+_PIECES = re.compile(rb"[" + _LETTERS + rb"]+|[0-9]|[^0-9\t-\r \x85\xa0" + _LETTERS + rb"]+")
+#: Texts with one of these are left to the tokenizer as they are: contractions,
+#: special tokens, numerals beyond 0-9, and four controls.
+_PLAIN = re.compile(rb"['\xb2\xb3\xb9\xbc-\xbe\x1c-\x1f]|<\|")
 
-class WordIds(dict):
-    """Token ids of the pieces of a text between white space, remembered.
 
-    Right for a tokenizer that drops white space before it cuts a text into
-    words, so that no token reaches over it.
+class WordIds:
+    """Token ids of whole texts, remembered word by word, as bytes.
+
+    For a tokenizer that lower-cases, drops white space, and cuts a text into
+    runs of letters, single digits and runs of other marks before it merges: no
+    token reaches over such a cut, so each piece's ids can be kept.  Texts beyond
+    Latin-1 are encoded whole.  Ids are little-endian unsigned 32-bit numbers.
     """
 
-    def __init__(self, path: str, most: int = KEPT_WORDS):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= self.most:
-            self.clear()
-        found = self[word] = tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        return found
-
-    def ids(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(map(self.__getitem__, text.split()))) if text else []
+        self.tokenizer = Tokenizer.from_file(path)
+        self.words: dict[bytes, bytes] = {}
+
+    def _encoded(self, piece: str) -> bytes:
+        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        return np.array(ids, "<u4").tobytes()
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Encode runs of letters together: each is one word to the tokenizer."""
+        found = self.tokenizer.encode(b" ".join(words).decode("latin-1"), add_special_tokens=False)
+        ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(words)), "right")
+        raw, start = np.array(found.ids, "<u4").tobytes(), 0
+        for word, end in zip(words, (4 * ends).tolist(), strict=True):
+            self.words[word] = raw[start:end]
+            start = end
+
+    def _pieces(self, text: str | None) -> list[bytes] | None:
+        try:
+            raw = (text or "").encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        return None if _PLAIN.search(raw) else _PIECES.findall(raw.translate(_LOWER))
+
+    def ids(self, texts: Sequence[str | None]) -> list[bytes]:
+        """The ids of each text; NULL has none."""
+        cut = [self._pieces(t) for t in texts]
+        seen = set().union(*filter(None, cut))
+        new = seen.difference(self.words)
+        if len(self.words) + len(new) > KEPT_WORDS:
+            self.words.clear()
+            new = seen
+        letters = []
+        for word in new:
+            if word[0] in _LETTER_BYTES:
+                letters.append(word)
+            else:
+                self.words[word] = self._encoded(word.decode("latin-1"))
+        for at in range(0, len(letters), AT_ONCE):
+            self._learn(letters[at : at + AT_ONCE])
+        find = self.words.__getitem__
+        return [
+            self._encoded(t) if c is None else b"".join(map(find, c)) for t, c in zip(texts, cut, strict=True)
+        ]
+
+
+_LETTER_BYTES = frozenset(c for c in range(256) if re.fullmatch(rb"[" + _LETTERS + rb"]", bytes([c])))
+
+
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One per Python worker, so that its tasks share what is remembered."""
+    return WordIds(path)
 
 
 def plan_packs(histogram: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
@@ -130,19 +186,21 @@ def token_pieces(
     )
 
     def make():
-        words, seen, part = WordIds(tokenizer), defaultdict(int), TaskContext.get().partitionId()
+        words, seen, part = word_ids(tokenizer), defaultdict(int), TaskContext.get().partitionId()
+        end = np.array([end_id], "<u4").tobytes()
 
         def step(batch):
-            rows = []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = words.ids(t)
-                ids.append(end_id)
-                raw = np.array(ids, "<u4").tobytes()
-                for start in range(0, len(ids), size):
-                    length = min(size, len(ids) - start)
-                    piece = raw[4 * start : 4 * (start + length)]
-                    rows.append((k, start, length, len(ids), piece, part, seen[length]))
-                    seen[length] += 1
+            rows, keys, texts = [], batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for at in range(0, len(texts), TOGETHER):
+                found = words.ids(texts[at : at + TOGETHER])
+                for k, ids in zip(keys[at : at + TOGETHER], found, strict=True):
+                    raw = ids + end
+                    total = len(raw) // 4
+                    for start in range(0, total, size):
+                        length = min(size, total - start)
+                        piece = raw[4 * start : 4 * (start + length)]
+                        rows.append((k, start, length, total, piece, part, seen[length]))
+                        seen[length] += 1
             yield columns_batch(zip(*rows, strict=True), arrow)
 
         return step
