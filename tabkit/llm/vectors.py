@@ -19,20 +19,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabkit.llm.components import components
-from tabkit.llm.simhash import forest
 from tabkit.llm.texts import columns_batch, in_arrow
 from tabkit.sources import store
 
 #: Coordinates of a block.
 BLOCK_DIMS = 16
-#: Vectors of a grid cell that are compared in one go; a fuller cell is dealt into parts.
-PART = 1024
+#: Vectors that a grid cell should hold, and those above which it is dealt into parts
+#: that are compared pair by pair of parts.
+TARGET = 1024
+PART = 4096
 #: Leading coordinates of a block that the grid may cut.
-GRID_DIMS = 8
+GRID_DIMS = 5
+#: Rows and pairs that are looked at together in a cell.
+ROWS_AT_ONCE = 512
+PAIRS_AT_ONCE = 1 << 16
 #: A cell is this many radii wide.
 WIDTH = 2.0
-#: Rounding that a budget has to spare.
+#: Rounding that a budget has to spare, in double and in single precision.
 SLACK = 1e-9
+SINGLE_SLACK = 1e-5
 
 
 @lru_cache(maxsize=8)
@@ -67,115 +72,173 @@ def usable(vector: Column) -> Column:
     )
 
 
-def grid_cells(
-    turned: np.ndarray, dims: int, cosine: float, grid: int
-) -> Iterator[tuple[int, int, tuple[int, ...], bool]]:
-    """``(vector, block, cell, home)``: each vector's own cell in every block, and the
-    later neighbour cells that something within the block's radius can lie in."""
-    for b, (block, budget) in enumerate(zip(blocks_of(dims), budgets(dims, cosine), strict=True)):
-        radius = float(np.sqrt(budget))
-        width = WIDTH * radius
-        axes = turned[:, block][:, :grid]
-        own = np.floor(axes / width).astype(np.int64)
-        below = axes - own * width
-        for i, (home, low) in enumerate(zip(own.tolist(), below.tolist(), strict=True)):
-            yield i, b, tuple(home), True
-            steps = []
-            for x in low:
-                side = [(0, 0.0)]
-                if x <= radius:
-                    side.append((-1, x))
-                if width - x <= radius:
-                    side.append((1, width - x))
-                steps.append(side)
-            for move in product(*steps):
-                cell = tuple(h + m[0] for h, m in zip(home, move, strict=True))
-                if cell > tuple(home) and sum(m[1] ** 2 for m in move) <= budget:
-                    yield i, b, cell, False
+def grid_cells(axes: np.ndarray, budget: float) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """``(vectors, cells, home)``: each vector's own cell, and the later neighbour
+    cells that something within the budget of it can lie in.
+
+    Of two vectors within the budget in different cells, the one in the earlier
+    cell visits the other's: every pair meets in exactly one cell.
+    """
+    radius = float(np.sqrt(budget))
+    width = WIDTH * radius
+    own = np.floor(axes / width).astype(np.int32)
+    low = axes - own * width
+    yield np.arange(len(axes)), own, True
+    gaps = {-1: low, 0: np.zeros_like(low), 1: width - low}
+    for move in product((-1, 0, 1), repeat=axes.shape[1]):
+        if move > (0,) * len(move):
+            away = np.stack([gaps[m][:, k] for k, m in enumerate(move)])
+            some = np.flatnonzero((away <= radius).all(axis=0) & ((away * away).sum(axis=0) <= budget))
+            if len(some):
+                yield some, own[some] + np.array(move, np.int32), False
+
+
+def _lists(values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    n, width = values.shape
+    ends = pa.array(np.arange(n + 1) * width, pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.array(values.ravel(), kind))
+
+
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """Lists of one length as rows."""
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
 
 
 def _placed(classes: DataFrame, cosine: float, seed: int) -> DataFrame:
     """A row per vector, block and cell.  Vectors of floats travel as floats."""
     number = "float" if classes.schema["vector"].dataType.simpleString() == "array<float>" else "double"
+    kind = pa.float32() if number == "float" else pa.float64()
     arrow = pa.schema(
-        [("label", pa.string()), ("dims", pa.int32()), ("block", pa.int32()), ("cell", pa.string()),
-         ("home", pa.bool_()), ("rep", pa.int64()), ("n", pa.int64()), ("vector", pa.list_(pa.float32() if number == "float" else pa.float64()))]
+        [("label", pa.string()), ("dims", pa.int32()), ("block", pa.int32()), ("cell", pa.list_(pa.int32())),
+         ("home", pa.bool_()), ("rep", pa.int64()), ("n", pa.int64()), ("vector", pa.list_(kind))]
     )
 
     def make():
         def step(batch) -> Iterator[pa.RecordBatch]:
-            labels, reps, counts, vectors, dims, grids = (c.to_pylist() for c in batch.columns)
-            rows = []
-            for group in sorted(set(zip(dims, grids, strict=True))):
-                mine = [i for i, g in enumerate(zip(dims, grids, strict=True)) if g == group]
-                size, grid = group
-                turned = unit(np.array([vectors[i] for i in mine])) @ rotation(size, seed)
-                for j, b, cell, home in grid_cells(turned, size, cosine, grid):
-                    i = mine[j]
-                    rows.append((labels[i], size, b, ",".join(map(str, cell)), home, reps[i], counts[i], vectors[i]))
-            for at in range(0, len(rows), 20_000):
-                yield columns_batch(zip(*rows[at : at + 20_000], strict=True), arrow)
+            dims, grids = (batch.column(k).to_numpy() for k in (4, 5))
+            for size, grid in sorted(set(zip(dims.tolist(), grids.tolist(), strict=True))):
+                mine = batch.filter(pa.array((dims == size) & (grids == grid)))
+                given = _matrix(mine.column(3))
+                turned = unit(given) @ rotation(size, seed)
+                for b, (block, budget) in enumerate(zip(blocks_of(size), budgets(size, cosine), strict=True)):
+                    for which, cells, home in grid_cells(turned[:, block][:, :grid], budget):
+                        n = len(which)
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                mine.column(0).take(pa.array(which)),
+                                pa.array(np.full(n, size, np.int32)),
+                                pa.array(np.full(n, b, np.int32)),
+                                _lists(cells, pa.int32()),
+                                pa.array(np.full(n, home)),
+                                mine.column(1).take(pa.array(which)),
+                                mine.column(2).take(pa.array(which)),
+                                _lists(given[which], kind),
+                            ],
+                            schema=arrow,
+                        )
 
         return step
 
     return in_arrow(
         classes.select("label", "rep", "n", F.col("vector").cast(f"array<{number}>").alias("vector"), "dims", "grid"),
         make,
-        f"label string, dims int, block int, cell string, home boolean, rep bigint, n bigint, vector array<{number}>",
+        f"label string, dims int, block int, cell array<int>, home boolean, rep bigint, n bigint, vector array<{number}>",
     )
 
 
+def _near_in_block(turned: np.ndarray, budget: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs ``i < j`` within the budget, and some a little beyond it, for some i at a time."""
+    x = turned.astype(np.float32)
+    half = (x * x).sum(axis=1) / 2
+    for at in range(0, len(x), ROWS_AT_ONCE):
+        upper = x[at : at + ROWS_AT_ONCE] @ x[at:].T
+        upper -= half[at : at + ROWS_AT_ONCE, None]
+        upper -= half[None, at:]
+        i, j = np.nonzero(upper >= -(budget + SINGLE_SLACK) / 2)
+        later = j > i
+        yield i[later] + at, j[later] + at
+
+
+def _share_of(turned: np.ndarray, i: np.ndarray, j: np.ndarray, block: slice) -> np.ndarray:
+    gap = turned[i, block] - turned[j, block]
+    return (gap * gap).sum(axis=1)
+
+
+class _Forest:
+    """Joins numbers; tells which links join what was apart."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    def joins(self, i: int, j: int) -> bool:
+        a, b = self.root(i), self.root(j)
+        if a == b:
+            return False
+        self.up[max(a, b)] = min(a, b)
+        return True
+
+
 def _compare(cosine: float, seed: int):
     """A function for sorted rows of cells: links counted, and a spanning forest of them."""
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
-    def compared(dims, block, same, part, home, reps, counts, vectors) -> Iterator[pa.RecordBatch]:
+    def compared(block, same, part, home, reps, counts, vectors) -> Iterator[pa.RecordBatch]:
         if len(reps) < 2 or not home.any():
             return
         v = unit(vectors)
+        dims = v.shape[1]
         turned = v @ rotation(dims, seed)
         share, parts = budgets(dims, cosine), blocks_of(dims)
-
-        def near(b: int) -> np.ndarray:
-            x = turned[:, parts[b]]
-            squares = (x * x).sum(axis=1)
-            return squares[:, None] + squares[None, :] - 2 * (x @ x.T) <= share[b]
-
-        pairs = near(block) & (home[:, None] | home[None, :])
-        if not same:
-            pairs &= part[:, None] != part[None, :]
-        i, j = np.nonzero(np.triu(pairs, 1))
-        if not len(i):
-            return
-        good = np.einsum("ij,ij->i", v[i], v[j]) >= cosine
-        i, j = i[good], j[good]
-        linked = np.zeros((len(reps), len(reps)), bool)
-        linked[i, j] = linked[j, i] = True
-        edges = np.array(list(forest(linked)), np.int64).reshape(-1, 2)
-        for b in range(block):  # a pair counts in the first block that has it
-            linked &= ~near(b)
-        links = linked @ counts
+        links, tree, edges = np.zeros(len(reps), np.int64), _Forest(len(reps)), []
+        for i, j in _near_in_block(turned[:, parts[block]], share[block]):
+            good = home[i] | home[j]
+            if not same:
+                good &= part[i] != part[j]
+            i, j = i[good], j[good]
+            for at in range(0, len(i), PAIRS_AT_ONCE):
+                a, b = i[at : at + PAIRS_AT_ONCE], j[at : at + PAIRS_AT_ONCE]
+                near = _share_of(turned, a, b, parts[block]) <= share[block]
+                near &= (v[a] * v[b]).sum(axis=1) >= cosine
+                a, b = a[near], b[near]
+                edges += [(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True) if tree.joins(x, y)]
+                new = np.ones(len(a), bool)
+                for k in range(block):  # a pair counts in the first block that has it
+                    new &= _share_of(turned, a, b, parts[k]) > share[k]
+                links += np.bincount(a[new], counts[b[new]], len(reps)).astype(np.int64)
+                links += np.bincount(b[new], counts[a[new]], len(reps)).astype(np.int64)
         some = np.flatnonzero(links)
-        a = np.concatenate([reps[some], reps[edges[:, 0]]])
-        other = [None] * len(some) + reps[edges[:, 1]].tolist()
-        yield columns_batch((a, other, np.concatenate([links[some], np.zeros(len(edges), np.int64)])), arrow)
+        ends = np.array(edges, np.int64).reshape(-1, 2)
+        a = np.concatenate([reps[some], reps[ends[:, 0]]])
+        other = [None] * len(some) + reps[ends[:, 1]].tolist()
+        yield columns_batch((a, other, np.concatenate([links[some], np.zeros(len(ends), np.int64)])), arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[pa.RecordBatch] = []
         now = None
 
         def emit() -> Iterator[pa.RecordBatch]:
             if held:
-                _, dims, block, _, p, q = now
-                part, home, reps, counts, vectors = (np.array(x) for x in zip(*held, strict=True))
-                yield from compared(dims, block, p == q, part, home, reps, counts, vectors)
+                all_ = pa.Table.from_batches(held).combine_chunks()
+                block, same = all_.column(1)[0].as_py(), all_.column(2)[0].as_py()
+                part, home, reps, counts = (all_.column(k).to_numpy() for k in range(3, 7))
+                vectors = _matrix(all_.column(7).combine_chunks())
+                yield from compared(block, same, part, home, reps, counts, vectors)
 
         for batch in batches:
-            for label, dims, block, cell, p, q, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (label, dims, block, cell, p, q) != now:
+            names = batch.column(0).dictionary_encode()
+            change = np.flatnonzero(np.diff(names.indices.to_numpy())) + 1
+            for start, end in zip([0, *change], [*change, batch.num_rows], strict=True):
+                name = batch.column(0)[int(start)].as_py()
+                if name != now:
                     yield from emit()
-                    held, now = [], (label, dims, block, cell, p, q)
-                held.append(tuple(row))
+                    held, now = [], name
+                held.append(batch.slice(start, end - start))
         yield from emit()
 
     return run
@@ -212,10 +275,10 @@ def near_vectors(
         "vectors",
     ).withColumn("dims", F.size("vector"))
     # The more vectors share a label, the more coordinates the grid cuts: a cell
-    # then holds about PART of them, at some three cells to a coordinate.
+    # then holds about TARGET of them, at some three cells to a coordinate.
     counts = store(classes.groupBy("label", "dims").agg(F.count(F.lit(1)).alias("many")), "many")
     grid = F.least(
-        F.greatest(F.ceil(F.log(F.col("many") / PART) / F.log(F.lit(3.0))), F.lit(0)), F.lit(GRID_DIMS)
+        F.greatest(F.ceil(F.log(F.col("many") / TARGET) / F.log(F.lit(3.0))), F.lit(0)), F.lit(GRID_DIMS)
     ).cast("int")
     placed = _placed(classes.join(counts, ["label", "dims"]).withColumn("grid", grid), cosine, seed)
     where = ["label", "dims", "block", "cell"]
@@ -225,19 +288,19 @@ def near_vectors(
     )
     parts = F.coalesce(F.ceil(F.col("rows") / PART), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    low, high = F.least("part", "other"), F.greatest("part", "other")
+    name = F.concat_ws(":", F.col("dims"), F.col("block"), F.concat_ws(",", "cell"), low, high, F.col("label"))
     dealt = (
         placed.join(full, where, "left")
         .withColumn("parts", parts)
         .withColumn("part", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select(
-            *where, F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"),
-            "part", "home", "rep", "n", "vector",
-        )
-    )
-    at = [*where, "p", "q"]
+        .select(name.alias("name"), "block", (low == high).alias("same"), "part", "home", "rep", "n", "vector")
+    )
     found = store(
-        dealt.repartition(*at).sortWithinPartitions(*at).mapInArrow(_compare(cosine, seed), "a bigint, b bigint, n bigint"),
+        dealt.repartition("name").sortWithinPartitions("name").mapInArrow(
+            _compare(cosine, seed), "a bigint, b bigint, n bigint"
+        ),
         "found",
     )
     links = found.where(F.col("b").isNull()).groupBy("a").agg(F.sum("n").alias("links"))

@@ -55,9 +55,10 @@ def vector_rows():
     return found
 
 
-@pytest.mark.parametrize("part", [1024, 4])
-def test_vectors_by_brute_force(spark, monkeypatch, part):
+@pytest.mark.parametrize(("part", "target"), [(4096, 1024), (4, 1024), (4096, 3), (5, 2)])
+def test_vectors_by_brute_force(spark, monkeypatch, part, target):
     monkeypatch.setattr(vectors, "PART", part)
+    monkeypatch.setattr(vectors, "TARGET", target)
     data = vector_rows()
     table = spark.createDataFrame(data, "vec_id bigint, embedding array<double>, label int").repartition(5)
     x = np.array([v for _, v, _ in data])
