@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from catalogue.inputs import DIRTY_CUSTOMER, DIRTY_PART, dirty_customer, dirty_part
 from catalogue.registry import query
 from tabkit import operators as op
+from tabkit.sources import read_table
 
 _TOKENS = "('(No value)', 'UNKNOWN', '(null)')"
 _CLEAN = f"""SELECT c_custkey, c_nationkey, CASE WHEN seg NOT IN {_TOKENS} THEN seg END AS seg,
@@ -159,3 +160,20 @@ def row_count_before_after(spark: SparkSession, d: str) -> DataFrame:
 @query("drop_sparse_columns", f"SELECT c_custkey, c_nationkey, seg, bal_text, bal, age_text FROM ({DIRTY_CUSTOMER})")
 def drop_sparse_columns(spark: SparkSession, d: str) -> DataFrame:
     return op.drop_sparse(dirty_customer(spark, d), max_pct=60.0)
+
+
+@query(
+    "impute_modes_nan",
+    """WITH t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'NaN'::DOUBLE
+        WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_custkey % 4 END AS x FROM orders),
+      m AS (SELECT x FROM t WHERE x IS NOT NULL AND NOT isnan(x) GROUP BY x ORDER BY count(*) DESC, x LIMIT 1)
+    SELECT o_orderkey, CASE WHEN x IS NULL OR isnan(x) THEN (SELECT x FROM m) ELSE x END AS x FROM t""",
+)
+def impute_modes_nan(spark: SparkSession, d: str) -> DataFrame:
+    """NaN is missing: never the mode, and filled with it."""
+    orders = read_table(spark, d, "orders").selectExpr(
+        "o_orderkey",
+        """CASE WHEN o_orderkey % 3 = 0 THEN double('NaN') WHEN o_orderkey % 5 = 0 THEN NULL
+           ELSE cast(o_custkey % 4 AS double) END AS x""",
+    )
+    return op.impute_modes(orders, ["x"])

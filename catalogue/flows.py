@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,7 +116,34 @@ _COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in arrests_plan.CORRELATED)
     f"{corr_sql(arrests_plan.CORRELATED, 'whole')}",
 )
 def arrests_correlation(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(arrests_plan.correlation(arrests_plan.prepared(arrests(spark, d))))
+    ready = arrests_plan.prepared(arrests(spark, d), columns=arrests_plan.CORRELATED)
+    return rounded(arrests_plan.correlation(ready))
+
+
+@query(
+    "arrests_adult_age_counts",
+    f"WITH {_ARRESTS_READY} SELECT AGE_GROUP, count(*) AS n FROM ready GROUP BY 1 ORDER BY n DESC, 1",
+)
+def arrests_adult_age_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Age groups after the minors are gone."""
+    return arrests_plan.age_counts(arrests_plan.adults(arrests_plan.clean(arrests(spark, d))))
+
+
+@query(
+    "arrests_importance_sums",
+    "SELECT num_trees, max_depth, CAST(6 AS BIGINT) AS n_features, 1.0::DOUBLE AS importances FROM (VALUES "
+    + ", ".join(f"({n}, {k})" for n, k in arrests_plan.FORESTS)
+    + ") AS f(num_trees, max_depth)",
+)
+def arrests_importance_sums(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold for the importances of any forest of the sweep."""
+    needed = (*arrests_plan.CATEGORIES, arrests_plan.LABEL, "ARREST_KEY")
+    ready = arrests_plan.prepared(arrests(spark, d), columns=needed)
+    train, test = arrests_plan.split(ready, ["ARREST_KEY"])
+    _, found = arrests_plan.severity_importances(train, test, seed=42)
+    return found.groupBy("num_trees", "max_depth").agg(
+        F.count(F.lit(1)).alias("n_features"), F.round(F.sum("importance"), 9).alias("importances")
+    )
 
 
 @query("arrests_severity_sweep")
@@ -164,6 +192,29 @@ def poverty_age_counts(spark: SparkSession, d: str) -> DataFrame:
     return poverty_plan.age_counts(poverty_plan.people(poverty(spark, d)))
 
 
+_POVERTY_ALL = f"""{_POVERTY_CLEAN},
+  everyone AS (SELECT * REPLACE ({_CASTS}) FROM clean)"""
+
+
+@query(
+    "poverty_adult_age_counts",
+    f"WITH {_POVERTY_ALL} SELECT AGEP, count(*) AS n FROM everyone WHERE AGEP >= 18 GROUP BY 1 ORDER BY 1",
+)
+def poverty_adult_age_counts(spark: SparkSession, d: str) -> DataFrame:
+    """All adults, before the citizens are chosen."""
+    return poverty_plan.age_counts(poverty_plan.adults(poverty_plan.residents(poverty(spark, d))))
+
+
+@query(
+    "poverty_citizen_counts",
+    f"""WITH {_POVERTY_ALL} SELECT CAST(CitizenStatus AS INTEGER) AS CitizenStatus, count(*) AS n
+    FROM everyone WHERE AGEP >= 18 GROUP BY 1 ORDER BY 1""",
+)
+def poverty_citizen_counts(spark: SparkSession, d: str) -> DataFrame:
+    adults = poverty_plan.adults(poverty_plan.residents(poverty(spark, d)))
+    return poverty_plan.citizen_counts(adults)
+
+
 @query("poverty_ready", f"WITH {_POVERTY_READY} SELECT * FROM ready")
 def poverty_ready(spark: SparkSession, d: str) -> DataFrame:
     ready = poverty_plan.prepared(poverty(spark, d))
@@ -223,6 +274,29 @@ def poverty_scaled(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    "poverty_status_checks",
+    f"""WITH {_POVERTY_READY} SELECT count(*) AS n_rows, count(*) AS n_sums_of_one, TRUE AS recall_is_accuracy,
+      1.0::DOUBLE AS importances, CAST(0 AS BIGINT) AS n_skipped FROM ready
+      WHERE CAST('0x' || substring(md5(PERSON_KEY), 1, 8) AS BIGINT) % 100 >= 80""",
+)
+def poverty_status_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold for the forest of 100 trees of depth 10, whatever it learns."""
+    model = poverty_plan.status_forest(
+        poverty_plan.people(poverty(spark, d)), seed=42, keys=["PERSON_KEY"]
+    )
+    sums = F.aggregate(vector_to_array("probability"), F.lit(0.0), lambda a, x: a + x)
+    rows = model.predictions.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.abs(sums - 1) < 1e-9).alias("n_sums_of_one")
+    )
+    value = F.max(F.when(F.col("metric") == "accuracy", F.col("value")))
+    recall = F.max(F.when(F.col("metric") == "weightedRecall", F.col("value")))
+    agree = model.metrics.agg((F.abs(value - recall) < 1e-9).alias("recall_is_accuracy"))
+    total = model.importances.agg(F.round(F.sum("importance"), 9).alias("importances"))
+    skipped = model.skipped.select((F.col("n_bad_number") + F.col("n_bad_label")).alias("n_skipped"))
+    return rows.select("n_rows", "n_sums_of_one", *[t.scalar().alias(t.columns[0]) for t in (agree, total, skipped)])
+
+
 @query("poverty_status_forest")
 def poverty_status_forest(spark: SparkSession, d: str) -> DataFrame:
     ready = poverty_plan.people(poverty(spark, d))

@@ -72,6 +72,47 @@ def rf_sweep(spark: SparkSession, d: str) -> DataFrame:
     return op.sweep(train, test, _features(train, scale=False), params)
 
 
+_DOC_TEST = """doc_id IN (SELECT doc_id FROM documents JOIN labels USING (doc_id)
+    WHERE CAST('0x' || substring(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 >= 80)"""
+
+
+@query(
+    "rf_class_count",
+    f"""SELECT count(*) AS n_rows, (SELECT count(DISTINCT quality) FROM labels) AS n_classes,
+    count(*) AS n_sums_of_one FROM documents JOIN labels USING (doc_id) WHERE {_DOC_TEST}""",
+)
+def rf_class_count(spark: SparkSession, d: str) -> DataFrame:
+    """One probability per label, no class beside them; they sum to one in every row."""
+    train, test = _parts(spark, d)
+    features = _features(train, scale=True)
+    model = op.train_forest(op.apply_features(features, train), features, op.ForestParams(_SEED, 10))
+    chances = vector_to_array("probability")
+    sums = F.aggregate(chances, F.lit(0.0), lambda a, x: a + x)
+    return op.predict(model, features, test).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.max(F.size(chances)).cast("bigint").alias("n_classes"),
+        F.count_if(F.abs(sums - 1) < 1e-9).alias("n_sums_of_one"),
+    )
+
+
+@query(
+    "rf_skipped_rows",
+    """SELECT count(*) AS n_rows, count(*) FILTER (WHERE o_orderkey % 5 = 0) AS n_bad_number,
+    count(*) FILTER (WHERE o_orderkey % 7 = 0) AS n_bad_label FROM orders""",
+)
+def rf_skipped_rows(spark: SparkSession, d: str) -> DataFrame:
+    """What a forest leaves out when it is told to, counted."""
+    orders = read_table(spark, d, "orders").selectExpr(
+        "o_orderpriority",
+        "CASE WHEN o_orderkey % 5 > 0 THEN o_totalprice END AS price",
+        "CASE WHEN o_orderkey % 7 > 0 THEN o_orderstatus END AS status",
+    )
+    features = op.fit_features(
+        orders, ["o_orderpriority"], "status", numeric=["price"], number_invalid="skip", label_invalid="skip"
+    )
+    return op.skipped_rows(features, orders)
+
+
 # The order state decides nothing, the priority everything.
 _RULE = "CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'fast' ELSE 'slow' END AS speed"
 _RULE_FEATURES = ("o_orderstatus", "o_orderpriority")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from catalogue.inputs import DIRTY_CUSTOMER, DIRTY_PART, dirty_customer, dirty_part
 from catalogue.registry import query
 from tabkit import operators as op
-from tabkit.sources import read_table
+from tabkit.sources import matrix_frame, read_table
 
 
 def index_sql(column: str, source: str) -> str:
@@ -304,6 +304,48 @@ def classification_metrics(spark: SparkSession, d: str) -> DataFrame:
     return op.classification_metrics(judged).withColumn("value", F.round("value", 6))
 
 
+@query(
+    "classification_metrics_numeric",
+    """WITH t AS (SELECT l_linenumber AS label, CAST(l_quantity AS INTEGER) % 7 + 1 AS prediction FROM lineitem),
+    c AS (SELECT l.label AS k,
+      (SELECT count(*) FROM t WHERE t.label = l.label)::DOUBLE AS actual,
+      (SELECT count(*) FROM t WHERE t.prediction = l.label)::DOUBLE AS predicted,
+      (SELECT count(*) FROM t WHERE t.label = l.label AND t.prediction = l.label)::DOUBLE AS hit
+      FROM (SELECT DISTINCT label FROM t) AS l),
+    m AS (SELECT actual, hit, CASE WHEN predicted = 0 THEN 0 ELSE hit / predicted END AS p,
+      hit / actual AS r FROM c),
+    v AS (SELECT sum(hit) / sum(actual) AS accuracy,
+      sum(p * actual) / sum(actual) AS wp, sum(r * actual) / sum(actual) AS wr,
+      sum(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END * actual) / sum(actual) AS f1 FROM m)
+    SELECT 'accuracy' AS metric, round(accuracy, 6) AS "value" FROM v
+    UNION ALL SELECT 'weightedPrecision', round(wp, 6) FROM v
+    UNION ALL SELECT 'weightedRecall', round(wr, 6) FROM v
+    UNION ALL SELECT 'f1', round(f1, 6) FROM v""",
+)
+def classification_metrics_numeric(spark: SparkSession, d: str) -> DataFrame:
+    """Whole numbers judged against doubles."""
+    judged = read_table(spark, d, "lineitem").selectExpr(
+        "cast(l_linenumber as int) AS label", "cast(cast(l_quantity as int) % 7 + 1 AS double) AS prediction"
+    )
+    return op.classification_metrics(judged).withColumn("value", F.round("value", 6))
+
+
+@query(
+    "corr_matrix_frame",
+    " UNION ALL ".join(
+        "SELECT " + ", ".join(f"round(corr({a}::DOUBLE, {b}::DOUBLE), 6)::DOUBLE AS {b}" for b in _NUMBERS)
+        + " FROM lineitem"
+        for a in _NUMBERS
+    ),
+)
+def corr_matrix_frame(spark: SparkSession, d: str) -> DataFrame:
+    """The matrix as the driver holds it, as a frame again."""
+    long = rounded(op.corr_long(read_table(spark, d, "lineitem"), _NUMBERS))
+    cells = {(r["col_a"], r["col_b"]): r["corr"] for r in long.collect()}
+    matrix = [[float("nan") if cells[a, b] is None else cells[a, b] for b in _NUMBERS] for a in _NUMBERS]
+    return matrix_frame(spark, matrix, _NUMBERS)
+
+
 @query(
     "confusion_counts",
     f"""WITH t AS (SELECT o_orderstatus AS label, {_RULE} FROM orders)

@@ -82,19 +82,34 @@ def dated(df: DataFrame, month: str = "position") -> DataFrame:
     return df.withColumns({"MONTH_ARREST": number, "DIA_SEMANA": fn.weekday_name(date)})
 
 
-def prepared(raw: DataFrame, month: str = "position") -> DataFrame:
+def prepared(
+    raw: DataFrame, month: str = "position", columns: Sequence[str] | None = None
+) -> DataFrame:
     """All steps before statistics and models.
 
-    The text is parsed once, into a stored table; the modes and the weekday
-    ranks are counted from that, and so is whatever follows.
+    ``columns`` are those of the raw table that are wanted (default: all); the
+    ones that the steps themselves need are read beside them.  The modes are
+    counted from their columns of the raw table, all rows; what is written is
+    the cleaned, typed and dated rest: adults' complete rows.  Everything after
+    reads that table, which :func:`tabkit.sources.cleared` removes.
     """
-    named = store(op.null_tokens(raw), "arrests")
+    named = op.null_tokens(raw)
     modes = op.settled_modes(named, IMPUTED)
-    whole = op.drop_missing(op.impute_modes(named, IMPUTED, modes=modes), REQUIRED)
-    indexed = op.index_labels(dated(adults(typed(whole)), month), ["DIA_SEMANA"])
+    if columns is not None:
+        own = dict.fromkeys([*columns, *REQUIRED, "AGE_GROUP", "ARREST_DATE"])
+        named = named.select(*[c for c in named.columns if c in own])
+    known = [c for c in IMPUTED if c in named.columns]
+    complete = adults(op.drop_missing(named, REQUIRED))
+    filled = op.impute_modes(complete, known, modes=modes) if known else complete
+    ready = store(dated(_typed_among(filled), month), "arrests")
+    indexed = op.index_labels(ready, ["DIA_SEMANA"])
     return indexed.withColumnRenamed("DIA_SEMANA_index", "DIA_SEMANA_INDEX")
 
 
+def _typed_among(df: DataFrame) -> DataFrame:
+    return op.cast_columns(df, {c: kind for c, kind in CASTS.items() if c in df.columns})
+
+
 def correlation(ready: DataFrame) -> DataFrame:
     """Correlation of the number columns, long form."""
     return op.corr_long(ready, CORRELATED)
@@ -115,6 +130,19 @@ def severity_features(train: DataFrame) -> op.Features:
     return op.fit_features(train, CATEGORIES, LABEL)
 
 
+def severity_importances(
+    train: DataFrame,
+    test: DataFrame,
+    seed: int,
+    forests: Sequence[tuple[int, int]] = FORESTS,
+) -> tuple[DataFrame, DataFrame]:
+    """:func:`severity_sweep`, and the importances of each forest."""
+    params = [op.ForestParams(seed, trees, depth) for trees, depth in forests]
+    features = severity_features(train)
+    metrics, models = op.sweep_models(train, test, features, params)
+    return metrics, op.sweep_importances(models, features, params)
+
+
 def severity_sweep(
     train: DataFrame,
     test: DataFrame,

@@ -157,15 +157,19 @@ def enriched(df: DataFrame) -> DataFrame:
     return indexed.withColumnRenamed("MAR_index", "MaritalStatusIndex")
 
 
-def people(raw: DataFrame, max_missing_pct: float | None = None) -> DataFrame:
-    """Cleaned and typed adult citizens, read from a stored table.
+def residents(raw: DataFrame, max_missing_pct: float | None = None) -> DataFrame:
+    """Everyone, cleaned and typed, read from a stored table.
 
-    The text is parsed once; modes, filters and all later steps read the typed
-    columns they need.
+    The text is parsed into that table once: the sparse and unused columns are
+    gone, numbers are numbers.  :func:`tabkit.sources.cleared` removes it.
     """
     table = store(typed(dense(raw, max_missing_pct)), "poverty")
-    modes = op.settled_modes(table, IMPUTED)
-    return adult_citizens(op.impute_modes(table, IMPUTED, modes=modes))
+    return op.impute_modes(table, IMPUTED, modes=op.settled_modes(table, IMPUTED))
+
+
+def people(raw: DataFrame, max_missing_pct: float | None = None) -> DataFrame:
+    """Adult citizens; the modes are those of everyone."""
+    return adult_citizens(residents(raw, max_missing_pct))
 
 
 def prepared(raw: DataFrame) -> DataFrame:

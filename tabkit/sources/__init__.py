@@ -1,7 +1,8 @@
-from tabkit.sources.scratch import settle, shared_dir, shared_path, store
+from tabkit.sources.scratch import cleared, settle, shared_dir, shared_path, store
 from tabkit.sources.tables import matrix_frame, preview, read_csv_text, read_table
 
 __all__ = [
+    "cleared",
     "matrix_frame",
     "preview",
     "read_csv_text",

@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder of the session, shared by all its executors.
 
-    ``spark.checkpoint.dir`` names it.  Only a local session without that
-    setting gets a temporary folder; a cluster session without it is refused,
-    because a folder of one machine cannot serve the others.
+    ``spark.checkpoint.dir`` names it.  Only a local session, whose driver is
+    its executor, gets a temporary folder where that setting is missing; a
+    cluster session is refused, because a folder of one machine cannot serve
+    the others.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
@@ -48,5 +53,24 @@ def store(df: DataFrame, name: str) -> DataFrame:
     each step then reads only its own columns and row groups.
     """
     path = shared_path(df.sparkSession, name)
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Remove, at the end, the tables that :func:`store` wrote inside.
+
+    Frames that read them are of no use afterwards.  Checkpoints go by
+    themselves with ``spark.cleaner.referenceTracking.cleanCheckpoints``.
+    """
+    before = len(_written)
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in _written[before:]:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+        del _written[before:]

@@ -71,3 +71,8 @@ def executed(df: DataFrame) -> str:
     """The physical plan after a run."""
     df.collect()
     return df._jdf.queryExecution().executedPlan().toString()
+
+
+def final_plan(df: DataFrame) -> str:
+    """What ran, of a frame that was collected: the last adaptive plan."""
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]

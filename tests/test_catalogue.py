@@ -6,7 +6,8 @@ import pytest
 
 import __spark_entry__ as contract
 from check import compare, database
-from tests.conftest import SMALL
+from catalogue import CATALOGUE
+from tests.conftest import SMALL, final_plan
 
 
 @pytest.fixture(scope="module")
@@ -18,22 +19,22 @@ def test_entry(spark):
     assert contract.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+def no_detours(frame) -> None:
+    """The adaptive plan after a run: no cross join, no Python worker."""
+    plan = final_plan(frame)
+    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InArrow", "InPandas"):
+        assert bad not in plan, bad
+
+
+@pytest.mark.parametrize("name", sorted(n for n, q in CATALOGUE.items() if q.sql is not None))
 def test_equal_to_sql(spark, con, name):
-    assert compare(spark, con, SMALL, name).startswith("equal")
+    frame = CATALOGUE[name].run(spark, SMALL)
+    assert compare(spark, con, SMALL, name, frame).startswith("equal")
+    no_detours(frame)
 
 
-@pytest.mark.parametrize("name", sorted(set(contract.queries()) - set(contract.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(n for n, q in CATALOGUE.items() if q.sql is None))
 def test_runs(spark, name):
-    if name == "arrests_severity_sweep":
-        pytest.skip("covered by tests/test_models.py with smaller forests")
-    assert contract.queries()[name](spark, SMALL).count() > 0
-
-
-def test_no_query_uses_a_cross_join_or_a_python_worker(spark):
-    for name in ("group_mean_ratio", "impute_modes_multi", "min_max_multi", "string_index_multi",
-                 "corr_long", "weekday_name", "arrests_ready", "poverty_ready"):
-        frame = contract.queries()[name](spark, SMALL)
-        plan = frame._jdf.queryExecution().executedPlan().toString()
-        for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python"):
-            assert bad not in plan, (name, bad)
+    frame = CATALOGUE[name].run(spark, SMALL)
+    assert len(frame.collect()) > 0
+    no_detours(frame)

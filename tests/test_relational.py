@@ -227,3 +227,19 @@ def test_stored_table_reads_back(spark, edge):
     stored = store(edge, "edge")
     assert stored.count() == edge.count() and stored.dtypes == edge.dtypes
     assert shared_dir(spark).removeprefix("file:") in stored.inputFiles()[0]
+
+
+def test_stored_tables_can_be_cleared(spark, edge, tmp_path):
+    from pathlib import Path
+
+    from catalogue.inputs import arrests
+    from tabkit.plans import arrests as plan
+    from tabkit.sources import cleared
+
+    with cleared(spark):
+        ready = plan.prepared(arrests(spark, SMALL), columns=plan.CORRELATED)
+        kinds = dict(ready.dtypes)
+        assert kinds["Latitude"] == "double" and kinds["KY_CD"] == "int" and "PERP_SEX" not in kinds
+        folder = Path(ready.inputFiles()[0].removeprefix("file://").removeprefix("file:")).parent
+        assert folder.is_dir() and ready.count() > 0
+    assert not folder.exists()
