@@ -16,9 +16,11 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabkit.llm.quality import docs_key_type
 from tabkit.llm.texts import columns_batch, crc_part, in_arrow
+from tabkit.sources import store
 
 #: Texts per label that a dictionary is built from, and how long one may be.
 DICTIONARY_TEXTS = 400
@@ -159,33 +161,46 @@ def fit_compression(
         .where((F.col("_y") == F.col("_z")))
         .select("_key", "_y")
     )
-    rows = (
-        docs.where(learn)
-        .select(F.col(f"`{key}`").alias("_key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    texts_of = docs.where(learn).select(F.col(f"`{key}`").alias("_key"), body.alias("_text"))
+    # Only names and lengths are joined with the labels; texts are fetched for the few chosen.
+    named = store(
+        texts_of.select("_key", F.xxhash64("_text").alias("_print"), F.octet_length("_text").alias("_bytes"))
+        .distinct()
         .join(known, "_key")
-        .withColumn("_order", F.xxhash64(F.lit("compression"), "_key"))
+        .withColumn("_order", F.xxhash64(F.lit("compression"), "_key", "_print")),
+        "labelled",
     )
-    texts: dict[int, list[bytes]] = {}
-    last: dict[int, int | None] = {}
-    for y in (1, 0):
-        chosen = (
-            rows.where((F.col("_y") == y) & (F.octet_length("_text") <= DICTIONARY_TEXT_BYTES))
-            .orderBy("_order", "_key")
-            .limit(DICTIONARY_TEXTS)
-            .select("_text", "_order")
-            .collect()
+
+    def first(rows: DataFrame, n: int) -> list:
+        return rows.orderBy("_order", "_key", "_print").limit(n).select("_key", "_print", "_y", "_order").collect()
+
+    def fetched(rows: list) -> DataFrame:
+        """The texts of the rows chosen; their names are few enough to send to every task."""
+        schema = T.StructType([named.schema[c] for c in ("_key", "_print", "_y", "_order")])
+        chosen = docs.sparkSession.createDataFrame(rows, schema).select("_key", "_print", "_y")
+        there = texts_of.withColumn("_print", F.xxhash64("_text"))
+        return (
+            there.join(F.broadcast(chosen), ["_key", "_print"])
+            .groupBy("_key", "_print", "_y")
+            .agg(F.first("_text").alias("_text"))
+            .select("_y", "_text")
         )
-        texts[y] = [r["_text"].encode("utf-8", "surrogatepass") for r in chosen]
-        last[y] = chosen[-1]["_order"] if len(chosen) == DICTIONARY_TEXTS else None
-    good, bad = build_dictionary(texts[1]), build_dictionary(texts[0])
-    points = []
+
+    built, curve = [], []
     for y in (1, 0):
-        # Rows after those of the dictionary; where these are all there is, they serve twice.
-        rest = rows.where(F.col("_y") == y)
-        if last[y] is not None:
-            rest = rest.where(F.col("_order") > last[y])
-        some = rest.orderBy("_order", "_key").limit(CURVE_TEXTS).select("_y", "_text")
-        points += [tuple(r) for r in _measured(some, good, bad, 1).collect()]
+        mine = named.where(F.col("_y") == y)
+        picked = first(mine.where(F.col("_bytes") <= DICTIONARY_TEXT_BYTES), DICTIONARY_TEXTS)
+        if len(picked) == DICTIONARY_TEXTS:
+            # Rows after those of the dictionary; where these are all there is, they serve twice.
+            mine = mine.where(F.col("_order") > picked[-1]["_order"])
+        built += picked
+        curve += first(mine, CURVE_TEXTS)
+    texts: dict[int, list[bytes]] = {0: [], 1: []}
+    for r in fetched(built).collect():
+        texts[r["_y"]].append(r["_text"].encode("utf-8", "surrogatepass"))
+    good, bad = (build_dictionary(sorted(texts[y])) for y in (1, 0))
+    points = [tuple(r) for r in _measured(fetched(curve), good, bad, 1).collect()]
     table = np.array(points, np.int64).reshape(-1, 4)
     weights = fit_curve(features(table[:, 1:]), table[:, 0].astype(np.float64))
     return Model(good, bad, weights)
