@@ -26,7 +26,7 @@ from tabkit.sources import store
 BLOCK_DIMS = 16
 #: Vectors that a grid cell should hold, and those above which it is dealt into parts
 #: that are compared pair by pair of parts.
-TARGET = 1024
+TARGET = 2048
 PART = 4096
 #: Leading coordinates of a block that the grid may cut.
 GRID_DIMS = 5
