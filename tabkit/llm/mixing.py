@@ -72,7 +72,17 @@ class Mix:
         self.cuts, self.columns, self.own, self.most, self.seed = cuts, columns, own, most, seed
 
 
-def _measured(docs: DataFrame, columns: tuple[str, str, str], own: Column | None) -> dict[str, Column]:
+def _uniform(key: Column, text: Column, seed: int) -> Column:
+    """A number in (0, 1) from the seed, the key and the text, by MD5."""
+    empty = F.lit("")
+    parts = (F.lit(str(seed)), F.coalesce(key.cast("string"), empty), F.md5(F.coalesce(text, empty)))
+    bits = F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13), 16, 10).cast("double")
+    return (bits + 0.5) / F.lit(float(1 << 52))
+
+
+def _measured(
+    docs: DataFrame, columns: tuple[str, str, str], own: Column | None, seed: int
+) -> dict[str, Column]:
     key, text, source = (F.col(f"`{c}`") for c in columns)
     weight = F.lit(1.0) if own is None else own.cast("double")
     good = weight.isNotNull() & ~F.isnan(weight) & (weight > 0)
@@ -81,14 +91,14 @@ def _measured(docs: DataFrame, columns: tuple[str, str, str], own: Column | None
         "_source": source,
         "_size": word_count(text),
         "_print": F.xxhash64(text),
+        "_u": _uniform(key, text, seed),
         "_own": F.when(good, weight).otherwise(F.lit(0.0)),
     }
 
 
-def _ranked(rows: DataFrame, most: float, seed: int) -> DataFrame:
+def _ranked(rows: DataFrame, most: float) -> DataFrame:
     """Adds the certain copies and the rank; needs the rows' source's ``_rate``."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "_key", "_print"), 11).cast("double")
-    u = (bits + 0.5) / F.lit(float(1 << 53))
+    u = F.col("_u")
     expected = F.least(F.lit(float(most)), F.col("_rate") * F.col("_own"))
     # q / (1 + q) orders as the odds ratio q does, and lies between 0 and 1.
     odds, inclusion = u / (1 - u), F.col("_p") / (1 - F.col("_p"))
@@ -146,14 +156,14 @@ def fit_mix(
     only documents of the cell in which a source's target falls are put in order.
     """
     columns = (key, text, source)
-    measures = _measured(docs, columns, own)
+    measures = _measured(docs, columns, own, seed)
     rows = store(docs.select(*[c.alias(n) for n, c in measures.items()]), "sizes")
     sizes = rows.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size"))
     targets = store(
         source_targets(sizes, weights, share, most).withColumnRenamed("source", "_source"), "targets"
     )
     rates = _rates(rows, targets, most, equal=own is None)
-    ranked = _ranked(_by_source(rows, rates), most, seed)
+    ranked = _ranked(_by_source(rows, rates), most)
     open_words = F.when(F.col("_v").isNotNull(), F.col("_size")).otherwise(F.lit(0))
     # The certain copies of all documents, and the words that can still be drawn, by cell.
     cells = store(
@@ -232,8 +242,8 @@ def _rates(rows: DataFrame, targets: DataFrame, most: float, equal: bool) -> Dat
 def apply_mix(docs: DataFrame, mix: Mix) -> DataFrame:
     """``docs`` with size, source_size, target, copies and taken, in columns of those names
     with ``_mix_`` before them."""
-    measures = _measured(docs, mix.columns, mix.own)
-    rows = _ranked(_by_source(docs.withColumns(measures), mix.cuts), mix.most, mix.seed)
+    measures = _measured(docs, mix.columns, mix.own, mix.seed)
+    rows = _ranked(_by_source(docs.withColumns(measures), mix.cuts), mix.most)
     cell = F.struct("_cell", "_fine")
     limit = F.struct(F.col("_c1").alias("_cell"), F.col("_c2").alias("_fine"))
     own_rank = F.struct("_v", F.coalesce(F.col("_key"), F.lit(-1)).alias("_k"), "_print")

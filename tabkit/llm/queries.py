@@ -129,3 +129,66 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
         joined(F.col("spans")).alias("spans"),
         count("named").alias("n_named"),
     )
+
+
+SQL["op1_embedding_dedup"] = """WITH RECURSIVE v AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+  links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.label = b.label AND a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+  reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+  SELECT e.vec_id, (SELECT count(*) FROM links WHERE links.a = e.vec_id) AS n_links,
+    (SELECT min(reach.b) FROM reach WHERE reach.a = e.vec_id) AS component_id,
+    (SELECT min(reach.b) FROM reach WHERE reach.a = e.vec_id) = e.vec_id AS kept FROM embeddings AS e"""
+
+SQL["op2_substring_dedup"] = r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+  p AS (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS pos FROM w WHERE len(words) >= 50),
+  k AS (SELECT doc_id, pos, array_to_string(list_slice(words, pos, pos + 49), ' ') AS run FROM p),
+  f AS (SELECT run, min(doc_id) AS first FROM k GROUP BY run),
+  gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 50)) AS pos FROM k JOIN f USING (run) WHERE first < doc_id),
+  g AS (SELECT doc_id, count(*) AS n, list(pos) AS gone FROM gone GROUP BY doc_id),
+  o AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM w),
+  s AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept FROM o ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+  SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+  FROM w LEFT JOIN g USING (doc_id) LEFT JOIN s USING (doc_id)"""
+
+SQL["op5_mixing"] = r"""WITH w AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    (('0x' || substring(md5('42:' || doc_id || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT + 0.5::DOUBLE)
+      / 4503599627370496::DOUBLE AS u FROM documents),
+  s AS (SELECT source, sum(size)::BIGINT AS source_size,
+    [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER]::DOUBLE AS weight FROM w GROUP BY source),
+  t AS (SELECT *, source_size * 2.0::DOUBLE AS roof, source_size * 2.0::DOUBLE / weight AS level,
+    (SELECT sum(source_size) FROM s)::DOUBLE * 1.5::DOUBLE AS total FROM s),
+  f AS (SELECT *, coalesce(sum(roof) OVER (ORDER BY level, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled,
+    sum(weight) OVER (ORDER BY level, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM t),
+  r AS (SELECT max((total - filled) / open) AS rate FROM f WHERE level >= (total - filled) / open),
+  g AS (SELECT source, source_size, least(roof, (SELECT rate FROM r) * weight)::DOUBLE AS target FROM f),
+  e AS (SELECT doc_id, w.source, size, source_size, target, u,
+    least(2.0::DOUBLE, CASE WHEN source_size = 0 THEN 0.0::DOUBLE ELSE target / source_size END) AS expected
+    FROM w JOIN g ON w.source IS NOT DISTINCT FROM g.source),
+  p AS (SELECT *, floor(expected)::BIGINT AS sure, expected - floor(expected) AS p FROM e),
+  v AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (u / (1 - u) + p / (1 - p)) END AS rank FROM p),
+  c AS (SELECT *, target - sum(sure * size) OVER (PARTITION BY source) AS gap,
+    coalesce(sum(CASE WHEN rank IS NOT NULL THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY rank NULLS LAST, doc_id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM v),
+  d AS (SELECT *, sure + CASE WHEN rank IS NOT NULL AND done + size / 2 <= gap THEN 1 ELSE 0 END AS copies FROM c)
+  SELECT doc_id, size, source_size, target, copies::BIGINT AS copies, (copies * size)::BIGINT AS taken FROM d"""
+
+SQL["op7_quality_rules"] = r"""WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+  p AS (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS pos FROM w WHERE len(words) >= 8),
+  k AS (SELECT doc_id, pos, array_to_string(list_slice(words, pos, pos + 7), ' ') AS run FROM p),
+  m AS (SELECT doc_id, run FROM k GROUP BY doc_id, run HAVING count(*) > 1),
+  r AS (SELECT doc_id, count(DISTINCT x) AS n_repeat_words FROM (SELECT doc_id, unnest(range(pos, pos + 8)) AS x FROM k JOIN m USING (doc_id, run)) GROUP BY doc_id),
+  l AS (SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+  d AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) AS n_lines FROM l GROUP BY doc_id),
+  c AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+    length(regexp_replace(text, '[^!]', '', 'g')) AS n_excl, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS n_letters,
+    length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS n_upper, len(list_distinct(words)) AS kinds, coalesce(n_lines,0) AS n_lines
+  FROM w LEFT JOIN r USING (doc_id) LEFT JOIN d USING (doc_id)),
+  b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c)
+  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND 10 * n_symbols <= n_words AND 2 * n_excl <= n_words
+    AND word_chars BETWEEN 2 * n_words AND 14 * n_words AND 10 * n_dup_lines <= 3 * greatest(10, n_lines)
+    AND NOT (2 * n_upper > n_letters AND n_letters > 0) AND 4 * n_letters >= word_chars
+    AND 20 * kinds >= n_words AS kept FROM b"""
