@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -58,10 +59,21 @@ def _digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-def _looked_at(docs: DataFrame, key: str, size: int) -> DataFrame:
+def _given(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Key, the number it is compared by, a print of the text, and the text."""
+    last = (1 << 63) - 1
+    return docs.select(
+        F.col(f"`{key}`").alias("key"),
+        F.coalesce(F.col(f"`{key}`").cast("bigint"), F.lit(last)).alias("did"),
+        F.xxhash64(F.col(f"`{text}`")).alias("print"),
+        F.col(f"`{text}`").alias("text"),
+    )
+
+
+def _looked_at(docs: DataFrame, size: int) -> DataFrame:
     """A row per row: its words' number and digests, and the chosen short windows."""
     arrow = pa.schema(
-        [("key", docs_key_type(docs, key)), ("did", pa.int64()), ("print", pa.int64()), ("n_words", pa.int64()),
+        [("key", docs_key_type(docs, "key")), ("did", pa.int64()), ("print", pa.int64()), ("n_words", pa.int64()),
          ("whole", pa.string()), ("content", pa.binary()), ("short", pa.list_(pa.int64()))]
     )
 
@@ -149,6 +161,53 @@ def _repeated(windows: DataFrame, keys: list[str], name: str) -> DataFrame:
     return store(seen.where(F.col("first") < F.col("last")).drop("last"), name)
 
 
+def _candidates(given: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+    """The long windows of ``rows`` whose short window is repeated, with their texts."""
+    short = rows.select("did", "print", F.explode("short").alias("hash"))
+    again = _repeated(short, ["hash"], "short").select("hash")
+    flagged = store(
+        short.join(again, "hash").groupBy("did", "print").agg(F.collect_set("hash").alias("short")), "flagged"
+    )
+    return store(_windows(given.drop("key").join(flagged, ["did", "print"]), size), "windows")
+
+
+def repeat_lengths(docs: DataFrame, size: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(key, length)`` for rows that share a window of ``size`` words with another key.
+
+    ``length`` is the longest of ``size``, twice that, four times that, ... for
+    which a window of the row is also in a row with another key.  A window is
+    extended only if it and the one that starts where it ends are repeated, and
+    the levels end when no candidate survives.  Later levels read hashes alone.
+    Keys are one row each here: rows that repeat a key count as its windows.
+    """
+    given = _given(docs, key, text)
+    windows = _candidates(given, store(_looked_at(given, size), "rows"), size)
+    level = windows.select("did", F.inline(F.arrays_zip("high", "low", "start")), F.col("print").alias("of"))
+    length, found = size, []
+    while True:
+        known = _repeated(level, ["high", "low"], "level").drop("first")
+        level = store(level.join(known, ["high", "low"]).distinct(), "repeats")
+        if level.isEmpty():
+            break
+        found.append(level.select("did", F.lit(length).alias("length")).distinct())
+        here = [F.col(c) for c in ("did", "of", "start", "high", "low")]
+        after = level.select(
+            "did", "of", (F.col("start") - length).alias("start"), F.col("high").alias("_high"), F.col("low").alias("_low")
+        )
+        both = level.select(*here).join(after, ["did", "of", "start"])
+        parts = ("high", "low", "_high", "_low")
+        level = both.select(
+            "did", "of", "start", F.xxhash64(F.lit(1), *parts).alias("high"), F.xxhash64(F.lit(2), *parts).alias("low")
+        )
+        length *= 2
+    if not found:
+        return docs.select(F.col(f"`{key}`"), F.lit(size).alias("length")).limit(0)
+    longest = reduce(DataFrame.unionByName, found).groupBy("did").agg(F.max("length").alias("length"))
+    last = F.lit((1 << 63) - 1)
+    named = F.when(F.col("did") != last, F.col("did")).cast(docs.schema[key].dataType)
+    return longest.select(named.alias(key), "length")
+
+
 def remove_repeats(
     docs: DataFrame, size: int = 50, key: str = "doc_id", text: str = "text", texts: bool = True
 ) -> DataFrame:
@@ -166,25 +225,14 @@ def remove_repeats(
     """
     if size < 2:
         raise ValueError("a window has two words or more")
-    last = (1 << 63) - 1
-    given = docs.select(
-        F.col(f"`{key}`").alias("key"),
-        F.coalesce(F.col(f"`{key}`").cast("bigint"), F.lit(last)).alias("did"),
-        F.xxhash64(F.col(f"`{text}`")).alias("print"),
-        F.col(f"`{text}`").alias("text"),
-    )
-    rows = store(_looked_at(given, "key", size), "rows")
+    given = _given(docs, key, text)
+    rows = store(_looked_at(given, size), "rows")
     firsts = store(rows.groupBy("content").agg(F.min("did").alias("first")), "contents")
     rows = store(
         rows.join(firsts, "content").withColumn("copy", F.col("did") > F.col("first")).drop("content", "first"),
         "judged",
     )
-    short = rows.where(~F.col("copy")).select("did", "print", F.explode("short").alias("hash"))
-    again = _repeated(short, ["hash"], "short").select("hash")
-    flagged = store(
-        short.join(again, "hash").groupBy("did", "print").agg(F.collect_set("hash").alias("short")), "flagged"
-    )
-    windows = store(_windows(given.drop("key").join(flagged, ["did", "print"]), size), "windows")
+    windows = _candidates(given, rows.where(~F.col("copy")), size)
     each = windows.select("did", "print", F.inline(F.arrays_zip("high", "low", "start")))
     known = _repeated(each, ["high", "low"], "long")
     gone = (

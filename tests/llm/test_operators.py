@@ -140,6 +140,27 @@ def test_substring_texts_and_edges(edge_docs, no_docs):
     assert rows(substrings.remove_repeats(no_docs, 50)) == []
 
 
+def test_repeats_are_doubled_until_none_is_left(spark, no_docs):
+    rng = np.random.default_rng(2)
+    a, b, c, d = ([f"{x}{i}" for i in range(100)] for x in "abcd")
+    noise = lambda n: [f"n{x}" for x in rng.integers(0, 10**9, n)]
+    data = [a + noise(9), noise(7) + a, b[:35] + noise(3), noise(2) + b[:35], c, c[:20] + noise(2) + c[20:39], noise(50) + d[:15], None, d[:15]]
+    table = spark.createDataFrame([(i, None if w is None else " ".join(w)) for i, w in enumerate(data)], "doc_id bigint, text string")
+    words = [w or [] for w in data]
+
+    def longest(i):
+        n, best = 10, 0
+        runs = lambda w: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+        while any(runs(words[i]) & runs(words[j]) for j in range(len(words)) if j != i):
+            n, best = 2 * n, n
+        return best
+
+    want = {i: longest(i) for i in range(len(words)) if longest(i)}
+    assert set(want.values()) == {10, 20, 80} and len(want) == 8
+    assert dict(rows(substrings.repeat_lengths(table, 10))) == want
+    assert rows(substrings.repeat_lengths(no_docs, 10)) == []
+
+
 # 3 ---------------------------------------------------------------------------
 
 
