@@ -41,20 +41,22 @@ NAME_WEIGHTS = {
 NAME_HARMLESS = {"id", "name", "hint", "label", "length", "file", "path", "url", "type", "count", "field"}
 #: Values that stand for a secret to be filled in.
 PLACEHOLDERS = re.compile(
-    r"change_?me|your[_-]|example|placeholder|dummy|redacted|xxxx|\*\*\*\*|<[^>]*>|\$\{|\{\{|^(?:none|null|true|false)$",
+    r"change_?me|your[_-]|example|placeholder|dummy|redacted|xxxx|\*\*\*\*|<[^<>]*+>|\$\{|\{\{|^(?:none|null|true|false)$",
     re.IGNORECASE,
 )
 THRESHOLD = 3.0
 LEAST_LITERAL = 8
 
 _HINT = re.compile("pass|pwd|secret|token|key|cred|auth|bearer|signature|salt|cookie|session", re.I | re.A)
-_NAME = r"[A-Za-z_][A-Za-z0-9_.\-]{0,80}"
-_STRING = r"\"(?:[^\"\\\n]|\\.){0,4000}\"|'(?:[^'\\\n]|\\.){0,4000}'"
+#: Names, literals, blanks and joined parts have no bound; possessive repeats, which
+#: never try again with less, keep the reading linear.
+_NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*+"
+_STRING = r"\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'"
 _PAIR = re.compile(
     rf"""(?:(?P<q>["'])(?P<quoted>{_NAME})(?P=q)|(?<![A-Za-z0-9_.\-])(?P<name>{_NAME}))
-    [\x20\t]{{0,8}}(?::=|=>|[=:])(?!=)[\x20\t]{{0,8}}
-    (?:(?P<strings>(?:{_STRING})(?:[\x20\t]{{0,8}}\+[\x20\t]{{0,8}}(?:{_STRING}|{_NAME})){{0,20}})
-      |(?P<bare>[^\s"',;\#()\[\]{{}}<>]{{1,4000}}))""",
+    [\x20\t]*+(?::=|=>|[=:])(?!=)[\x20\t]*+
+    (?:(?P<strings>(?:{_STRING})(?:\s*+\+\s*+(?:{_STRING}|{_NAME}))*+)
+      |(?P<bare>[^\s"',;\#()\[\]{{}}<>]++))""",
     re.VERBOSE | re.ASCII,
 )
 _PART = re.compile(rf"{_STRING}|{_NAME}", re.ASCII)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import time
 import zlib
 from collections import Counter
 
@@ -582,6 +583,27 @@ def test_names_lead_to_literals():
     assert spans("<credentials>: the king said that the key to it all was patience") == []
 
 
+def test_assignments_of_any_length():
+    letters = "Ab3dE6gHk2Mn5pQr8sTu"
+    key = "".join(letters[i * i % 19] for i in range(4500))
+    parts = [f"{letters[:8]}{i:02}" for i in range(25)]
+    assert spans(f'db_pwd{" " * 9}={chr(9) * 9}"Zx81kQpLm02rT"') == [("named", "Zx81kQpLm02rT")]
+    for text in (f'private_key = "{key}"', f"private_key='{key}'", f"private_key={key}"):
+        assert spans(text) == [("named", key)]
+    assert spans("private_key = " + " + ".join(f'"{p}"' for p in parts)) == [("named", p) for p in parts]
+    assert spans('private_key = "Ab3dE6gHk2"\n  + "Xy7zW8qR55" +\r\n "Qw3rTy7uIo"') == [
+        ("named", p) for p in ("Ab3dE6gHk2", "Xy7zW8qR55", "Qw3rTy7uIo")
+    ]
+    assert spans("app." * 60 + 'db_pwd = "Zx81kQpLm02rT"') == [("named", "Zx81kQpLm02rT")]
+
+
+@pytest.mark.parametrize("text", ['pwd="' + "<" * 400_000 + '"', "a." * 400_000, 'pwd="' + "\\a" * 400_000, 'pwd="a"' + "\n" * 400_000, 'pwd="a' + '" + "b' * 200_000])
+def test_long_assignments_take_linear_time(text):
+    start = time.perf_counter()
+    secret_scan.spans_of(text)
+    assert time.perf_counter() - start < 5
+
+
 def test_secrets_of_a_table(edge_docs, no_docs, docs_of):
     got = secret_scan.find_secrets(edge_docs)
     assert got.count() == len(EDGE) and got.where("size(spans) > 0").count() == 0
