@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabkit.llm import (
+    benchmark_search,
     compression,
     language,
     mixing,
     packing,
+    periodic,
     quality,
+    ranked_search,
     secret_scan,
     simhash,
     substrings,
@@ -131,6 +134,71 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def planted_cycles(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text)``: in a tenth of the texts one stretch of words is repeated to the end.
+
+    With h the crc32 of the id's text, g = h div 10 and n words, a text with h
+    divisible by 10 repeats the ``1 + (n - a) div (3 + g % 8)`` words from word
+    ``a = g % n`` on.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = docs.select("doc_id", "text", (h % 10 == 0).alias("chosen"), F.floor(h / 10).alias("g"))
+    words = F.when(F.col("chosen"), F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    counted = chosen.withColumn("words", words).withColumn("n", F.size("words"))
+    placed = counted.withColumn("a", F.when(F.col("n") > 0, F.expr("cast(g % n as int)")))
+    cycled = placed.withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    repeated = F.expr(
+        "array_join(concat(slice(words, 1, a), flatten(array_repeat(slice(words, a + 1, p), cast((n - a) div p as int))),"
+        " slice(words, a + 1, (n - a) % p)), ' ')"
+    )
+    return cycled.select("doc_id", F.when(F.col("a").isNotNull(), repeated).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of four periods and six words, in texts of which some are made to repeat."""
+    found = periodic.periodic_runs(planted_cycles(read_table(spark, folder, "documents")), least=6, times=4)
+    best = F.reduce(
+        F.slice("runs", 2, F.greatest(F.size("runs"), F.lit(1))),
+        F.try_element_at("runs", F.lit(1)),
+        lambda b, r: F.when(r["length"] * b["period"] > b["length"] * r["period"], r).otherwise(b),
+    )
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select("doc_id", "runs", "collapsed", best.alias("best")).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 50 best documents of each item."""
+    docs, items = (read_table(spark, folder, t) for t in ("documents", "benchmark"))
+    return ranked_search.ranked_documents(docs, items, top=50)
+
+
+@query
+def op13_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Windows of ten words of any item."""
+    docs, items = (read_table(spark, folder, t) for t in ("documents", "benchmark"))
+    found = benchmark_search.benchmark_hits(docs, items, size=10)
+    hit = F.reduce("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["length"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
 SQL["op1_embedding_dedup"] = """WITH RECURSIVE v AS (
     SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
   links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.label = b.label AND a.vec_id <> b.vec_id
@@ -192,3 +260,63 @@ SQL["op7_quality_rules"] = r"""WITH w AS (SELECT doc_id, coalesce(text, '') AS t
     AND word_chars BETWEEN 2 * n_words AND 14 * n_words AND 10 * n_dup_lines <= 3 * greatest(10, n_lines)
     AND NOT (2 * n_upper > n_letters AND n_letters > 0) AND 4 * n_letters >= word_chars
     AND 20 * kinds >= n_words AS kept FROM b"""
+
+SQL["op11_periodic_runs"] = r"""WITH c AS (SELECT row_number() OVER () AS d, doc_id,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words, xor(list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+      lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))),
+      4294967295::BIGINT) AS h FROM documents),
+  e AS (SELECT *, len(words) AS n, h // 10 AS g FROM c),
+  f AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM e),
+  z AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM f),
+  w AS (SELECT d, doc_id, n, CASE WHEN a IS NULL THEN words
+    ELSE list_transform(range(n), lambda i: words[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS words FROM z),
+  k AS (SELECT d, n, pos, array_to_string(list_slice(words, pos + 1, pos + 5), ' ') AS run
+    FROM (SELECT d, n, words, unnest(range(0, n - 4)) AS pos FROM w WHERE n >= 6)),
+  l AS (SELECT x.d, x.pos, y.pos - x.pos AS q FROM k AS x JOIN k AS y ON x.d = y.d AND x.run = y.run AND y.pos > x.pos AND 4 * (y.pos - x.pos) <= x.n),
+  s AS (SELECT d, q, min(pos) AS start, count(*) + 4 + q AS length
+    FROM (SELECT *, pos - row_number() OVER (PARTITION BY d, q ORDER BY pos) AS island FROM l) GROUP BY d, q, island),
+  t AS (SELECT * FROM s WHERE length >= greatest(6, 4 * q)),
+  r AS (SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM t AS o WHERE o.d = t.d AND o.q < t.q
+    AND o.start <= t.start AND o.start + o.length >= t.start + t.length)),
+  b AS (SELECT d, count(*) AS n_runs, arg_min(struct_pack(start := start, length := length, q := q), place) AS best,
+    string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS listed
+    FROM (SELECT *, row_number() OVER (PARTITION BY d ORDER BY length::DOUBLE / q DESC, start, q) AS place FROM r) GROUP BY d),
+  gone AS (SELECT DISTINCT d, unnest(range(start + q, start + length)) AS pos FROM r),
+  u AS (SELECT d, unnest(words) AS word, unnest(range(0, n)) AS pos FROM w),
+  v AS (SELECT d, string_agg(word, ' ' ORDER BY pos) AS kept FROM u ANTI JOIN gone USING (d, pos) GROUP BY d)
+  SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.start::BIGINT AS start, best.length::BIGINT AS length, best.q::BIGINT AS period,
+    (1000 * best.length // best.q)::BIGINT AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+  FROM w LEFT JOIN b USING (d) LEFT JOIN v USING (d)"""
+
+SQL["op12_ranked_search"] = r"""WITH w AS (SELECT row_number() OVER () AS d, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+  i AS (SELECT r, item_id, unnest(list_distinct(words)) AS term FROM (SELECT row_number() OVER () AS r, item_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM benchmark)),
+  a AS (SELECT count(*)::BIGINT AS n_docs, sum(len(words))::BIGINT AS n_terms FROM w WHERE len(words) > 0),
+  t AS (SELECT d, term, count(*)::BIGINT AS tf FROM (SELECT d, unnest(words) AS term FROM w) GROUP BY d, term),
+  f AS (SELECT term, floor(1000 * ln((2 * (SELECT n_docs FROM a) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM t GROUP BY term),
+  m AS (SELECT d, doc_id, 50 + (50 * len(words)::BIGINT * (SELECT n_docs FROM a)) // (SELECT n_terms FROM a) AS scale FROM w WHERE len(words) > 0),
+  s AS (SELECT r, item_id, d, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * scale)))::BIGINT AS score
+    FROM i JOIN t USING (term) JOIN f USING (term) JOIN m USING (d) GROUP BY r, item_id, d, doc_id),
+  k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, doc_id NULLS LAST, d)::INTEGER AS rank FROM s WHERE score > 0)
+  SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 50"""
+
+SQL["op13_decontamination"] = r"""WITH w AS (SELECT row_number() OVER () AS d, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+  i AS (SELECT item_id::VARCHAR AS item, words, least(10, len(words)) AS n FROM (SELECT item_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark) WHERE len(words) > 0),
+  g AS (SELECT DISTINCT item, n, array_to_string(list_slice(words, pos, pos + n - 1), ' ') AS run
+    FROM (SELECT item, n, words, unnest(range(1, len(words) - n + 2)) AS pos FROM i)),
+  p AS (SELECT d, n, pos, array_to_string(list_slice(words, pos, pos + n - 1), ' ') AS run
+    FROM (SELECT d, n, words, unnest(range(1, greatest(1, len(words) - n + 2))) AS pos FROM w, (SELECT DISTINCT n FROM g))),
+  o AS (SELECT d, pos, n, item FROM p JOIN g USING (n, run)),
+  h AS (SELECT d, count(DISTINCT x) AS n_hit FROM (SELECT d, unnest(range(pos, pos + n)) AS x FROM o) GROUP BY d),
+  l AS (SELECT d, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT d, item FROM o WHERE item IS NOT NULL) GROUP BY d)
+  SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+  FROM w LEFT JOIN h USING (d) LEFT JOIN l USING (d)"""

@@ -101,3 +101,12 @@ def columns_batch(columns: Iterable, arrow: pa.Schema) -> pa.RecordBatch:
         [pa.array(c, f.type, from_pandas=False) for c, f in zip(columns, arrow, strict=True)],
         schema=arrow,
     )
+
+
+# Digits, letters (A-Z as a-z) and all bytes of characters beyond ASCII; the rest are blanks.
+_TERM_BYTES = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256)).lower()
+
+
+def terms_of(text: str | None) -> list[bytes]:
+    """The runs of digits, letters and characters beyond ASCII, A-Z lower-cased, as UTF-8."""
+    return text.encode("utf-8", "surrogatepass").translate(_TERM_BYTES).split() if text else []
