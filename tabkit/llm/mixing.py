@@ -285,9 +285,21 @@ def mix_sources(docs: DataFrame, **settings) -> DataFrame:
     )
 
 
-def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it."""
-    mixed = apply_mix(docs, fit_mix(docs, **settings))
+def mixed_documents(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", own: Column | None = None, **settings
+) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it.
+
+    Other columns may have any name: inside, all columns go by their place.
+    See :func:`fit_mix` for the settings and :func:`mix_sources` for the cases.
+    """
+    places = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    plain = docs.select(
+        *[F.col(f"`{c}`").alias(p) for c, p in places.items()], *([] if own is None else [own.alias("weight")])
+    )
+    settings |= {"key": places[key], "text": places[text], "source": places[source]}
+    settings["own"] = None if own is None else F.col("weight")
+    mixed = apply_mix(plain, fit_mix(plain, **settings))
     copies = F.explode(F.sequence(F.lit(1).cast("bigint"), "_mix_copies"))
     taken = mixed.where(F.col("_mix_copies") > 0).withColumn("_mix_copy", copies)
-    return taken.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return taken.select(*[F.col(p).alias(c) for c, p in places.items()])

@@ -78,7 +78,8 @@ def term_counts(docs: DataFrame, terms: list[str], key: str, text: str) -> DataF
             for doc, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = terms_of(t)
                 if words:
-                    known = Counter(filter(None.__ne__, map(number.get, words)))
+                    known = Counter(map(number.get, words))
+                    known.pop(None, None)
                     rows.append((doc, len(words), list(known), list(known.values())))
             if rows:
                 yield columns_batch(zip(*rows, strict=True), arrow)

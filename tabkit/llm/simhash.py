@@ -236,3 +236,26 @@ def simhash_groups(
         "known",
     )
     return prints.join(known, "bits").select(F.col(f"`{key}`"), "bits", "component")
+
+
+def one_of_each(
+    docs: DataFrame, radius: int = 3, shingle: int = 3, seed: int = 42, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """The rows of ``docs``, but of each group of :func:`simhash_groups` one row.
+
+    It is the one with the smallest key, NULL last, and of those the first in the
+    table; every row counts, whatever its key.  Other columns may have any name.
+    ``docs`` is read twice and must give its rows in the same order each time, as
+    a written table does.  What moves is two numbers a row; the texts move only if
+    Spark finds the table of rows to leave out too large for a broadcast.
+    """
+    places = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    plain = docs.select(*[F.col(f"`{c}`").alias(p) for c, p in places.items()])
+    plain = plain.withColumn("row", F.monotonically_increasing_id())
+    groups = simhash_groups(plain, radius, shingle, seed, "row", places[text])
+    keyed = plain.select("row", F.col(places[key]).alias("id"))
+    members = store(groups.join(keyed, "row").select("row", "component", "id"), "members")
+    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))
+    first = members.groupBy("component").agg(F.min_by("row", order).alias("first"))
+    gone = store(members.join(first, members["row"] == first["first"], "left_anti").select("row"), "gone")
+    return plain.join(gone, "row", "left_anti").select(*[F.col(p).alias(c) for c, p in places.items()])
