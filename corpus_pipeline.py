@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabkit.llm.mixing import mixed_documents
-from tabkit.llm.near_texts import chosen, near_components, with_classes
 from tabkit.llm.packing import pack_documents
 from tabkit.llm.quality import keep_good
 from tabkit.llm.secret_scan import mask_secrets
+from tabkit.llm.simhash import one_of_each
 from tabkit.sources import read_table, shared_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -28,17 +28,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays.
-
-    Near copies share four fifths or more of their five-word shingles.  Rows that
-    repeat a document, and rows without an id, go.
-    """
-    classed = with_classes(docs, size=5)
-    order = [F.col("doc_id"), F.col("n_chars"), F.xxhash64("text"), F.xxhash64("lang"), F.xxhash64("source"), F.col("_row")]
-    carried = [F.col("doc_id"), F.struct(*order).alias("_order")]
-    groups = near_components(classed, size=5, share=(4, 5), carried=carried).where(F.col("doc_id").isNotNull())
-    first = groups.groupBy("_component").agg(F.min_by("_row", "_order").alias("_row"))
-    return chosen(classed, first).select(*docs.columns)
+    """Of each group of linked fingerprints the document with the smallest id stays."""
+    return one_of_each(docs, radius=3, shingle=3, seed=42)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
