@@ -146,6 +146,24 @@ def arrests_importance_sums(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+_AGREED = ", ".join(f"count(*) AS {c}" for c in ("n_rows", "n_votes", "n_predictions"))
+
+
+@query(
+    "arrests_severity_agreement",
+    f"""WITH {_ARRESTS_READY} SELECT num_trees, max_depth, {_AGREED}, CAST(6 AS BIGINT) AS n_features,
+      CAST(6 AS BIGINT) AS n_importances
+    FROM ready, (VALUES {", ".join(f"({n}, {k})" for n, k in arrests_plan.FORESTS)}) AS f(num_trees, max_depth)
+    WHERE CAST('0x' || substring(md5(ARREST_KEY), 1, 8) AS BIGINT) % 100 >= 80 GROUP BY num_trees, max_depth""",
+)
+def arrests_severity_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """Votes, predictions and importances of the three forests, made again from their nodes."""
+    needed = (*arrests_plan.CATEGORIES, arrests_plan.LABEL, "ARREST_KEY")
+    ready = arrests_plan.prepared(arrests(spark, d), columns=needed)
+    train, test = arrests_plan.split(ready, ["ARREST_KEY"])
+    return arrests_plan.severity_agreement(train, test, ["ARREST_KEY"], seed=42)
+
+
 @query("arrests_severity_sweep")
 def arrests_severity_sweep(spark: SparkSession, d: str) -> DataFrame:
     ready = arrests_plan.prepared(arrests(spark, d))
@@ -301,3 +319,15 @@ def poverty_status_checks(spark: SparkSession, d: str) -> DataFrame:
 def poverty_status_forest(spark: SparkSession, d: str) -> DataFrame:
     ready = poverty_plan.people(poverty(spark, d))
     return poverty_plan.status_forest(ready, seed=42, keys=["PERSON_KEY"]).metrics
+
+
+@query(
+    "poverty_status_agreement",
+    f"""WITH {_POVERTY_READY} SELECT {_AGREED}, CAST({len(poverty_plan.FEATURES)} AS BIGINT) AS n_features,
+      CAST({len(poverty_plan.FEATURES)} AS BIGINT) AS n_importances FROM ready
+      WHERE CAST('0x' || substring(md5(PERSON_KEY), 1, 8) AS BIGINT) % 100 >= 80""",
+)
+def poverty_status_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """Votes, predictions and importances of 100 trees of depth 10, made again from their nodes."""
+    model = poverty_plan.status_forest(poverty_plan.people(poverty(spark, d)), seed=42, keys=["PERSON_KEY"])
+    return op.agreement(model.forest, model.features, model.predictions, ["PERSON_KEY"], model.importances)

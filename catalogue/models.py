@@ -42,6 +42,10 @@ def _predicted(spark: SparkSession, d: str, params: op.ForestParams, scale: bool
     )
 
 
+_DOC_TEST = """doc_id IN (SELECT doc_id FROM documents JOIN labels USING (doc_id)
+    WHERE CAST('0x' || substring(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 >= 80)"""
+
+
 @query("rf_predict")
 def rf_predict(spark: SparkSession, d: str) -> DataFrame:
     return _predicted(spark, d, op.ForestParams(_SEED, 10), scale=False)
@@ -52,6 +56,21 @@ def rf_predict_scaled(spark: SparkSession, d: str) -> DataFrame:
     return _predicted(spark, d, op.ForestParams(_SEED, 100, 10), scale=True)
 
 
+@query(
+    "rf_nodes_agreement",
+    f"""SELECT count(*) AS n_rows, count(*) AS n_votes, count(*) AS n_predictions, CAST(3 AS BIGINT) AS n_features,
+    CAST(3 AS BIGINT) AS n_importances FROM documents JOIN labels USING (doc_id) WHERE {_DOC_TEST}""",
+)
+def rf_nodes_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """The forest of 100 trees of depth 10, walked in SQL from its table of nodes."""
+    train, test = _parts(spark, d)
+    features = _features(train, scale=True)
+    ready = op.apply_features(features, train)
+    model = op.train_forest(ready, features, op.ForestParams(_SEED, 100, 10))
+    scored = op.predict(model, features, test)
+    return op.agreement(model, features, scored, ["doc_id"], op.importances(model, features))
+
+
 @query("rf_importance")
 def rf_importance(spark: SparkSession, d: str) -> DataFrame:
     train, _ = _parts(spark, d)
@@ -72,10 +91,6 @@ def rf_sweep(spark: SparkSession, d: str) -> DataFrame:
     return op.sweep(train, test, _features(train, scale=False), params)
 
 
-_DOC_TEST = """doc_id IN (SELECT doc_id FROM documents JOIN labels USING (doc_id)
-    WHERE CAST('0x' || substring(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 >= 80)"""
-
-
 @query(
     "rf_class_count",
     f"""SELECT count(*) AS n_rows, (SELECT count(DISTINCT quality) FROM labels) AS n_classes,

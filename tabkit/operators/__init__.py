@@ -20,6 +20,7 @@ from tabkit.operators.forest import (
     apply_features,
     assemble,
     assembly_report,
+    deal,
     fit_features,
     importances,
     predict,
@@ -46,6 +47,7 @@ from tabkit.operators.indexing import (
     fit_labels,
     index_labels,
     label_counts,
+    labels_of,
     rank_labels,
 )
 from tabkit.operators.lookup import join_lookup, measured_bytes
@@ -66,3 +68,4 @@ from tabkit.operators.quality import (
 from tabkit.operators.ranking import number_rows
 from tabkit.operators.scaling import column_bounds, min_max, min_max_vector
 from tabkit.operators.splitting import split_by_key, split_random, with_part
+from tabkit.operators.trees import agreement, forest_nodes, forest_votes, node_importances

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -25,7 +25,11 @@ def value_homes(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[str, s
 
 
 def count_values(
-    df: DataFrame, columns: Sequence[str], weight: str | None = None
+    df: DataFrame,
+    columns: Sequence[str],
+    weight: str | None = None,
+    carried: Mapping[str, Column] | None = None,
+    measures: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Count of every value of every column; NULL is a value.
 
@@ -35,28 +39,38 @@ def count_values(
     unpivoted and counted together, so each is read once and the grouping key
     stays two columns wide.  The counts are combined before the shuffle: a
     value that fills a third of the rows costs one row per task.
+
+    ``measures`` are further aggregates of each value's rows, over the columns
+    ``carried`` that are computed from the row.
     """
     homes = value_homes(df, columns)
     types = dict(homes.values())
-    keep = [] if weight is None else ["_weight"]
+    carried, measures = carried or {}, measures or {}
+    keep = [*carried, *([] if weight is None else ["_weight"])]
     parts = []
     for home, kind in types.items():
         own = [c for c in columns if homes[c][0] == home]
         chosen = df.select(
             *[F.col(f"`{c}`").cast(kind).alias(c) for c in own],
+            *[x.alias(name) for name, x in carried.items()],
             *([] if weight is None else [F.col(f"`{weight}`").alias("_weight")]),
         )
         total = F.count(F.lit(1)) if weight is None else F.sum("_weight")
         counted = (
             chosen.unpivot(keep, [F.col(f"`{c}`") for c in own], COLUMN, home)
             .groupBy(COLUMN, home)
-            .agg(F.count(F.lit(1)).alias(ROWS), total.alias(COUNT))
+            .agg(
+                F.count(F.lit(1)).alias(ROWS),
+                total.alias(COUNT),
+                *[x.alias(name) for name, x in measures.items()],
+            )
         )
         parts.append(
             counted.select(
                 COLUMN,
                 ROWS,
                 COUNT,
+                *measures,
                 *[(F.col(h) if h == home else F.lit(None).cast(k)).alias(h) for h, k in types.items()],
             )
         )

@@ -3,24 +3,35 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.feature import MinMaxScaler, MinMaxScalerModel, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabkit.functions import is_complete
-from tabkit.operators.indexing import Labels, apply_labels, fit_labels
+from tabkit.operators.counts import COLUMN, COUNT, ROWS, count_values, value_text
+from tabkit.operators.indexing import Labels, apply_labels, labels_of
 from tabkit.operators.metrics import classification_metrics
 from tabkit.sources import settle, shared_dir
 
-# Partitions that the rows of a forest are dealt into, unless the caller says more.
+# Partitions that the rows of a forest are dealt into: at least these, and more
+# with more rows, unless the caller says how many.
 PARTS = 16
+PART_ROWS = 1_000_000
+
+# Equal rows that stay together when rows are dealt, unless that made more pieces.
+TOGETHER = 4096
+MOST_PIECES = 4096
+
+# Forests that are fitted at a time.
+AT_ONCE = 3
 
 # The default of Spark's trees; more categories in one feature need more bins.
 DEFAULT_BINS = 32
@@ -46,6 +57,21 @@ class ForestParams:
         return self.max_depth > 10 if self.cache_node_ids is None else self.cache_node_ids
 
 
+@dataclass(frozen=True)
+class Scaling:
+    """Bounds per feature, in order; what Spark ML's min-max scaler would find."""
+
+    low: tuple[float, ...]
+    high: tuple[float, ...]
+
+    def scaled(self, i: int, value: Column) -> Column:
+        """Feature ``i`` on [0, 1]; a constant one is 0.5, NULL and NaN stay."""
+        width = self.high[i] - self.low[i]
+        if not width:
+            return F.when(value.isNull() | F.isnan(value), value).otherwise(F.lit(0.5))
+        return (value - F.lit(self.low[i])) * F.lit(1.0 / width)
+
+
 @dataclass(frozen=True)
 class Features:
     """A fitted feature preparation, and the names of what it adds."""
@@ -55,7 +81,7 @@ class Features:
     answer: str
     names: tuple[str, ...]
     max_bins: int
-    scaler: MinMaxScalerModel | None
+    scaler: Scaling | None
     unseen: str
     number_invalid: str
     label_invalid: str
@@ -110,13 +136,13 @@ def fit_features(
     label_invalid: str = "error",
     output: str | None = None,
     label_output: str | None = None,
-    parts: int = PARTS,
+    parts: int | None = None,
 ) -> Features:
     """Index categories and label, pack the features, optionally scale them.
 
-    All indices come from one scan of ``df``, which should be the training part
-    alone; there is no limit on the number of labels, and no list of them on the
-    driver.  ``order`` fixes the order of the features (by default categories,
+    All indices, and the bounds of the features, come from one scan of ``df``,
+    which should be the training part alone; there is no limit on the number of
+    labels, and only short lists of them come to the driver.  ``order`` fixes the order of the features (by default categories,
     then numbers).  A category that is NULL or seen only later gets the index
     after the last one under ``unseen="keep"``.  The label has no such class: a
     NULL or new one fails the job, or under ``label_invalid="skip"`` its row is
@@ -127,49 +153,92 @@ def fit_features(
     and ``label`` with underscores before them if the table has such columns.
     Unscaled features keep their nominal metadata, and ``max_bins`` is large
     enough for the widest of them; scaling makes every feature continuous.
-    ``parts`` is the number of partitions of the training rows: part of what
-    defines a forest, so it is declared; take about the cores of the cluster.
+    ``parts`` is the number of partitions of the training rows, part of what
+    defines a forest: by default it follows from the number of rows of ``df``.
     """
     for choice in (number_invalid, label_invalid):
         if choice not in ("error", "skip"):
             raise ValueError("number_invalid and label_invalid are 'error' or 'skip'")
     order = list(order) if order is not None else [*categorical, *numeric]
     names = [_index_name(c) if c in categorical else c for c in order]
-    labels = fit_labels(df, list(dict.fromkeys([*categorical, label])))
+    columns = list(dict.fromkeys([*categorical, label]))
+    bounded = [c for c in order if c not in categorical] if scale else []
+    counts = settle(_counts_and_bounds(df, columns, bounded, categorical, unseen))
+    known = counts.where(F.col("value").isNotNull()).select("column", "value", "n", "rows", "whole")
+    labels = labels_of(known, columns)
+    first = F.col("column") == columns[0]
+    ends = [f(F.when(first, F.col(f"{f.__name__}{i}"))) for i in range(len(bounded)) for f in (F.min, F.max)]
+    n_rows, *found = counts.agg(F.coalesce(F.sum(F.when(first, F.col("rows"))), F.lit(0)), *ends).head()
     widest = max((labels.count(c) for c in categorical), default=0) + 1
-    features = Features(
+    scaler = None
+    if scale:
+        spans = {c: tuple(found[2 * i : 2 * i + 2]) for i, c in enumerate(bounded)}
+        spans |= _index_bounds(counts, labels, categorical)
+        low, high = zip(*[(spans[c] if spans.get(c, (None,))[0] is not None else (0.0, 0.0)) for c in order], strict=True)
+        scaler = Scaling(tuple(map(float, low)), tuple(map(float, high)))
+    return Features(
         labels,
         tuple(categorical),
         label,
         tuple(names),
         DEFAULT_BINS if scale else max(DEFAULT_BINS, widest),
-        None,
+        scaler,
         unseen,
         number_invalid,
         label_invalid,
         output or _free("features", df.columns),
         label_output or _free("label", df.columns),
-        parts,
+        parts or max(PARTS, -(-n_rows // PART_ROWS)),
     )
-    if not scale:
-        return features
-    packed = _packed(features, df, "_packed")
-    scaler = MinMaxScaler(inputCol="_packed", outputCol=features.column).fit(packed)
-    return replace(features, scaler=scaler)
 
 
-def _packed(features: Features, df: DataFrame, output: str) -> DataFrame:
-    names = [_index_name(c) for c in features.categorical]
-    indexed = apply_labels(df, features.labels, features.categorical, names, features.unseen)
-    return assemble(indexed, features.names, output, features.number_invalid)
+def _counts_and_bounds(
+    df: DataFrame, columns: Sequence[str], numbers: Sequence[str], categorical: Sequence[str], unseen: str
+) -> DataFrame:
+    """``(column, value, n, rows, whole, min0, max0, ...)``, NULL a value; one scan.
+
+    ``whole`` counts the value's rows that can become a vector, and the bounds of
+    ``numbers`` are over those.
+    """
+    needed = [*numbers, *(categorical if unseen == "null" else [])]
+    whole = is_complete([df.schema[c] for c in needed]) if needed else F.lit(True)
+    carried = {"_whole": whole, **{f"_x{i}": F.when(whole, F.col(f"`{c}`").cast("double")) for i, c in enumerate(numbers)}}
+    measures = {"whole": F.count_if("_whole")}
+    for i in range(len(numbers)):
+        measures |= {f"min{i}": F.min(f"_x{i}"), f"max{i}": F.max(f"_x{i}")}
+    return count_values(df, columns, carried=carried, measures=measures).select(
+        F.col(COLUMN).alias("column"),
+        value_text(df, columns).alias("value"),
+        F.col(COUNT).alias("n"),
+        F.col(ROWS).alias("rows"),
+        *measures,
+    )
+
+
+def _index_bounds(counts: DataFrame, labels: Labels, categorical: Sequence[str]) -> dict[str, tuple[float, float]]:
+    """Per category the smallest and the largest index among the rows that become vectors."""
+    at = labels.table.where(F.col("whole") > 0).select("column", F.col("index").cast("double").alias("at"))
+    null = counts.where(F.col("value").isNull() & (F.col("whole") > 0)).select("column", F.lit(None).cast("double").alias("at"))
+    found = at.unionAll(null).groupBy("column").agg(F.min("at"), F.max("at"), F.count_if(F.col("at").isNull())).collect()
+    out = {}
+    for c, low, high, nulls in found:
+        n = float(labels.count(c))
+        out[c] = (n, n) if low is None else (low, n if nulls else high)
+    return {c: span for c, span in out.items() if c in categorical}
 
 
 def apply_features(features: Features, df: DataFrame) -> DataFrame:
     """Add the features, and the label's index where ``df`` has the label."""
-    if features.scaler is None:
-        out = _packed(features, df, features.column)
-    else:
-        out = features.scaler.transform(_packed(features, df, "_packed")).drop("_packed")
+    names = [_index_name(c) for c in features.categorical]
+    out = apply_labels(df, features.labels, features.categorical, names, features.unseen)
+    inputs = list(features.names)
+    if features.scaler is not None:
+        inputs = [f"_scaled{i}" for i in range(len(features.names))]
+        values = [F.col(f"`{c}`").cast("double") for c in features.names]
+        out = out.withColumns({s: features.scaler.scaled(i, values[i]) for i, s in enumerate(inputs)})
+    out = assemble(out, inputs, features.column, features.number_invalid)
+    if features.scaler is not None:
+        out = out.drop(*inputs)
     if features.answer not in df.columns:
         return out
     null = "null" if features.label_invalid == "skip" else "error"
@@ -192,24 +261,39 @@ def skipped_rows(features: Features, df: DataFrame) -> DataFrame:
     )
 
 
-@contextmanager
-def _kept(ready: DataFrame, features: Features) -> Iterator[DataFrame]:
-    """The two columns a forest reads, kept while it is fitted.
+def deal(ready: DataFrame, features: Features) -> DataFrame:
+    """The two columns a forest reads, dealt into ``features.parts`` partitions.
 
-    A forest depends on how its rows are dealt and ordered.  They are dealt into
-    ``features.parts`` by a hash of their content and sorted by it, so that equal rows and an
-    equal seed make an equal forest however the table was partitioned before,
-    on any cluster.  Blocks that are lost are computed again.
+    A forest depends on how its rows are dealt and ordered.  Equal rows are
+    counted, cut into pieces of TOGETHER rows (or into MOST_PIECES), and the
+    pieces are dealt and sorted by their content and number, so that equal tables
+    and an equal seed make an equal forest however the table was partitioned
+    before, on any cluster, and a row that fills half of the table is spread as
+    evenly as the others.
     """
-    narrow = ready.select(features.column, features.label)
-    content = F.xxhash64(vector_to_array(features.column), F.col(f"`{features.label}`"))
-    dealt = narrow.withColumn("_content", content).repartition(features.parts, "_content")
-    again = F.xxhash64(F.lit(1), vector_to_array(features.column), F.col(f"`{features.label}`"))
-    kept = (
-        dealt.sortWithinPartitions("_content", again)
-        .drop("_content")
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    target = {c: ready.schema[c].metadata for c in (features.column, features.label)}
+    cells = ready.select(vector_to_array(features.column).alias("x"), F.col(f"`{features.label}`").alias("y"))
+    counted = cells.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+    size = F.greatest(F.lit(TOGETHER), F.ceil(F.col("n") / MOST_PIECES))
+    pieces = counted.withColumn("size", size).withColumn(
+        "piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / F.col("size"))))
+    )
+    marks = [F.xxhash64("x", "y", "piece").alias("mark"), F.xxhash64(F.lit(1), "x", "y", "piece").alias("again")]
+    mine = F.least("size", F.col("n") - F.col("piece") * F.col("size")).cast("int").alias("mine")
+    dealt = pieces.select("x", "y", mine, *marks).repartition(features.parts, "mark")
+    rows = dealt.sortWithinPartitions("mark", "again").select(
+        "x", "y", F.explode(F.array_repeat(F.lit(True), F.col("mine")))
+    )
+    return rows.select(
+        array_to_vector("x").alias(features.column, metadata=target[features.column]),
+        F.col("y").alias(features.label, metadata=target[features.label]),
     )
+
+
+@contextmanager
+def _kept(rows: DataFrame) -> Iterator[DataFrame]:
+    """Rows kept while forests are fitted; blocks that are lost are computed again."""
+    kept = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield kept
     finally:
@@ -220,7 +304,7 @@ def train_forest(
     ready: DataFrame, features: Features, params: ForestParams
 ) -> RandomForestClassificationModel:
     """Fit one forest on rows that :func:`apply_features` prepared."""
-    with _kept(ready, features) as kept:
+    with _kept(deal(ready, features)) as kept:
         return _fit(kept, features, params)
 
 
@@ -262,13 +346,15 @@ def sweep(
     test: DataFrame,
     features: Features,
     params: Sequence[ForestParams],
+    at_once: int = AT_ONCE,
 ) -> DataFrame:
     """``(num_trees, max_depth, metric, value)`` for several forests.
 
-    Both parts are prepared once and kept while the forests are fitted and
-    scored.  Runs those jobs; the result is settled.
+    Both parts are prepared once and kept while the forests are fitted, up to
+    ``at_once`` of them side by side, and scored.  Runs those jobs; the result is
+    settled.
     """
-    return sweep_models(train, test, features, params)[0]
+    return sweep_models(train, test, features, params, at_once)[0]
 
 
 def sweep_models(
@@ -276,27 +362,31 @@ def sweep_models(
     test: DataFrame,
     features: Features,
     params: Sequence[ForestParams],
+    at_once: int = AT_ONCE,
 ) -> tuple[DataFrame, list[RandomForestClassificationModel]]:
     """:func:`sweep`, and the forests themselves in the order of ``params``."""
-    results, models = [], []
-    with (
-        _kept(apply_features(features, train), features) as ready,
-        _kept(apply_features(features, test), features) as unseen,
-    ):
-        for p in params:
-            model = _fit(ready, features, p)
-            models.append(model)
-            results.append(
-                classification_metrics(model.transform(unseen), features.label).select(
-                    F.lit(p.num_trees).alias("num_trees"),
-                    F.lit(p.max_depth).alias("max_depth"),
-                    "metric",
-                    "value",
-                )
+    narrow = apply_features(features, test).select(features.column, features.label)
+    with _kept(deal(apply_features(features, train), features)) as ready, _kept(narrow) as unseen:
+        models = _fit_all(ready, features, params, at_once)
+        results = [
+            classification_metrics(model.transform(unseen), features.label).select(
+                F.lit(p.num_trees).alias("num_trees"), F.lit(p.max_depth).alias("max_depth"), "metric", "value"
             )
+            for p, model in zip(params, models, strict=True)
+        ]
         return settle(reduce(DataFrame.unionByName, results)), models
 
 
+def _fit_all(
+    kept: DataFrame, features: Features, params: Sequence[ForestParams], at_once: int
+) -> list[RandomForestClassificationModel]:
+    """Forests on one cache, side by side: one fills the cores while another plans its next level."""
+    kept.count()
+    fit = inheritable_thread_target(kept.sparkSession)(lambda p: _fit(kept, features, p))
+    with ThreadPoolExecutor(max(1, min(at_once, len(params)))) as pool:
+        return list(pool.map(fit, params))
+
+
 def sweep_importances(
     models: Sequence[RandomForestClassificationModel], features: Features, params: Sequence[ForestParams]
 ) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -152,3 +153,23 @@ def severity_sweep(
     """The metrics of each forest on the test part."""
     params = [op.ForestParams(seed, trees, depth) for trees, depth in forests]
     return op.sweep(train, test, severity_features(train), params)
+
+
+def severity_agreement(
+    train: DataFrame,
+    test: DataFrame,
+    keys: Sequence[str],
+    seed: int,
+    forests: Sequence[tuple[int, int]] = FORESTS,
+) -> DataFrame:
+    """``(num_trees, max_depth, ...)``: :func:`tabkit.operators.agreement` of each forest on the test part."""
+    params = [op.ForestParams(seed, trees, depth) for trees, depth in forests]
+    features = severity_features(train)
+    _, models = op.sweep_models(train, test, features, params)
+    rows = [
+        op.agreement(model, features, op.predict(model, features, test), keys, op.importances(model, features)).select(
+            F.lit(p.num_trees).alias("num_trees"), F.lit(p.max_depth).alias("max_depth"), "*"
+        )
+        for p, model in zip(params, models, strict=True)
+    ]
+    return reduce(DataFrame.unionByName, rows)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import DataFrame
 
 from tabkit import operators as op
@@ -211,6 +212,8 @@ def scaled(df: DataFrame) -> DataFrame:
 class StatusModel:
     """A fitted forest with its scored test part."""
 
+    forest: RandomForestClassificationModel
+    features: op.Features
     predictions: DataFrame
     metrics: DataFrame
     importances: DataFrame
@@ -254,6 +257,8 @@ def status_forest(
     )
     predictions = op.predict(model, features, test)
     return StatusModel(
+        model,
+        features,
         predictions,
         op.classification_metrics(predictions, features.label),
         op.importances(model, features),
