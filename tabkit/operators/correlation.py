@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from itertools import combinations, combinations_with_replacement
 from operator import and_
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +16,14 @@ from tabkit.functions import is_complete
 from tabkit.operators.ranking import number_rows
 from tabkit.sources import settle
 
+# Groups that the moments of all tasks are merged in before the driver gets them.
+MERGED = 32
+
+_PARTS = ("mean", "rest", "co", "low", "high")
+_MOMENTS = ", ".join(["n bigint", *(f"{c} array<double>" for c in _PARTS)])
+_MOMENTS_ARROW = pa.schema([("n", pa.int64()), *((c, pa.list_(pa.float64())) for c in _PARTS)])
+
+
 def _complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The columns as doubles, only rows without NULL and NaN."""
     chosen = df.where(is_complete([df.schema[c] for c in columns]))
@@ -25,25 +32,92 @@ def _complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def _pearson(data: DataFrame, d: int) -> dict[tuple[int, int], float]:
-    """Pearson's r of every unordered pair whose columns vary and are finite.
+class Moments:
+    """Count, means, centred co-moments and bounds of some columns; two of them can be added up.
+
+    A mean is ``mean + rest``, so that the distance of two means is exact enough
+    where columns lie far from zero.  A column with an infinity spoils its own
+    moments only, and its bounds say so.
+    """
+
+    def __init__(self, n: int, mean: np.ndarray, rest: np.ndarray, co: np.ndarray, low: np.ndarray, high: np.ndarray):
+        self.n, self.mean, self.rest, self.co, self.low, self.high = n, mean, rest, co, low, high
+
+    @classmethod
+    def of(cls, values: np.ndarray) -> Moments:
+        """From one row per column."""
+        with np.errstate(all="ignore"):
+            mean = values.mean(axis=1)
+            apart = values - mean[:, None]
+            rest = apart.mean(axis=1)
+            apart -= rest[:, None]
+            return cls(values.shape[1], mean, rest, apart @ apart.T, values.min(axis=1), values.max(axis=1))
 
-    Spark ML's moments, centred before they are multiplied, whatever the width.
+    def __add__(self, other: Moments) -> Moments:
+        n = self.n + other.n
+        with np.errstate(all="ignore"):
+            step = (other.mean - self.mean) + (other.rest - self.rest)
+            co = self.co + other.co + np.outer(step, step) * (self.n * other.n / n)
+            low = self.rest + step * (other.n / n)
+            mean = self.mean + low
+            back = mean - self.mean
+            rest = (self.mean - (mean - back)) + (low - back)
+        return Moments(n, mean, rest, co, np.minimum(self.low, other.low), np.maximum(self.high, other.high))
+
+    def batch(self) -> pa.RecordBatch:
+        cells = ([self.n], *([x.ravel()] for x in (self.mean, self.rest, self.co, self.low, self.high)))
+        arrays = [pa.array(c, f.type) for c, f in zip(cells, _MOMENTS_ARROW, strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, schema=_MOMENTS_ARROW)
+
+
+def _moments(rows: list[tuple]) -> Moments | None:
+    """The sum of stored moments."""
+    found = []
+    for n, *parts in rows:
+        mean, rest, co, low, high = map(np.array, parts)
+        found.append(Moments(n, mean, rest, co.reshape(len(mean), -1), low, high))
+    return reduce(Moments.__add__, found) if found else None
+
+
+def column_moments(data: DataFrame) -> Moments | None:
+    """The moments of all columns, which are doubles without NULL and NaN; None without rows.
+
+    One run of ``data``.  A task makes one row of d x d numbers, whatever its
+    rows; those are merged in MERGED groups, and the driver adds up the groups.
     """
-    names = [f"_x{i}" for i in range(d)]
-    sound = data.agg(
-        *[F.expr(f"min({c}) < max({c}) AND max(abs({c})) < double('Infinity') AS {c}") for c in names]
-    ).head()
-    good = [i for i in range(d) if sound[i]]
-    if not good:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if batch.num_rows:
+                own = Moments.of(np.stack([c.to_numpy() for c in batch.columns]))
+                held = own if held is None else held + own
+        if held is not None:
+            yield held.batch()
+
+    def merge(table: pa.Table) -> pa.Table:
+        whole = _moments(list(zip(*(table.column(f.name).to_pylist() for f in _MOMENTS_ARROW), strict=True)))
+        return pa.Table.from_batches([whole.batch()])
+
+    parts = data.mapInArrow(run, _MOMENTS).withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(MERGED)))
+    return _moments([tuple(r) for r in parts.groupBy("_part").applyInArrow(merge, _MOMENTS).collect()])
+
+
+def _pearson(data: DataFrame) -> dict[tuple[int, int], float]:
+    """Pearson's r of every ordered pair whose columns vary and are finite."""
+    m = column_moments(data)
+    if m is None:
         return {}
-    packed = VectorAssembler(inputCols=[names[i] for i in good], outputCol="_packed").transform(data)
-    matrix = Correlation.corr(packed.select("_packed"), "_packed").head()[0]
+    good = np.flatnonzero((m.low < m.high) & np.isfinite(m.low) & np.isfinite(m.high))
+    spread = np.sqrt(np.diag(m.co)[good])
+    with np.errstate(all="ignore"):
+        r = np.clip(m.co[np.ix_(good, good)] / spread[:, None] / spread, -1.0, 1.0)
+    np.fill_diagonal(r, 1.0)
     return {
-        (i, j): float(matrix[x, y])
+        (int(i), int(j)): float(r[x, y])
         for x, i in enumerate(good)
         for y, j in enumerate(good)
-        if not math.isnan(matrix[x, y])
+        if not np.isnan(r[x, y])
     }
 
 
@@ -53,10 +127,9 @@ def corr_long(df: DataFrame, columns: Sequence[str], null: str = "skip") -> Data
     Rows with NULL or NaN in any of the columns are left out, or fail the job
     with ``null="error"``.  A constant column, or one with an infinity, correlates
     with nothing, itself included: NULL.  Any number of columns takes the same
-    path: their bounds from one aggregate, then Spark ML's covariances of the
-    columns that vary.  Only the d x d numbers come to the driver.
+    path, :func:`column_moments`, which runs the input once.
     """
-    found = _pearson(_complete(_checked(df, columns, null), columns), len(columns))
+    found = _pearson(_complete(_checked(df, columns, null), columns))
     rows = [
         (a, b, found.get((i, j))) for i, a in enumerate(columns) for j, b in enumerate(columns)
     ]
@@ -82,6 +155,25 @@ def corr_wide(long: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+_CELLS = "_i int, _j int, _a string, _b string, _n bigint"
+_CELLS_ARROW = pa.schema(
+    [("_i", pa.int32()), ("_j", pa.int32()), ("_a", pa.string()), ("_b", pa.string()), ("_n", pa.int64())]
+)
+
+
+def _table_of(a: np.ndarray, b: np.ndarray, width: int, height: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The cells ``(a, b, n)`` with rows of the table of two code columns; -1 is no value."""
+    keys = a * height + b
+    keys = keys[(a >= 0) & (b >= 0)]
+    if width * height <= 4 * len(a):
+        counts = np.bincount(keys, minlength=width * height)
+        cells = np.flatnonzero(counts)
+        counts = counts[cells]
+    else:
+        cells, counts = np.unique(keys, return_counts=True)
+    return cells // height, cells % height, counts
+
+
 def pair_counts(
     df: DataFrame, columns: Sequence[str], complete: bool, itself: bool = False
 ) -> DataFrame:
@@ -90,25 +182,41 @@ def pair_counts(
     Values are text.  ``_i`` and ``_j`` are positions in ``columns``, ``_i < _j``,
     with ``itself`` also each column paired with itself.  ``complete`` leaves out
     rows with a NULL in any of the columns, else those with a NULL in the pair.
-    Counts are combined before the shuffle: what moves, and what is stored, is
-    bounded by the tables of the pairs, not by the rows.
+
+    A batch of rows turns each column into codes of its own dictionary and makes
+    the table of each pair from the codes, so that a row is never multiplied by
+    the number of pairs: what leaves a batch is its tables' cells.  They are
+    added up before the shuffle.  What moves, and what is stored, is bounded by
+    the tables of the pairs; a column with a value per row is counted like any
+    other, and its tables have as many cells as there are rows.
     """
     present = [F.col(f"`{c}`").isNotNull() for c in columns]
     data = df.where(reduce(and_, present)) if complete else df
     pick = combinations_with_replacement if itself else combinations
-    texts = [F.col(f"`{c}`").cast("string") for c in columns]
-    lines = F.array(
-        *[
-            F.struct(F.lit(i).alias("_i"), F.lit(j).alias("_j"), texts[i].alias("_a"), texts[j].alias("_b"))
-            for i, j in pick(range(len(columns)), 2)
-        ]
-    )
-    return settle(
-        data.select(F.inline(lines))
-        .where(F.col("_a").isNotNull() & F.col("_b").isNotNull())
-        .groupBy("_i", "_j", "_a", "_b")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
+    pairs = list(pick(range(len(columns)), 2))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            coded = [c.dictionary_encode() for c in batch.columns]
+            codes = [c.indices.fill_null(-1).to_numpy().astype(np.int64) for c in coded]
+            for i, j in pairs:
+                values = coded[i].dictionary, coded[j].dictionary
+                a, b, n = _table_of(codes[i], codes[j], len(values[0]), len(values[1]))
+                if len(n):
+                    cells = (
+                        pa.array(np.full(len(n), i, np.int32)),
+                        pa.array(np.full(len(n), j, np.int32)),
+                        values[0].take(pa.array(a)).cast(pa.string()),
+                        values[1].take(pa.array(b)).cast(pa.string()),
+                        pa.array(n.astype(np.int64)),
+                    )
+                    yield pa.RecordBatch.from_arrays(list(cells), schema=_CELLS_ARROW)
+
+    texts = data.select(*[F.col(f"`{c}`").cast("string").alias(f"_c{i}") for i, c in enumerate(columns)])
+    cells = texts.mapInArrow(run, _CELLS) if pairs else df.sparkSession.createDataFrame([], _CELLS)
+    return settle(cells.groupBy("_i", "_j", "_a", "_b").agg(F.sum("_n").alias("_n")))
 
 
 def _pair_names(df: DataFrame, pairs: Sequence[tuple[int, int]], columns: Sequence[str]) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import functions as F
 
 from tabkit import operators as op
+from tabkit.operators import correlation
 from tabkit.sources import read_table, settle
 from tests.conftest import SMALL, rows
 
@@ -208,3 +209,57 @@ def test_cramers_v_by_brute_force(ansi, spark, edge):
     for (a, b), v in got.items():
         want = cramers([(r[a], r[b]) for r in data])
         assert v == (None if want is None else pytest.approx(want)), (a, b)
+
+
+def test_moments_of_parts_add_up():
+    rng = np.random.default_rng(1)
+    values = rng.standard_normal((4, 500)) * [[1e-3], [1.0], [1e6], [0.5]] + [[1e9], [0.0], [-1e12], [3.0]]
+    values[3] += 2 * values[1]
+    cuts = [0, 1, 3, 90, 91, 300, 500]
+    parts = [correlation.Moments.of(values[:, a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    whole = sum(parts[1:], parts[0])
+    centred = values - values.mean(axis=1, keepdims=True)
+    centred -= centred.mean(axis=1, keepdims=True)
+    want = centred @ centred.T
+    spread = np.sqrt(np.diag(want))
+    assert whole.n == 500 and np.allclose(whole.co / spread / spread[:, None], want / spread / spread[:, None], atol=1e-9)
+    assert (whole.low == values.min(axis=1)).all() and (whole.high == values.max(axis=1)).all()
+
+
+def test_correlation_runs_its_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    lines = read_table(spark, SMALL, "lineitem").select(*COLUMNS)
+    got = op.corr_long(lines.mapInArrow(count, lines.schema), COLUMNS)
+    assert got.count() == 25 and seen.value == lines.count()
+
+
+@pytest.mark.parametrize(("width", "height"), [(3, 4), (40, 50)])
+def test_table_of_two_codes(width, height):
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(-1, width, 90), rng.integers(-1, height, 90)
+    want = Counter((x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True) if x >= 0 and y >= 0)
+    cells = zip(*(x.tolist() for x in correlation._table_of(a, b, width, height)), strict=True)
+    assert {(x, y): n for x, y, n in cells} == want
+
+
+def test_pairs_leave_a_batch_as_cells(spark):
+    """Forty columns of three values: a task sends at most nine cells a pair and batch."""
+    df = spark.range(3000).repartition(2).selectExpr(*[f"pmod(xxhash64(id, {i}), 3) AS k{i}" for i in range(40)])
+    cells = op.pair_counts(df, df.columns, complete=False)
+    assert cells.count() == 780 * 9 and cells.agg(F.sum("_n")).head()[0] == 780 * 3000
+
+
+def test_association_with_a_column_of_unique_values(spark):
+    df = spark.range(2000).selectExpr("cast(id as string) as id", "id % 3 as a", "pmod(xxhash64(id), 4) as b")
+    got = {(r["col_a"], r["col_b"]): r["v"] for r in op.cramers_v(df, ["id", "a", "b"]).collect()}
+    assert got["id", "a"] == pytest.approx(1.0) and got["id", "b"] == pytest.approx(1.0)
+    data = df.collect()
+    assert got["a", "b"] == pytest.approx(cramers([(r["a"], r["b"]) for r in data]))
+    ranks = {(r["col_a"], r["col_b"]): r["corr"] for r in op.corr_categorical(df, ["id", "a"]).collect()}
+    assert ranks["id", "id"] == 1.0 and abs(ranks["id", "a"]) < 0.1
