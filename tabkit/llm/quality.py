@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabkit.llm.texts import WordHashes, columns_batch, each_row, in_arrow, window_hashes, words_of
+from tabkit.llm.texts import WordHashes, columns_batch, each_row, in_arrow, same_columns, window_hashes, words_of
 
 # Rows measured for the order of the rules; the verdicts do not depend on it.
 SAMPLE_ROWS = 256
@@ -233,4 +233,4 @@ def keep_good(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES
 
         return step
 
-    return in_arrow(docs, make, docs.schema)
+    return same_columns(docs, make)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabkit.llm.quality import docs_key_type
-from tabkit.llm.texts import columns_batch, in_arrow
+from tabkit.llm.texts import columns_batch, in_arrow, same_columns
 
 #: The patterns of the base kinds, with the least length of each.
 ASSIGN = re.compile(
@@ -239,4 +239,4 @@ def mask_secrets(
 
         return step
 
-    return in_arrow(docs, make, docs.schema)
+    return same_columns(docs, make)

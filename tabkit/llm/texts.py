@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Distinct words a task keeps the hashes of before it forgets them all.
 KEPT_WORDS = 400_000
@@ -65,7 +66,9 @@ def window_hashes(hashes: np.ndarray, size: int, base: int) -> np.ndarray:
 
 
 def in_arrow(
-    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]], schema: str
+    df: DataFrame,
+    make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]],
+    schema: str | StructType,
 ) -> DataFrame:
     """``mapInArrow`` with a state per task: ``make()`` gives the batch function."""
 
@@ -78,6 +81,14 @@ def in_arrow(
     return df.mapInArrow(run, schema)
 
 
+def same_columns(
+    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]]
+) -> DataFrame:
+    """:func:`in_arrow` over whole rows that keep their columns, which may have any name."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return in_arrow(plain, make, plain.schema).toDF(*df.columns)
+
+
 def each_row(
     df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: str, arrow: pa.Schema
 ) -> DataFrame:
