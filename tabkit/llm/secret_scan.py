@@ -2,17 +2,21 @@
 
 The patterns find keys by their shape.  The lexer reads what looks like source or
 configuration (``name = "x"``, ``name: x``, ``"name": "x"``, ``name := x``,
-``name => x``), joins ``"a" + "b"``, follows names to the literals they stand
-for, and scores each literal by the name it ends up under.
+``name => x``, ``place["name"] = "x"``, ``name = call("x")``, ``<name>x</name>``,
+and strings in three quotes), joins ``"a" + "b"``, follows names to the literals
+they stand for, and scores each literal by the most telling of the names that
+lead to it.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,15 +55,24 @@ _HINT = re.compile("pass|pwd|secret|token|key|cred|auth|bearer|signature|salt|co
 #: Names, literals, blanks and joined parts have no bound; possessive repeats, which
 #: never try again with less, keep the reading linear.
 _NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*+"
-_STRING = r"\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'"
+_STRING = (
+    r"\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*+\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*+'''"
+    r"|\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'"
+)
+_ITEM = rf"(?:{_STRING}|[A-Za-z0-9_.\-]++)"
 _PAIR = re.compile(
-    rf"""(?:(?P<q>["'])(?P<quoted>{_NAME})(?P=q)|(?<![A-Za-z0-9_.\-])(?P<name>{_NAME}))
+    rf"""(?:(?P<q>["'])(?P<quoted>{_NAME})(?P=q)(?:[\x20\t]*+\])?+|(?<![A-Za-z0-9_.\-])(?P<name>{_NAME}))
     [\x20\t]*+(?::=|=>|[=:])(?!=)[\x20\t]*+
     (?:(?P<strings>(?:{_STRING})(?:\s*+\+\s*+(?:{_STRING}|{_NAME}))*+)
+      |(?P<calls>(?:{_NAME}\(\s*+)++)(?P<items>{_ITEM}(?:\s*+[+,]\s*+{_ITEM})*+)\s*+(?=\))
       |(?P<bare>[^\s"',;\#()\[\]{{}}<>]++))""",
     re.VERBOSE | re.ASCII,
 )
 _PART = re.compile(rf"{_STRING}|{_NAME}", re.ASCII)
+_ELEMENT = re.compile(rf"<(?P<tag>{_NAME})(?:\s[^<>]*+)?>(?P<inner>[^<>]++)</(?P=tag)\s*+>", re.ASCII)
+_CALLEE = re.compile(r"([A-Za-z0-9_\-]+)\(")
+#: Calls whose first literal says where a value is kept, and is none.
+_LOOKUPS = {"getenv", "get", "env", "environ", "input", "getpass", "prompt"}
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 
@@ -87,42 +100,58 @@ def base_spans(text: str) -> Iterator[tuple[str, int, int]]:
         yield "hex", m.start(), m.end()
 
 
+def _inside(literal: str, start: int) -> tuple[str, int, int]:
+    """A string's text and place without its quotes, and without blanks around it."""
+    quotes = 3 if len(literal) >= 6 and literal[:3] == literal[-3:] and literal[:3] in ('"""', "'''") else 1
+    return _bare(literal[quotes : len(literal) - quotes], start + quotes)
+
+
+def _bare(value: str, start: int) -> tuple[str, int, int]:
+    start += len(value) - len(value.lstrip())
+    return value.strip(), start, start + len(value.strip())
+
+
 def assignments(text: str) -> Iterator[Pair]:
-    """Pairs of a name and the literal it gets, constants followed.
+    """Every literal that a name gets, once, under the most telling name that leads to it.
 
     A name given another name gets that name's literals, wherever they stand;
-    a chain of names is followed to its end, and a circle ends it.
+    a chain of names is followed to its end, and a circle ends it.  Names are
+    visited from the heaviest on, each once, so that the time is linear in the
+    pairs whatever their chains.
     """
     literals: dict[str, list[tuple[str, int, int]]] = {}
-    links: list[tuple[str, str]] = []
+    reads: dict[str, list[str]] = {}
     for m in _PAIR.finditer(text):
         name = m["quoted"] or m["name"]
-        if m["strings"]:
-            at = m.start("strings")
-            for p in _PART.finditer(m["strings"]):
-                if p[0][0] in "\"'":
-                    span = (p[0][1:-1], at + p.start() + 1, at + p.end() - 1)
-                    literals.setdefault(name, []).append(span)
-                else:
-                    links.append((name, p[0]))
-        else:
+        if m["bare"]:
             value = m["bare"].rstrip(".:!?")
             literals.setdefault(name, []).append((value, m.start("bare"), m.start("bare") + len(value)))
-            links.append((name, value))
-    reads: dict[str, list[str]] = {}
-    for name, other in links:
-        reads.setdefault(name, []).append(other)
-    for name in dict.fromkeys([*literals, *reads]):
-        seen, todo = {name}, [name]
+            reads.setdefault(name, []).append(value)
+            continue
+        group = "strings" if m["strings"] else "items"
+        looked_up = group == "items" and _CALLEE.findall(m["calls"])[-1].lower() in _LOOKUPS
+        for p in _PART.finditer(m[group]):
+            if p[0][0] not in "\"'":
+                reads.setdefault(name, []).append(p[0])
+            elif looked_up:
+                looked_up = False
+            else:
+                literals.setdefault(name, []).append(_inside(p[0], m.start(group) + p.start()))
+    if "</" in text:
+        for m in _ELEMENT.finditer(text):
+            literals.setdefault(m["tag"], []).append(_bare(m["inner"], m.start("inner")))
+    best: dict[str, str] = {}
+    for name in sorted(dict.fromkeys([*literals, *reads]), key=name_weight, reverse=True):
+        todo = [name]
         while todo:
             here = todo.pop()
-            for value, start, end in literals.get(here, ()):
-                if value not in literals:
-                    yield Pair(name, value, start, end)
-            for other in reads.get(here, ()):
-                if other in literals and other not in seen:
-                    seen.add(other)
-                    todo.append(other)
+            if here not in best:
+                best[here] = name
+                todo += [other for other in reads.get(here, ()) if other in literals and other not in best]
+    for name, found in literals.items():
+        for value, start, end in found:
+            if value not in literals:
+                yield Pair(best[name], value, start, end)
 
 
 def name_weight(name: str) -> float:
@@ -157,12 +186,15 @@ def spans_of(text: str | None, threshold: float = THRESHOLD) -> list[tuple[str,
     if not text:
         return []
     found = [(k, s, e, 1.0) for k, s, e in base_spans(text)]
-    if ("=" in text or ":" in text) and _HINT.search(text):
+    if ("=" in text or ":" in text or "</" in text) and _HINT.search(text):
         taken = sorted((s, e) for _, s, e, _ in found)
+        starts = [s for s, _ in taken]
+        reach = list(accumulate((e for _, e in taken), max))
         best: dict[tuple[int, int], float] = {}
         for p in assignments(text):
             score = literal_score(p.name, p.value)
-            if score >= threshold and not any(s <= p.start and p.end <= e for s, e in taken):
+            before = bisect_right(starts, p.start)
+            if score >= threshold and not (before and reach[before - 1] >= p.end):
                 best[p.start, p.end] = max(score, best.get((p.start, p.end), 0.0))
         found += [("named", s, e, score) for (s, e), score in best.items()]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
