@@ -1,8 +1,9 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule says whether a text is rejected.  A sample shows what each rule costs
-and what it rejects; the rules then run in the order that rejects most per
-nanosecond, and the first rejection ends the work on a text.  The verdict is the
+Each rule says whether a text is rejected.  A sample shows what each rule costs,
+less the measures that an earlier rule has taken, and what it rejects; the rules
+then run in the order that rejects most per nanosecond, and the first rejection
+ends the work on a text.  The verdict is the
 same in any order, so measured times never change a result.
 """
 
@@ -10,7 +11,7 @@ from __future__ import annotations
 
 import re
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from tabkit.llm.texts import WordHashes, columns_batch, each_row, in_arrow, same_columns, window_hashes, words_of
 
-# Rows measured for the order of the rules; the verdicts do not depend on it.
-SAMPLE_ROWS = 256
+# Rows measured, about, for the order of the rules; the verdicts do not depend on it.
+SAMPLE_ROWS = 512
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 
@@ -110,55 +111,85 @@ RULES = (
 )
 
 
+BASE = Rule("base", lambda p: p.base_failed)
+
+#: Measures of a page that rules share, each after those it is made from.
+MEASURED = (
+    "words", "n_words", "word_chars", "n_symbols", "filled_lines", "n_dup_lines", "n_repeat_words", "n_letters", "n_upper"
+)
+
+
+def _mask(names: Iterable[str]) -> int:
+    return sum(1 << MEASURED.index(n) for n in names if n in MEASURED)
+
+
+def sampled(docs: DataFrame, text: str) -> DataFrame:
+    """The text of about SAMPLE_ROWS rows, each as likely as any other, where they lie."""
+    rows = docs.count()
+    chosen = docs.select(F.col(f"`{text}`").alias("text"))
+    return chosen if rows <= SAMPLE_ROWS else chosen.sample(SAMPLE_ROWS / rows, seed=7)
+
+
 def rule_profile(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> list[tuple]:
-    """``(row, rule, nanoseconds, rejected)`` on at most SAMPLE_ROWS rows.
+    """``(measure_ns, rule_ns, needs, rejects)`` of each of about SAMPLE_ROWS rows.
 
-    Measured on executors; only these numbers come to the driver.  Every rule
-    pays for the measures it needs, as if it ran first.
+    ``measure_ns`` is the time of each of MEASURED, ``rule_ns`` that of each rule
+    when all measures are there, ``needs`` says by bits which measures the rule
+    asked for.  Measured on executors; only these numbers come to the driver.
     """
-    arrow = pa.schema(
-        [("row", pa.int64()), ("rule", pa.int32()), ("ns", pa.int64()), ("out", pa.bool_())]
-    )
+    arrow = pa.schema([(c, pa.list_(pa.int64())) for c in ("measure_ns", "rule_ns", "needs", "rejects")])
 
     def make():
-        hashes = WordHashes()
+        hashes, clock = WordHashes(), time.perf_counter_ns
+
+        def timed(f, *args):
+            start = clock()
+            found = f(*args)
+            return found, clock() - start
 
         def step(batch):
-            found = []
-            for i, t in enumerate(batch.column(0).to_pylist()):
-                for k, rule in enumerate(rules):
-                    page, start = Page(t, hashes), time.perf_counter_ns()
-                    out = bool(rule.rejects(page))
-                    found.append((i, k, time.perf_counter_ns() - start, out))
-            yield columns_batch(zip(*found, strict=True), arrow)
+            rows = []
+            for t in batch.column(0).to_pylist():
+                full = Page(t, hashes)
+                measures = [timed(getattr, full, m)[1] for m in MEASURED]
+                done = [timed(r.rejects, full) for r in rules]
+                needs = []
+                for r in rules:
+                    fresh = Page(t, hashes)
+                    r.rejects(fresh)
+                    needs.append(_mask(vars(fresh)))
+                rows.append((measures, [ns for _, ns in done], needs, [int(out) for out, _ in done]))
+            yield columns_batch(zip(*rows, strict=True), arrow)
 
         return step
 
-    sample = docs.select(F.col(f"`{text}`").alias("text")).limit(SAMPLE_ROWS)
-    measured = in_arrow(sample, make, "row bigint, rule int, ns bigint, out boolean")
-    return [tuple(r) for r in measured.collect()]
+    schema = ", ".join(f"{f.name} array<bigint>" for f in arrow)
+    return [tuple(r) for r in in_arrow(sampled(docs, text), make, schema).collect()]
+
 
+def cascade_order(profile: Sequence[tuple], n_rules: int, paid: int = 0) -> list[int]:
+    """Rules by rejections per cost, each judged on what earlier ones let pass.
 
-def cascade_order(profile: Sequence[tuple], n_rules: int) -> list[int]:
-    """Rules by rejections per cost, each judged on what earlier ones let pass."""
+    A rule costs its own time and that of the measures it needs which no earlier
+    rule has paid for; the measures in ``paid`` cost nothing.
+    """
     if not profile or not n_rules:
         return list(range(n_rules))
-    n = len(profile) // n_rules
-    out = np.zeros((n_rules, n), bool)
-    cost = np.zeros(n_rules)
-    seen = [0] * n_rules
-    for _, rule, ns, rejected in profile:
-        out[rule, seen[rule]] = rejected
-        seen[rule] += 1
-        cost[rule] += ns + 1
-    cost /= n
-    left, order = np.ones(n, bool), []
-    rest = list(range(n_rules))
+    measures, own = (np.array([p[k] for p in profile], float).mean(axis=0) for k in (0, 1))
+    needs = np.bitwise_or.reduce([p[2] for p in profile])
+    out = np.array([p[3] for p in profile], bool).T
+    left, order, rest = np.ones(len(profile), bool), [], list(range(n_rules))
+
+    def cost(k: int) -> float:
+        new = int(needs[k]) & ~paid
+        return 1 + own[k] + sum(m for i, m in enumerate(measures) if new >> i & 1)
+
     while rest:
-        best = max(rest, key=lambda k: ((out[k] & left).sum() / cost[k], -cost[k], -k))
+        best = max(rest, key=lambda k: ((out[k] & left).sum() / cost(k), -cost(k), -k))
         order.append(best)
         rest.remove(best)
         left &= ~out[best]
+        paid |= int(needs[best])
     return order
 
 
@@ -170,9 +201,10 @@ def quality_cascade(
     ``kept`` is false when the base test fails or a rule rejects the text.
     A NULL or empty text has no word and fails the base test.  Rows are judged
     one by one: repeated rows and NULL keys come out as often as they come in.
-    The table is read once, plus the sample.
+    The measures of the output are computed for every row, so the rules are
+    ordered by what they cost beyond them.  The table is read once, plus the sample.
     """
-    order = cascade_order(rule_profile(docs, rules, text), len(rules))
+    order = cascade_order(rule_profile(docs, rules, text), len(rules), _mask((*MEASURES, "words", "filled_lines")))
     ranked = [rules[k] for k in order]
     arrow = pa.schema(
         [("key", docs_key_type(docs, key))]
@@ -215,8 +247,10 @@ def docs_key_type(docs: DataFrame, key: str) -> pa.DataType:
 def keep_good(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns.
 
-    The judgement runs on the rows themselves, so no join is needed.
+    The base test is one more rule of the cascade.  The judgement runs on the
+    rows themselves, so no join is needed.
     """
+    rules = (BASE, *rules)
     order = cascade_order(rule_profile(docs, rules, text), len(rules))
     ranked = [rules[k] for k in order]
     at = docs.columns.index(text)
@@ -228,7 +262,7 @@ def keep_good(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES
             good = []
             for t in batch.column(at).to_pylist():
                 p = Page(t, hashes)
-                good.append(not p.base_failed and not any(r.rejects(p) for r in ranked))
+                good.append(not any(r.rejects(p) for r in ranked))
             yield batch.filter(pa.array(good))
 
         return step

@@ -406,14 +406,41 @@ def test_quality_measures_and_verdicts(docs_of, no_docs):
 def test_long_texts_and_rule_order(docs_of):
     (row,) = quality.quality_cascade(docs_of([EDGE[8]])).collect()
     assert tuple(row)[1:6] == measures_by_hand(LONG)
+
+
+def profile_of(rules, measures=(0, 0)):
+    """Ten rows; a rule is (cost, needs, which rows it rejects)."""
+    return [(list(measures), [c for c, _, _ in rules], [n for _, n, _ in rules], [f(i) for _, _, f in rules]) for i in range(10)]
+
+
+def test_rules_are_ordered_by_rejections_per_cost():
     # Rule 1 rejects everything cheaply; rule 0 costs more than rule 2 and finds less.
-    profile = [(i, k, ns, out) for i in range(10) for k, ns, out in ((0, 90, i < 5), (1, 10, True), (2, 10, i < 6))]
-    assert quality.cascade_order(profile, 3) == [1, 2, 0]
-    rest = [(i, k, 10, out) for i in range(10) for k, out in ((0, i < 6), (1, i < 5), (2, i >= 7))]
+    plain = profile_of([(90, 0, lambda i: i < 5), (10, 0, lambda i: True), (10, 0, lambda i: i < 6)])
+    assert quality.cascade_order(plain, 3) == [1, 2, 0]
+    rest = profile_of([(10, 0, lambda i: i < 6), (10, 0, lambda i: i < 5), (10, 0, lambda i: i >= 7)])
     assert quality.cascade_order(rest, 3) == [0, 2, 1]  # what rule 1 finds, rule 0 has found
+    # A measure is paid for once, by the first rule that needs it: rule 2 then costs less than rule 0.
+    shared = profile_of([(30, 0, lambda i: i in (4, 5)), (5, 1, lambda i: i < 4), (5, 1, lambda i: i in (6, 7))], (40, 0))
+    assert quality.cascade_order(shared, 3) == [1, 2, 0]
+    assert quality.cascade_order(shared, 3, paid=0b10) == [1, 2, 0]
+    dear = profile_of([(30, 0, lambda i: i in (4, 5)), (5, 1, lambda i: i < 4), (5, 1, lambda i: i in (6, 7))], (400, 0))
+    assert quality.cascade_order(dear, 3) == [0, 1, 2]
+    assert quality.cascade_order(dear, 3, paid=1) == [1, 2, 0]
     assert quality.cascade_order([], 3) == [0, 1, 2]
 
 
+def test_the_sample_comes_from_everywhere(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_ROWS", 200)
+    table = docs_of([(i, PROSE * 2 if i % 2 else "too short") for i in range(3000)]).repartition(6)
+    profile = quality.rule_profile(table, quality.RULES)
+    assert 100 < len(profile) < 400
+    assert {len(p[0]) for p in profile} == {len(quality.MEASURED)} and {len(p[1]) for p in profile} == {len(quality.RULES)}
+    plan = quality.sampled(table, "text")._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "Limit" not in plan
+    few = quality.rule_profile(docs_of([(1, "a b"), (2, None)]), quality.RULES)
+    assert len(few) == 2
+
+
 # 8 ---------------------------------------------------------------------------
 
 
@@ -597,7 +624,121 @@ def test_assignments_of_any_length():
     assert spans("app." * 60 + 'db_pwd = "Zx81kQpLm02rT"') == [("named", "Zx81kQpLm02rT")]
 
 
-@pytest.mark.parametrize("text", ['pwd="' + "<" * 400_000 + '"', "a." * 400_000, 'pwd="' + "\\a" * 400_000, 'pwd="a"' + "\n" * 400_000, 'pwd="a' + '" + "b' * 200_000])
+@pytest.mark.parametrize(
+    ("text", "secrets"),
+    [
+        ('os.environ["DB_PASSWORD"] = "Zx81kQpLm02rT"', ["Zx81kQpLm02rT"]),
+        ("conf[ 'api'][\"auth_token\" ]='Zx81kQpLm02rT'", ["Zx81kQpLm02rT"]),
+        ("<db><pwd type='x'> Zx81kQpLm02rT\n</pwd><user>Zx81kQpLm02rT</user></db>", ["Zx81kQpLm02rT"]),
+        ('db_pwd = """\nZx81kQpLm02rT\n"""', ["Zx81kQpLm02rT"]),
+        ("db_pwd = '''Zx81kQ\\'pLm02rT'''", ["Zx81kQ\\'pLm02rT"]),
+        ('db_pwd = SecretStr("Zx81kQpLm02rT")', ["Zx81kQpLm02rT"]),
+        ('db_pwd = decode( strip("Zx81kQpLm02rT"), "utf-8" )', ["Zx81kQpLm02rT"]),
+        ('db_pwd = os.getenv("DB_PASSWORD_1", "Zx81kQpLm02rT")', ["Zx81kQpLm02rT"]),
+        ('k = "Zx81kQpLm02rT"\ndb_pwd = f(k)', ["Zx81kQpLm02rT"]),
+        ('made = config(db_pwd = "Zx81kQpLm02rT")', ["Zx81kQpLm02rT"]),
+        ('db_pwd = ask("Zx81kQpLm02rT"', []),
+        ("<pwd>Zx81kQpLm02rT</user>", []),
+        ('db_pwd = ""', []),
+    ],
+)
+def test_syntax_of_assignments(text, secrets):
+    assert spans(text) == [("named", s) for s in secrets]
+
+
+def pairs_by_hand(text):
+    """Each name walked on its own."""
+    literals, reads = {}, {}
+    for line in text.split("\n"):
+        name, value = line.split(" = ")
+        if value[0] == '"':
+            literals.setdefault(name, []).append(value[1:-1])
+        else:
+            literals.setdefault(name, []).append(value)
+            reads.setdefault(name, []).append(value)
+    found = {}
+    for name in literals:
+        seen, todo = {name}, [name]
+        while todo:
+            here = todo.pop()
+            for v in literals[here]:
+                if v not in literals:
+                    found.setdefault(v, set()).add(name)
+            for other in reads.get(here, ()):
+                if other in literals and other not in seen:
+                    seen.add(other)
+                    todo.append(other)
+    return found
+
+
+def test_chains_lead_to_the_most_telling_name():
+    rng = np.random.default_rng(3)
+    names = ["a", "b", "c", "token", "salt", "db_pwd", "cookie", "d", "user_id"]
+    for _ in range(300):
+        lines = []
+        for i in range(int(rng.integers(1, 12))):
+            name = names[rng.integers(len(names))]
+            lines.append(f'{name} = "lit{i}"' if rng.random() < 0.4 else f"{name} = {names[rng.integers(len(names))]}")
+        text = "\n".join(lines)
+        want = {v: max(map(secret_scan.name_weight, led)) for v, led in pairs_by_hand(text).items()}
+        got = {}
+        for p in secret_scan.assignments(text):
+            got[p.value] = max(got.get(p.value, 0.0), secret_scan.name_weight(p.name))
+        assert got == want, text
+
+
+def base_by_hand(text):
+    """Every start tried in turn, as the patterns are worded."""
+    found = []
+    i = 0
+    while i < len(text):
+        head = next((h for h in ("password", "passwd", "secret", "token", "api_key", "apikey") if text[i : i + len(h)].lower() == h), None)
+        j = i + len(head or "")
+        if head:
+            j += text[j : j + 1] in ("'", '"') and text[j : j + 1] != ""
+            while text[j : j + 1] == " ":
+                j += 1
+            ok = text[j : j + 1] in (":", "=") and text[j : j + 1] != ""
+            j += 1
+            while text[j : j + 1] == " ":
+                j += 1
+            j += text[j : j + 1] in ("'", '"') and text[j : j + 1] != ""
+            k = j
+            while k < len(text) and (text[k].isascii() and text[k].isalnum() or text[k] in "+/_.=-"):
+                k += 1
+            if ok and k > j:
+                if k - j >= 12:
+                    found.append(("assign", i, k))
+                i = k
+                continue
+        i += 1
+    for kind, head, allowed, least in (("access", "AKIA", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 18), ("hex", "", "0123456789abcdef", 16)):
+        i = 0
+        while i < len(text):
+            j = i + len(head)
+            if text[i:j] == head:
+                k = j
+                while k < len(text) and text[k] in allowed:
+                    k += 1
+                if k > j:
+                    if k - i >= least:
+                        found.append((kind, i, k))
+                    i = k
+                    continue
+            i += 1
+    return sorted(found, key=lambda x: (x[1], secret_scan.KINDS.index(x[0])))
+
+
+def test_base_spans_by_brute_force():
+    rng = np.random.default_rng(8)
+    parts = ["password", "Secret", "token", "api_key", "APIKEY", "AKIA", "0123456789abcdef", "abcdef", "Zz9+/_.=-", '"', "'", " ", ":", "=", "é", "ſ", "\n", "K", "7", "XYZ123"]
+    for _ in range(4000):
+        text = "".join(parts[k] for k in rng.integers(0, len(parts), int(rng.integers(1, 16))))
+        got = sorted(secret_scan.base_spans(text), key=lambda x: (x[1], secret_scan.KINDS.index(x[0])))
+        assert got == base_by_hand(text), text
+
+
+@pytest.mark.parametrize("text", ["\n".join(f"pwd{i} = pwd{i + 1}" for i in range(25_000)), "\n".join(f'token{i} = "{i:032x}"' for i in range(9_000)), 'pwd = f("a", ' * 40_000, "<pwd>" * 80_000, 'pwd = """' + "\\a" * 200_000, "a=f(" * 100_000, 'pwd="' + "<" * 400_000 + '"', "a." * 400_000, 'pwd="' + "\\a" * 400_000, 'pwd="a"' + "\n" * 400_000, 'pwd="a' + '" + "b' * 200_000])
 def test_long_assignments_take_linear_time(text):
     start = time.perf_counter()
     secret_scan.spans_of(text)
