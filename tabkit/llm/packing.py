@@ -3,15 +3,15 @@
 Texts become token ids once.  A document longer than a sequence is cut into whole
 sequences and a rest; every other document stays in one piece.  The histogram of
 piece lengths is small whatever the corpus, so the packing is planned on it:
-lengths are placed longest first, each into the pattern with the least room that
-still takes it.  Pieces then find their place by their rank among the pieces of
+lengths are placed longest first, each into the pattern that holds least, if it
+takes it.  Pieces then find their place by their rank among the pieces of
 their length.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, insort
+from bisect import insort
 from collections import defaultdict
 from collections.abc import Sequence
 from functools import lru_cache
@@ -43,13 +43,18 @@ _PIECES = re.compile(rb"[" + _LETTERS + rb"]+|[0-9]|[^0-9\t-\r \x85\xa0" + _LETT
 _PLAIN = re.compile(rb"['\xb2\xb3\xb9\xbc-\xbe\x1c-\x1f]|<\|")
 
 
+#: Shows a tokenizer that does not cut a text as :class:`WordIds` does.
+PROBE = "The  Quick\tbrown\nÉté ÿß-Fox, jumped 1234 times (a1b2)!! over_it... ~#x $5.00 \xa0 a/b THE the æØ"
+
+
 class WordIds:
     """Token ids of whole texts, remembered word by word, as bytes.
 
     For a tokenizer that lower-cases, drops white space, and cuts a text into
     runs of letters, single digits and runs of other marks before it merges: no
     token reaches over such a cut, so each piece's ids can be kept.  Texts beyond
-    Latin-1 are encoded whole.  Ids are little-endian unsigned 32-bit numbers.
+    Latin-1 are encoded whole, and with a tokenizer that gives other ids for
+    PROBE so is every text.  Ids are little-endian unsigned 32-bit numbers.
     """
 
     def __init__(self, path: str):
@@ -57,6 +62,16 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[bytes, bytes] = {}
+        self.whole = False
+        self.whole = self._differs()
+        self.words.clear()
+
+    def _differs(self) -> bool:
+        try:
+            return self.ids([PROBE, PROBE[::-1]]) != [self._encoded(PROBE), self._encoded(PROBE[::-1])]
+        except (KeyError, TypeError, ValueError):
+            # No word numbers, or fewer than words: not a tokenizer of this kind.
+            return True
 
     def _encoded(self, piece: str) -> bytes:
         ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
@@ -72,6 +87,8 @@ class WordIds:
             start = end
 
     def _pieces(self, text: str | None) -> list[bytes] | None:
+        if self.whole:
+            return None
         try:
             raw = (text or "").encode("latin-1")
         except UnicodeEncodeError:
@@ -98,7 +115,7 @@ class WordIds:
             self._learn(letters[at : at + AT_ONCE])
         find = self.words.__getitem__
         return [
-            self._encoded(t) if c is None else b"".join(map(find, c)) for t, c in zip(texts, cut, strict=True)
+            self._encoded(t or "") if c is None else b"".join(map(find, c)) for t, c in zip(texts, cut, strict=True)
         ]
 
 
@@ -115,8 +132,8 @@ def plan_packs(histogram: dict[int, int], size: int) -> list[tuple[tuple[int, ..
     """``(lengths, count)``: so many sequences hold pieces of these lengths.
 
     Longest lengths first.  Patterns are kept by the room they have left; pieces
-    of a length go to the fullest pattern with room for them, as many at a time
-    as there are such sequences, and open new sequences when no pattern fits.
+    of a length go to the shortest pack, the pattern with most room, as many at a
+    time as there are such sequences, and open new sequences when it has no room.
     The work depends on the number of lengths, not on that of the pieces.
     """
     by_room: dict[int, dict[tuple[int, ...], int]] = defaultdict(lambda: defaultdict(int))
@@ -144,9 +161,8 @@ def plan_packs(histogram: dict[int, int], size: int) -> list[tuple[tuple[int, ..
         if not 0 < length <= size:
             raise ValueError(f"a piece of {length} does not fit into {size}")
         while left:
-            at = bisect_left(rooms, length)
-            if at < len(rooms):
-                room = rooms[at]
+            if rooms and rooms[-1] >= length:
+                room = rooms[-1]
                 pattern, used = take(room, left)
                 put((*pattern, length), room - length, used)
                 left -= used

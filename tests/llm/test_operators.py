@@ -245,6 +245,53 @@ def test_remembered_ids_are_the_tokenizers(tokenizer, monkeypatch):
             assert np.frombuffer(ids, "<u4").tolist() == whole.encode(t or "", add_special_tokens=False).ids, t
 
 
+def packs_by_hand(histogram, size):
+    """One piece after the other, longest first, into the shortest pack if it fits."""
+    packs = []
+    for length in sorted((n for n, k in histogram.items() for _ in range(k)), reverse=True):
+        shortest = min(packs, key=sum, default=None)
+        if shortest is not None and sum(shortest) + length <= size:
+            shortest.append(length)
+        else:
+            packs.append([length])
+    return sorted(map(sum, packs))
+
+
+def test_the_shortest_pack_comes_first():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        size = int(rng.integers(5, 60))
+        histogram = {int(n): int(rng.integers(1, 9)) for n in rng.integers(1, size + 1, int(rng.integers(1, 12)))}
+        plan = packing.plan_packs(histogram, size)
+        assert sorted(sum(p) for p, n in plan for _ in range(n)) == packs_by_hand(histogram, size)
+        used = Counter()
+        for pattern, n in plan:
+            for length in pattern:
+                used[length] += n
+        assert used == histogram
+
+
+def test_other_tokenizers_encode_whole_texts(tokenizer):
+    from pathlib import Path
+
+    from tokenizers import Tokenizer
+
+    assert not packing.WordIds(tokenizer).whole
+    others = []
+    for path in sorted(Path(tokenizer).parent.glob("*.json")):
+        try:
+            Tokenizer.from_file(str(path))
+        except Exception:  # not every JSON file there is a tokenizer
+            continue
+        others.append(str(path))
+    assert others
+    for path in others:
+        whole, words = Tokenizer.from_file(path), packing.WordIds(path)
+        for texts in (ODD, [PROSE.upper(), LONG[:3000]]):
+            for t, ids in zip(texts, words.ids(texts), strict=True):
+                assert np.frombuffer(ids, "<u4").tolist() == whole.encode(t or "", add_special_tokens=False).ids, (path, t)
+
+
 # 5 ---------------------------------------------------------------------------
 
 
