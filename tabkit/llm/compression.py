@@ -25,8 +25,9 @@ from tabkit.sources import store
 #: Texts per label that a dictionary is built from, and how long one may be.
 DICTIONARY_TEXTS = 400
 DICTIONARY_TEXT_BYTES = 16_384
-#: Texts per label that the curve is fitted on; they differ from the former.
+#: Texts per label that the curve is fitted on, and the share of a label's texts kept for it.
 CURVE_TEXTS = 1_500
+DEALT = 3
 DICTIONARY_BYTES = 64 * 1024
 BLOCK = 2048
 LEVEL = 3
@@ -148,10 +149,12 @@ def fit_compression(
 ) -> Model:
     """Learn from the labelled rows for which ``learn``, over the key, holds.
 
-    The rows used are those with the smallest hashes of their keys: for each
-    label DICTIONARY_TEXTS texts of at most DICTIONARY_TEXT_BYTES for the
-    dictionaries, and CURVE_TEXTS others, whole and measured on executors, for
-    the curve.  So at most 13 MB of text and 3,000 rows of numbers come to the
+    Each label's texts are dealt by their hash: one in DEALT may serve the curve,
+    the others the dictionaries, so that the curve never sees a text that a
+    dictionary holds.  Of these the ones with the smallest
+    hashes are used: for each label DICTIONARY_TEXTS texts of at most
+    DICTIONARY_TEXT_BYTES for the dictionaries, and CURVE_TEXTS, whole and
+    measured on executors, for the curve.  So at most 13 MB of text and 3,000 rows of numbers come to the
     driver.  Contradictory or NULL labels are left out.
     """
     known = (
@@ -190,12 +193,10 @@ def fit_compression(
     built, curve = [], []
     for y in (1, 0):
         mine = named.where(F.col("_y") == y)
-        picked = first(mine.where(F.col("_bytes") <= DICTIONARY_TEXT_BYTES), DICTIONARY_TEXTS)
-        if len(picked) == DICTIONARY_TEXTS:
-            # Rows after those of the dictionary; where these are all there is, they serve twice.
-            mine = mine.where(F.col("_order") > picked[-1]["_order"])
-        built += picked
-        curve += first(mine, CURVE_TEXTS)
+        # A text serves the dictionary or the curve, never both, however few there are.
+        for_curve = F.pmod(F.xxhash64(F.lit("dealt"), "_print"), F.lit(DEALT)) == 0
+        built += first(mine.where(~for_curve & (F.col("_bytes") <= DICTIONARY_TEXT_BYTES)), DICTIONARY_TEXTS)
+        curve += first(mine.where(for_curve), CURVE_TEXTS)
     texts: dict[int, list[bytes]] = {0: [], 1: []}
     for r in fetched(built).collect():
         texts[r["_y"]].append(r["_text"].encode("utf-8", "surrogatepass"))

@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 from tabkit.llm.quality import docs_key_type
 from tabkit.llm.texts import columns_batch, in_arrow
 
-#: The labelled sample: documents and characters per language, and characters of one document.
+#: The labelled sample: documents and characters per language, and the stretch read of one document.
 SAMPLE_DOCS = 64
 SAMPLE_DOC_CHARS = 4_096
 SAMPLE_CHARS = 40_000
-#: Letters of a language that its automaton tells apart; rarer ones end a phrase.
+#: Letters of a language whose next states stand in a table; those of rarer ones are searched for.
 SYMBOLS = 96
 #: Texts are parsed in stretches of this many characters; a stretch's end ends a phrase.
 STRETCH = 1_024
@@ -57,18 +57,21 @@ def normalised(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Automaton:
-    """The suffix automaton of a text, as one table of next states (-1: none)."""
+    """The suffix automaton of a text, all its letters included.
+
+    The commonest letters have a table of next states (-1: none); the moves by
+    others are sorted codes of state and letter.
+    """
 
     def __init__(self, codes: np.ndarray):
-        common = [c for c, _ in sorted(Counter(codes.tolist()).items(), key=lambda x: (-x[1], x[0]))]
-        self.symbols = np.zeros(0x110000, np.uint8)  # 0: a letter the sample does not know
-        self.symbols[common[:SYMBOLS]] = np.arange(1, len(common[:SYMBOLS]) + 1)
-        self.width = len(common[:SYMBOLS]) + 1
+        letters = [c for c, _ in sorted(Counter(codes.tolist()).items(), key=lambda x: (-x[1], x[0]))]
+        number = np.zeros(0x110000, np.int32)  # 0: a letter the sample does not know
+        number[letters] = np.arange(1, len(letters) + 1)
+        self.symbols = np.where(number <= SYMBOLS, number, 0).astype(np.uint8)
+        self.width = min(SYMBOLS, len(letters)) + 1
+        self.rare = np.where(number > SYMBOLS, number, 0) if len(letters) > SYMBOLS else None
         moves, link, length, last = [{}], [-1], [0], 0
-        for s in self.symbols[codes].tolist():
-            if not s:
-                last = 0  # a phrase does not reach over an unknown letter
-                continue
+        for s in number[codes].tolist():
             here, at = len(moves), last
             if s in moves[at] and length[moves[at][s]] == length[at] + 1:
                 last = moves[at][s]
@@ -94,11 +97,23 @@ class Automaton:
                     link[to] = link[here] = copy
             last = here
         self.table = np.full(len(moves) * self.width, -1, np.int32)
+        sparse = []
         for state, found in enumerate(moves):
             for s, to in found.items():
-                self.table[state * self.width + s] = to * self.width
+                if s < self.width:
+                    self.table[state * self.width + s] = to * self.width
+                else:
+                    sparse.append((state * self.width << 21 | s, to * self.width))
+        keys, values = zip(*sorted(sparse), strict=True) if sparse else ((), ())
+        self.keys, self.values = np.array(keys, np.int64), np.array(values, np.int32)
         self.bits = float(np.log2(max(2, len(codes))))
 
+    def _searched(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """Next states by rare letters; -1 where there is none, and for letter 0."""
+        codes = state.astype(np.int64) << 21 | letter
+        at = np.minimum(np.searchsorted(self.keys, codes), len(self.keys) - 1)
+        return np.where(self.keys[at] == codes, self.values[at], -1)
+
     def phrases(self, steps: np.ndarray, active: np.ndarray) -> np.ndarray:
         """Phrases of stretches: row j of ``steps`` holds their j-th code points.
 
@@ -110,10 +125,15 @@ class Automaton:
         for codes, n in zip(steps, active.tolist(), strict=True):
             s = symbols[codes[:n]]
             to = table[state[:n] + s]
+            odd = np.flatnonzero(s == 0) if self.rare is not None else ()
+            if len(odd):
+                to[odd] = self._searched(state[odd], self.rare[codes[odd]])
             lost = np.flatnonzero(to < 0)
             if len(lost):
                 count[lost] += state[lost] > 0
                 again = table[s[lost]]
+                if len(odd):
+                    again = np.where(s[lost] == 0, self._searched(np.zeros(len(lost), np.int32), self.rare[codes[lost]]), again)
                 count[lost] += again < 0
                 to[lost] = np.maximum(again, 0)
             state[:n] = to
@@ -169,20 +189,35 @@ def in_groups(texts: Sequence[str | None], most: int = TOGETHER) -> Iterator[tup
         yield start, len(texts)
 
 
+def equal_shares(lengths: np.ndarray, total: int) -> np.ndarray:
+    """How much of each length to take so that all is ``total`` at most, and shares are equal where they can be."""
+    out, left = np.zeros(len(lengths), np.int64), total
+    for done, i in enumerate(np.argsort(lengths, kind="stable")):
+        out[i] = min(int(lengths[i]), left // (len(lengths) - done))
+        left -= out[i]
+    return out
+
+
 def fit_languages(
     docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang"
 ) -> Languages:
     """A sample of each language among the rows for which ``learn`` holds.
 
     Two passes: rows per language, then those whose hashed key falls below what
-    makes about twice SAMPLE_DOCS of them.  What reaches the driver is bounded
-    by languages x SAMPLE_DOCS x SAMPLE_DOC_CHARS; no language is gathered in a
-    task.  NULL languages and texts teach nothing.
+    makes about twice SAMPLE_DOCS of them.  Of a document a stretch is read whose
+    place follows from its hash, so that how documents open teaches no more than
+    the rest of them, and every document gives the same share of SAMPLE_CHARS as
+    far as it can.  What reaches the driver is bounded by languages x SAMPLE_DOCS
+    x SAMPLE_DOC_CHARS; no language is gathered in a task.  NULL languages and
+    texts teach nothing.
     """
-    rows = docs.where(learn & F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull()).select(
+    body = F.col(f"`{text}`")
+    mark = F.xxhash64(F.lit("language"), F.col(f"`{key}`"), body)
+    room = F.greatest(F.lit(1), F.char_length(body) - SAMPLE_DOC_CHARS + 1)
+    rows = docs.where(learn & F.col(f"`{lang}`").isNotNull() & body.isNotNull()).select(
         F.col(f"`{lang}`").alias("lang"),
-        F.substring(f"`{text}`", 1, SAMPLE_DOC_CHARS).alias("text"),
-        F.pmod(F.xxhash64(F.lit("language"), F.col(f"`{key}`"), F.col(f"`{text}`")), F.lit(1 << 40)).alias("order"),
+        F.substr(body, F.pmod(F.xxhash64(F.lit("place"), mark), room).cast("int") + 1, F.lit(SAMPLE_DOC_CHARS)).alias("text"),
+        F.pmod(mark, F.lit(1 << 40)).alias("order"),
     )
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
@@ -197,10 +232,13 @@ def fit_languages(
     names, samples = [], []
     for name in sorted(found):
         chosen = [t for _, t in sorted(found[name])[:SAMPLE_DOCS]]
-        codes, _ = normalised(chosen)
+        codes, lengths = normalised(chosen)
         if len(codes):
+            ends = np.cumsum(lengths)
+            shares = equal_shares(lengths, SAMPLE_CHARS)
+            parts = [codes[e - n : e - n + k] for e, n, k in zip(ends, lengths, shares, strict=True)]
             names.append(name)
-            samples.append(codes[:SAMPLE_CHARS].astype("<u4").tobytes())
+            samples.append(np.concatenate(parts).astype("<u4").tobytes())
     return Languages(tuple(names), tuple(samples))
 
 

@@ -391,6 +391,46 @@ def test_phrases_by_brute_force():
         assert round(b / automaton.bits) == sum(phrases_by_hand(p, sample) for p in pieces)
 
 
+@pytest.mark.parametrize("symbols", [96, 3, 1])
+def test_phrases_of_a_large_alphabet(monkeypatch, symbols):
+    """Letters beyond the table are searched for, and none is unknown that the sample holds."""
+    monkeypatch.setattr(language, "SYMBOLS", symbols)
+    rng = np.random.default_rng(7)
+    signs = [chr(0x4E00 + i) for i in range(1500)]
+    common = np.array([1 / (i + 1) for i in range(1500)])
+    say = lambda n: "".join(rng.choice(signs, n, p=common / common.sum()))
+    sample = say(6000) + "".join(signs)
+    automaton = language.Automaton(np.array([ord(c) for c in sample], np.uint32))
+    texts = [say(1500), sample[100:1400], say(40) + "abc" + say(30)]
+    bits, _ = language.parse_bits(texts, [automaton])
+    for t, b in zip(texts, bits[:, 0], strict=True):
+        plain = "".join(map(chr, language.normalised([t])[0]))
+        pieces = [plain[i : i + language.STRETCH] for i in range(0, len(plain), language.STRETCH)]
+        assert round(b / automaton.bits) == sum(phrases_by_hand(p, sample) for p in pieces)
+    assert round(bits[1, 0] / automaton.bits) == 2  # two stretches of the sample itself
+
+
+def test_equal_shares():
+    assert language.equal_shares(np.array([5, 100, 50]), 60).tolist() == [5, 28, 27]
+    assert language.equal_shares(np.array([1, 2]), 60).tolist() == [1, 2]
+
+
+def test_a_common_opening_teaches_nothing(docs_of, monkeypatch):
+    """Every document opens with the same long English notice; the languages are still told apart."""
+    rng = np.random.default_rng(8)
+    notice = " ".join(rng.permutation((PROSE * 30).split()))
+    data = []
+    for i in range(240):
+        own = GERMAN if i % 2 else FRENCH
+        data.append((i, notice + " " + " ".join(rng.choice(own.split(), 3000)), "de" if i % 2 else "fr", None))
+    test = [(1000 + i, " ".join(rng.choice((GERMAN if i % 2 else FRENCH).split(), 20))) for i in range(40)]
+    known = language.fit_languages(docs_of(data), F.lit(True))
+    assert all(len(s) // 4 <= language.SAMPLE_CHARS for s in known.samples)
+    found = {r["doc_id"]: r["lang_pred"] for r in language.detect_languages(docs_of(test), known).collect()}
+    assert all(found[1000 + i] == ("de" if i % 2 else "fr") for i in range(40))
+
+
+GERMAN = "Das Dorf sah dem Fluss zu wie er unter der alten steinernen Brücke stieg und wartete auf das Ende vom Regen. "
 FRENCH = "Le village regardait la rivière monter sous le vieux pont de pierre et attendait que la pluie cesse enfin. "
 
 
