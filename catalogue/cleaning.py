@@ -113,6 +113,22 @@ def column_modes_multi(spark: SparkSession, d: str) -> DataFrame:
     return op.column_modes(dirty_part(spark, d), list(_PART_MODES))
 
 
+_LINE_MODES = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_shipdate")
+
+
+@query(
+    "column_modes_cells",
+    " UNION ALL ".join(
+        f"""(SELECT '{c}' AS "column", CAST({c} AS VARCHAR) AS "value", count(*) AS n FROM lineitem
+        GROUP BY {c} ORDER BY n DESC, {c} LIMIT 1)"""
+        for c in _LINE_MODES
+    ),
+)
+def column_modes_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Modes of columns with very many values, of which only those that can be modes move."""
+    return op.column_modes(read_table(spark, d, "lineitem"), _LINE_MODES, cells=4096)
+
+
 def _mode(column: str) -> str:
     return (
         f"(SELECT {column} FROM t WHERE {column} IS NOT NULL GROUP BY {column} "

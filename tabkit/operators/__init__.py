@@ -60,6 +60,7 @@ from tabkit.operators.quality import (
     missing_counts,
     missing_profile,
     mode_row,
+    narrowed,
     null_tokens,
     rows_before_after,
     settled_modes,

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -110,9 +112,17 @@ def mode_row(df: DataFrame, columns: Sequence[str], include_null: bool = False)
 
 
 def column_modes(
-    df: DataFrame, columns: Sequence[str], include_null: bool = False
+    df: DataFrame, columns: Sequence[str], include_null: bool = False, cells: int | None = None
 ) -> DataFrame:
-    """``(column, value, n)`` with the mode of each column as text."""
+    """``(column, value, n)`` with the mode of each column as text.
+
+    With ``cells`` the modes are found by :func:`narrowed`, which moves few rows
+    where a column of very many values has some that stand out.
+    """
+    if cells is not None:
+        if include_null:
+            raise ValueError("NULL is no candidate in cells")
+        df = narrowed(df, columns, cells)
     lines = F.array(
         *[
             F.struct(
@@ -126,6 +136,47 @@ def column_modes(
     return _modes(df, columns, include_null).select(F.inline(lines))
 
 
+def _cell_counts(df: DataFrame, columns: Sequence[str], cells: int) -> tuple[DataFrame, dict[str, dict[int, int]]]:
+    """``df`` with the cell of each column's value, NULL for a missing one, and the rows per cell."""
+    placed = {}
+    for i, c in enumerate(columns):
+        value = F.col(f"`{c}`")
+        # Zero has one cell whatever its sign.
+        whole = value + F.lit(0.0).cast(df.schema[c].dataType) if _floating(df, c) else value
+        lacking = is_missing(df.schema[c], tokens=(), nan=_floating(df, c))
+        placed[f"_cell{i}"] = F.when(~lacking, F.pmod(F.xxhash64(whole), F.lit(cells)))
+    marked = df.select(*[F.col(f"`{c}`") for c in columns]).withColumns(placed)
+    counts = marked.select(*placed).unpivot([], list(placed), "column", "cell").groupBy("column", "cell").agg(F.count(F.lit(1)).alias("n"))
+    found: dict[str, dict[int, int]] = {c: {} for c in columns}
+    for name, cell, n in counts.where(F.col("cell").isNotNull()).collect():
+        found[columns[int(name.removeprefix("_cell"))]][cell] = n
+    return marked, found
+
+
+def _within(marked: DataFrame, columns: Sequence[str], chosen: dict[str, list[int]]) -> DataFrame:
+    """The columns with only the values in the chosen cells; a row with none of them goes."""
+    kept = [F.when(F.col(f"_cell{i}").isin(chosen[c]), F.col(f"`{c}`")).alias(c) for i, c in enumerate(columns)]
+    return marked.select(*kept).where(reduce(or_, [F.col(f"`{c}`").isNotNull() for c in columns]))
+
+
+def narrowed(df: DataFrame, columns: Sequence[str], cells: int = 4096, first: int = 4) -> DataFrame:
+    """The columns, NULL where the value can be no mode.
+
+    A first run counts the rows per cell of the values' hashes, at most ``cells``
+    a column and task.  The ``first`` fullest cells of each column are then
+    counted value by value: the best count there is a bound, and only cells with
+    as many rows as that can hold a mode, or one that ties with it.  Where a value
+    stands out those are few, and all other values never move; in a column of
+    unique values they are all of them, and nothing is lost but the first runs.
+    """
+    marked, counts = _cell_counts(df, columns, cells)
+    chosen = {c: sorted(own, key=lambda k: (-own[k], k))[:first] for c, own in counts.items()}
+    best = _modes(_within(marked, columns, chosen), columns, include_null=False)
+    found = best.select(*[(-F.col(f"_{i}.k")).alias(f"n{i}") for i in range(len(columns))]).head()
+    open_ = {c: [k for k, n in counts[c].items() if found[i] is not None and n >= found[i]] for i, c in enumerate(columns)}
+    return _within(marked, columns, open_)
+
+
 def impute_modes(
     df: DataFrame,
     columns: Sequence[str],

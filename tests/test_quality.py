@@ -170,3 +170,34 @@ def test_dots_in_names(spark, name):
         [("x", 1.0, 1), ("x", 2.0, 2), ("-", None, 1), (None, 4.0, 3)], "`a.b` string, `n.m` double, k int"
     )
     assert DOTTED[name](df).count() > 0
+
+
+@pytest.mark.parametrize(("cells", "first"), [(1, 1), (7, 2), (4096, 4)])
+def test_modes_by_cells_are_exact(spark, cells, first):
+    """Ties, unique values, signed zeros, NaN, NULL and a value that stands out."""
+    df = spark.range(900).select(
+        F.col("id").alias("unique"),
+        (F.col("id") % 30).cast("int").alias("tied"),
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("v"), F.col("id"))).alias("hot"),
+        F.when(F.col("id") % 5 == 0, F.lit(float("nan"))).when(F.col("id") % 5 < 3, F.when(F.col("id") % 2 == 0, -0.0).otherwise(0.0))
+        .otherwise(F.col("id") / 7).alias("zeros"),
+        F.lit(None).cast("string").alias("none"),
+        F.when(F.col("id") < 2, F.lit("b")).when(F.col("id") < 4, F.lit("a")).alias("few"),
+    )
+    want = rows(op.column_modes(df, df.columns))
+    assert rows(op.column_modes(op.narrowed(df, df.columns, cells, first), df.columns)) == want
+    assert {r[0]: r[2] for r in want} == {"unique": 1, "tied": 30, "hot": 300, "zeros": 360, "none": None, "few": 2}
+
+
+def test_only_values_that_can_be_modes_move(spark):
+    df = spark.range(20_000).select(
+        F.when(F.col("id") % 4 == 0, -1).otherwise(F.col("id")).alias("skewed"), F.col("id").alias("unique")
+    )
+    left = op.narrowed(df, ["skewed"])
+    assert left.distinct().count() < 50 and left.where("skewed = -1").count() == 5000
+    assert op.narrowed(df, ["unique"]).count() == 20_000
+
+
+def test_null_is_no_candidate_in_cells(spark):
+    with pytest.raises(ValueError, match="no candidate"):
+        op.column_modes(spark.range(3), ["id"], include_null=True, cells=8)
