@@ -571,47 +571,45 @@ def test_simhash_groups(docs_of, no_docs):
 # 9 ---------------------------------------------------------------------------
 
 
-def scores_by_hand(data, tree_of, vocabulary):
-    """Base and score of every text, from the kept contexts, token by token."""
-    tree, parts = tree_of
-    counts = Counter()
-    for d, t in data:
-        if zlib.crc32(str(d).encode()) % 5 != 1:
-            counts.update([*(t or "").encode().lower().split(), b"\n"])
+def tree_by_hand(texts, least):
+    """Kept contexts as (rest, listed log10 probabilities), and the root's price of a token."""
+    runs, counts = Counter(), Counter()
+    for t in texts:
+        tokens = ["<s>", *(t or "").encode().lower().split(), b"\n"]
+        counts.update(tokens[1:])
+        for k in range(1, suffix_tree.DEPTH + 2):
+            runs.update(tuple(tokens[i : i + k]) for i in range(len(tokens) - k + 1))
     total, kinds = sum(counts.values()), len(counts)
     price = lambda w: math.log10((counts[w] + 0.5) / (total + 0.5 * (kinds + 1)))
-    numbers = vocabulary.numbers()
-    names = {i: w for w, i in numbers.items()} | {vocabulary.start: None}
-    low = (1 << suffix_tree.BITS) - 1
+    follows = {}
+    for run, n in runs.items():
+        if len(run) > 1 and n >= least:
+            follows.setdefault(run[:-1], {})[run[-1]] = n
     kept = {}
-    for k, (codes, at) in enumerate(zip(tree.places, tree.rows, strict=True), 1):
-        for code, row in zip(codes.tolist(), at.tolist(), strict=True):
-            digits = [code >> suffix_tree.BITS * i & low for i in reversed(range(k // 2 + k % 2))]
-            run = [x for p in digits[: k // 2] for x in parts[p]] + digits[k // 2 :]
-            kept[tuple(names[i] for i in run)] = row
-    listed = {}
-    for code, p in zip(tree.listed.tolist(), tree.logs.tolist(), strict=True):
-        listed.setdefault(code >> suffix_tree.BITS, {})[names[code & low]] = p
 
     def chance(context, w):
-        for n in range(min(len(context), suffix_tree.DEPTH), 0, -1):
-            row = kept.get(tuple(context[-n:]))
-            if row is not None:
-                return listed[row][w] if w in listed.get(row, {}) else tree.rest[row] + chance(context[len(context) - n + 1 :], w)
+        for i in range(len(context)):
+            if context[i:] in kept:
+                rest, listed = kept[context[i:]]
+                return listed[w] if w in listed else rest + chance(context[i + 1 :], w)
         return price(w)
 
-    for d, t in data:
-        tokens = [*(t or "").encode().lower().split(), b"\n"]
-        before = [None]
-        base = score = 0.0
-        for w in tokens:
-            base += price(w)
-            score += chance(before, w)
-            before.append(w)
-        yield d, len(tokens), sum(counts[w] > 0 for w in tokens), total, base, score
-
-
-def test_suffix_tree_by_brute_force(spark, docs_of):
+    for context in sorted(follows, key=len):
+        found, seen = follows[context], max(runs[context], sum(follows[context].values()))
+        left = seen - sum(found.values())
+        rest = math.log10((left + suffix_tree.SHORTER) / (seen + suffix_tree.SHORTER))
+        saved, listed = left * rest, {}
+        for w, n in found.items():
+            below = chance(context[1:], w)
+            listed[w] = math.log10(n / (seen + suffix_tree.SHORTER) + 10 ** (rest + below))
+            saved += n * (listed[w] - below)
+        bits = saved / math.log10(2)
+        if bits >= suffix_tree.GAIN and bits >= suffix_tree.GAIN_EACH * seen:
+            kept[context] = (rest, listed)
+    return kept, price, chance, counts, total
+
+
+def tree_texts():
     rng = np.random.default_rng(9)
     words = [f"v{i}" for i in range(60)]
     data = []
@@ -619,46 +617,83 @@ def test_suffix_tree_by_brute_force(spark, docs_of):
         w = list(rng.choice(words, rng.integers(0, 30)))
         if d % 2:
             w += "All rights are reserved by the village of the old bridge".split()
+        # What follows is told by the word three, four and five places before.
+        x = d % 3
+        w += f"p{x} a b q{x} r{x} c d e s{x} t{x} f g h i u{x}".split()
         data.append((d, " ".join(w + [f"rare{d}"])))
-    data += [(1001, None), (1002, ""), (1003, "All rights are v1 v2 unseen"), (1004, "all rights")]
-    docs = docs_of(data, extra=True)
+    return data + [(1001, None), (1002, ""), (1003, "All rights are v1 v2 unseen"), (1004, "all rights")]
+
+
+@pytest.mark.parametrize(("least", "told"), [(8, 1_000_000), (8, 60), (8, 0), (4, 200)])
+def test_suffix_tree_by_brute_force(spark, docs_of, least, told):
+    """The divergence test, the chains and the joins, with all, some or none of the contexts told."""
+    data = tree_texts()
     held = compression.held_out("doc_id", 5, 1)
-    train = docs.where(~held)
-    vocabulary = suffix_tree.fit_vocabulary(suffix_tree.word_counts(train))
-    tree = suffix_tree.fit_tree(train, vocabulary)
-    low = (1 << suffix_tree.BITS) - 1
-    parts = [(c >> suffix_tree.BITS, c & low) for c in tree.pairs.tolist()]
-    assert [len(p) for p in tree.places][1:4] != [0, 0, 0]
-    got = {r["doc_id"]: r for r in suffix_tree.suffix_tree_scores(docs, held).collect()}
-    for d, n, known, total, base, score in scores_by_hand(data, (tree, parts), vocabulary):
+    learned = [t for d, t in data if zlib.crc32(str(d).encode()) % 5 != 1]
+    kept, price, chance, counts, total = tree_by_hand(learned, least)
+    assert len({len(c) for c in kept}) == suffix_tree.DEPTH
+    docs = docs_of(data, extra=True)
+    got = {r["doc_id"]: r for r in suffix_tree.suffix_tree_scores(docs, held, least=least, told=told).collect()}
+    assert len(got) == len(data)
+    for d, t in data:
+        tokens = [*(t or "").encode().lower().split(), b"\n"]
+        before, score = ("<s>",), 0.0
+        for w in tokens:
+            score += chance(before[-suffix_tree.DEPTH :], w)
+            before += (w,)
         r = got[d]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, total)
-        assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(score)
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(tokens), sum(counts[w] > 0 for w in tokens), total)
+        assert r["base_score"] == pytest.approx(sum(map(price, tokens))) and r["score"] == pytest.approx(score)
         assert r["held_out"] == (zlib.crc32(str(d).encode()) % 5 == 1)
     gain = [r["score"] - r["base_score"] for r in got.values() if r["held_out"] and r["doc_id"] % 2 and r["doc_id"] < 400]
     assert min(gain) > 5
 
 
-def test_contexts_share_out_all_mass(docs_of):
-    data = [(d, "a b c a b d " * 3) for d in range(60)]
+def test_all_frequent_runs_are_found(spark, docs_of):
+    data = tree_texts()
     docs = docs_of(data)
-    vocabulary = suffix_tree.fit_vocabulary(suffix_tree.word_counts(docs))
-    tree = suffix_tree.fit_tree(docs, vocabulary)
-    price = 10.0 ** vocabulary.prices()
-    unknown = 10.0 ** (math.log10(0.5) - vocabulary.floor)
-    assert price.sum() + unknown == pytest.approx(1)
-    masses = []
-    for row in range(len(tree.rest)):
-        mine = {c & ((1 << suffix_tree.BITS) - 1): p for c, p in zip(tree.listed.tolist(), tree.logs.tolist(), strict=True) if c >> suffix_tree.BITS == row}
-        here, rest, seen = tree.shorter[row], tree.rest[row], {k: 10.0**p for k, p in mine.items()}
-        while here >= 0:
-            own = {c & ((1 << suffix_tree.BITS) - 1): p for c, p in zip(tree.listed.tolist(), tree.logs.tolist(), strict=True) if c >> suffix_tree.BITS == here}
-            seen = {**{k: 10.0 ** (p + rest) for k, p in own.items()}, **seen}
-            rest += tree.rest[here]
-            here = tree.shorter[here]
-        others = sum(p for k, p in enumerate(price) if k not in seen) + unknown
-        masses.append(sum(seen.values()) + 10.0**rest * others)
-    assert masses and np.allclose(masses, 1)
+    words = suffix_tree.word_counts(docs).select(F.xxhash64("word").alias("h"), "c")
+    runs = Counter()
+    for _, t in data:
+        tokens = [suffix_tree.START, *(t or "").encode().lower().split(), suffix_tree.END]
+        for k in range(2, suffix_tree.DEPTH + 2):
+            runs.update(tuple(tokens[i : i + k]) for i in range(len(tokens) - k + 1))
+
+    def named(run):
+        hashes = np.array([suffix_tree.token_hash(w) for w in run], np.uint64)
+        return int(suffix_tree.window_hashes(hashes, len(run), suffix_tree._BASE).view(np.int64)[0])
+
+    one = lambda w: int(np.uint64(suffix_tree.token_hash(w)).astype(np.int64))
+    short = lambda run: named(run) if len(run) > 1 else one(run[0])
+    want = {(len(r), named(r), n, short(r[:-1]), short(r[1:]), one(r[-1])) for r, n in runs.items() if n >= 6}
+    assert set(map(tuple, suffix_tree.frequent_runs(docs, words, 6).collect())) == want
+
+
+def test_a_filter_loses_none(spark):
+    rng = np.random.default_rng(1)
+    hashes = rng.integers(-(1 << 63), 1 << 63, 5000)
+    table = spark.createDataFrame([(int(h),) for h in hashes], "h bigint")
+    other = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
+    for most in (26, 12):
+        found = suffix_tree.filter_of(table, "h", most)
+        assert found.passes(hashes.view(np.uint64)).all()
+        assert found.passes(other).mean() < (0.02 if most == 26 else 1.0)
+    assert not suffix_tree.filter_of(table.limit(0), "h").passes(other).any()
+
+
+def test_contexts_share_out_all_mass(docs_of):
+    """Under any context the probabilities of all known tokens and an unknown one add up to one."""
+    texts = ["a b c a b d " * 3] * 60 + ["b a d c"] * 9
+    kept, price, chance, counts, _ = tree_by_hand(texts, 8)
+    unknown = price(b"never")
+    for context in kept:
+        assert sum(10 ** chance(context, w) for w in counts) + 10 ** chance(context, b"never") == pytest.approx(1)
+    assert len(kept) > 3 and unknown < 0
+    docs = docs_of(list(enumerate(texts)))
+    got = suffix_tree.suffix_tree_scores(docs, F.lit(False), least=8).collect()
+    tokens = [*texts[0].encode().split(), b"\n"]
+    want = sum(chance(("<s>", *tokens[:i])[-suffix_tree.DEPTH :], w) for i, w in enumerate(tokens))
+    assert got[0]["score"] == pytest.approx(want)
 
 
 def test_suffix_tree_edges(edge_docs, no_docs):
