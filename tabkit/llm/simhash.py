@@ -110,11 +110,15 @@ def within(queries: np.ndarray, bits: np.ndarray, radius: int, skip: np.ndarray
         over |= carry
         if k % LOOK == LOOK - 1 and (over == ~np.uint64(0)).all():
             break
-    distance = np.zeros((len(queries), planes.shape[1] * 64), np.int64)
-    unpack = lambda x: np.unpackbits(x.view(np.uint8), axis=1, bitorder="little")
-    for d in range(digits):
-        distance += unpack(counter[d]).astype(np.int64) << d
-    near = (distance <= radius) & (unpack(over) == 0)
+    # Digit by digit from the highest, is the counter larger than the radius?
+    same = np.full_like(over, ~np.uint64(0))
+    for d in reversed(range(digits)):
+        if radius >> d & 1:
+            same &= counter[d]
+        else:
+            over |= same & counter[d]
+            same &= ~counter[d]
+    near = np.unpackbits(over.view(np.uint8), axis=1, bitorder="little") == 0
     return near[:, : len(bits)]
 
 

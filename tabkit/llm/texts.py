@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 # Distinct words a task keeps the hashes of before it forgets them all.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 120_000
 
 
 def words_of(text: str | None) -> list[bytes]:
