@@ -1,13 +1,15 @@
 """Substring dedup: passages that stand in an earlier document go.
 
 A passage is a window of a number of words.  Windows are found level by level:
-what is not repeated at half the length cannot be repeated at the whole, so only
-windows repeated at one length are extended to twice that length.  The last length
-is the one asked for; longer windows cover no word that those do not.
-
-At the first level one short window speaks for many long ones: that with the
-smallest hash among the short windows inside a long one.  Equal long windows choose
-equal short ones, so no repeat is lost, and a fourteenth of all windows is compared.
+what is not repeated at one length cannot be repeated at twice that, so only
+windows repeated at one length are extended to twice that length, until no
+candidate survives or the length asked for is reached; longer windows cover no word
+that those do not.
+
+At a level below the last, one short window speaks for many long ones: that with
+the smallest hash among the short windows inside a long one.  Equal long windows
+choose equal short ones, so no repeat is lost, and a few in a hundred of all
+windows are compared.
 """
 
 from __future__ import annotations
@@ -22,10 +24,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabkit.llm.filters import Filter, filter_of
 from tabkit.llm.quality import docs_key_type
 from tabkit.llm.texts import WordHashes, columns_batch, in_arrow, window_hashes, words_of
 from tabkit.sources import store
 
+#: Windows of the first level have this many words or more, but for sizes below twice that.
+SHORTEST = 12
 _SHORT, _LONG, _LONG2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -39,14 +44,21 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(run[:n], run[width - span : width - span + n])
 
 
-def chosen(hashes: np.ndarray, size: int) -> np.ndarray:
-    """For each window of ``size`` words the hash of the half-size window that speaks for it."""
-    half = size // 2
+def levels(size: int) -> list[int]:
+    """The lengths, each at most twice the one before, up to ``size``; two or more."""
+    out = [size, -(-size // 2)]
+    while out[-1] >= 2 * SHORTEST:
+        out.append(-(-out[-1] // 2))
+    return out[::-1]
+
+
+def chosen(hashes: np.ndarray, size: int, part: int) -> np.ndarray:
+    """For each window of ``size`` words the hash of the window of ``part`` words that speaks for it."""
     if len(hashes) < size:
         return np.zeros(0, np.uint64)
-    short = window_hashes(hashes, half, _SHORT)
+    short = window_hashes(hashes, part, _SHORT)
     short = (short ^ (short >> np.uint64(29))) * _MIX
-    return sliding_min(short, size - half + 1)
+    return sliding_min(short, size - part + 1)
 
 
 def long_hashes(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +83,8 @@ def _given(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _looked_at(docs: DataFrame, size: int) -> DataFrame:
-    """A row per row: its words' number and digests, and the chosen short windows."""
+    """A row per row: its words' number and digests, and the chosen windows of the first level."""
+    part = levels(size)[0]
     arrow = pa.schema(
         [("key", docs_key_type(docs, "key")), ("did", pa.int64()), ("print", pa.int64()), ("n_words", pa.int64()),
          ("whole", pa.string()), ("content", pa.binary()), ("short", pa.list_(pa.int64()))]
@@ -84,7 +97,7 @@ def _looked_at(docs: DataFrame, size: int) -> DataFrame:
             rows = []
             for k, did, mark, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = words_of(t)
-                found = np.unique(chosen(hashes.of(words), size)) if len(words) >= size else np.zeros(0, np.uint64)
+                found = np.unique(chosen(hashes.of(words), size, part)) if len(words) >= size else np.zeros(0, np.uint64)
                 content = xxhash.xxh3_128_digest(b" ".join(words))
                 rows.append((k, did, mark, len(words), _digest(words), content, found.view(np.int64)))
             yield columns_batch(zip(*rows, strict=True), arrow)
@@ -101,6 +114,7 @@ def _looked_at(docs: DataFrame, size: int) -> DataFrame:
 
 def _windows(flagged: DataFrame, size: int) -> DataFrame:
     """Texts with the hashes of those long windows whose short one is repeated."""
+    part = levels(size)[-2]
     arrow = pa.schema(
         [("did", pa.int64()), ("print", pa.int64()), ("text", pa.string()), ("high", pa.list_(pa.int64())),
          ("low", pa.list_(pa.int64())), ("start", pa.list_(pa.int32()))]
@@ -113,7 +127,7 @@ def _windows(flagged: DataFrame, size: int) -> DataFrame:
             rows = []
             for did, mark, t, short in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = hashes.of(words_of(t))
-                good = np.flatnonzero(np.isin(chosen(words, size), np.array(short, np.int64).view(np.uint64)))
+                good = np.flatnonzero(np.isin(chosen(words, size, part), np.array(short, np.int64).view(np.uint64)))
                 high, low = (h[good].view(np.int64) for h in long_hashes(words, size))
                 rows.append((did, mark, t, high, low, good.astype(np.int32)))
             yield columns_batch(zip(*rows, strict=True), arrow)
@@ -161,9 +175,42 @@ def _repeated(windows: DataFrame, keys: list[str], name: str) -> DataFrame:
     return store(seen.where(F.col("first") < F.col("last")).drop("last"), name)
 
 
+def _extended(given: DataFrame, known: Filter, size: int, part: int, longer: int) -> DataFrame:
+    """``(did, print, short)``: chosen windows of ``longer`` words, where that of ``part`` words may be repeated."""
+    arrow = pa.schema([("did", pa.int64()), ("print", pa.int64()), ("short", pa.list_(pa.int64()))])
+    told = given.sparkSession.sparkContext.broadcast(known)
+
+    def make():
+        hashes, passing = WordHashes(), told.value
+
+        def step(batch) -> Iterator[pa.RecordBatch]:
+            rows = []
+            for did, mark, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = hashes.of(words_of(t))
+                good = passing.passes(chosen(words, size, part))
+                if good.any():
+                    rows.append((did, mark, np.unique(chosen(words, size, longer)[good]).view(np.int64)))
+            if rows:
+                yield columns_batch(zip(*rows, strict=True), arrow)
+
+        return step
+
+    return in_arrow(given.select("did", "print", "text"), make, "did bigint, print bigint, short array<bigint>")
+
+
 def _candidates(given: DataFrame, rows: DataFrame, size: int) -> DataFrame:
-    """The long windows of ``rows`` whose short window is repeated, with their texts."""
-    short = rows.select("did", "print", F.explode("short").alias("hash"))
+    """The long windows of ``rows`` whose windows at all levels below are repeated, with their texts.
+
+    A level is a pass over the texts that extends what the level before found
+    repeated; which windows those are goes to the tasks as a filter, and what it
+    lets pass beyond them is found out at the next level.
+    """
+    lengths, lists = levels(size), rows.select("did", "print", "short")
+    for part, longer in zip(lengths, lengths[1:-1], strict=False):
+        again = _repeated(lists.select("did", F.explode("short").alias("hash")), ["hash"], "short")
+        longer_ones = _extended(given, filter_of(again, "hash"), size, part, longer)
+        lists = store(longer_ones.join(rows.select("did", "print"), ["did", "print"], "left_semi"), "lists")
+    short = lists.select("did", "print", F.explode("short").alias("hash"))
     again = _repeated(short, ["hash"], "short").select("hash")
     flagged = store(
         short.join(again, "hash").groupBy("did", "print").agg(F.collect_set("hash").alias("short")), "flagged"

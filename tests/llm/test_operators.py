@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tabkit.llm import (
     compression,
+    filters,
     language,
     mixing,
     packing,
@@ -116,8 +117,15 @@ def without_repeats(data, size):
         yield d, len(w), len(gone), hashlib.sha256(kept).hexdigest()
 
 
-@pytest.mark.parametrize("size", [2, 5, 8])
-def test_substrings_by_brute_force(spark, size):
+def test_levels_double():
+    assert substrings.levels(50) == [13, 25, 50]
+    assert substrings.levels(200) == [13, 25, 50, 100, 200]
+    assert substrings.levels(5) == [3, 5] and substrings.levels(2) == [1, 2]
+
+
+@pytest.mark.parametrize(("size", "shortest"), [(2, 12), (5, 12), (8, 12), (8, 2), (9, 1)])
+def test_substrings_by_brute_force(spark, size, shortest, monkeypatch):
+    monkeypatch.setattr(substrings, "SHORTEST", shortest)
     rng = np.random.default_rng(size)
     passage = [f"p{i}" for i in range(20)]
     data = []
@@ -666,7 +674,7 @@ def test_all_frequent_runs_are_found(spark, docs_of):
     one = lambda w: int(np.uint64(suffix_tree.token_hash(w)).astype(np.int64))
     short = lambda run: named(run) if len(run) > 1 else one(run[0])
     want = {(len(r), named(r), n, short(r[:-1]), short(r[1:]), one(r[-1])) for r, n in runs.items() if n >= 6}
-    assert set(map(tuple, suffix_tree.frequent_runs(docs, words, 6).collect())) == want
+    assert set(map(tuple, suffix_tree.frequent_runs(docs, words, 6)[0].collect())) == want
 
 
 def test_a_filter_loses_none(spark):
@@ -675,10 +683,10 @@ def test_a_filter_loses_none(spark):
     table = spark.createDataFrame([(int(h),) for h in hashes], "h bigint")
     other = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
     for most in (26, 12):
-        found = suffix_tree.filter_of(table, "h", most)
+        found = filters.filter_of(table, "h", most)
         assert found.passes(hashes.view(np.uint64)).all()
         assert found.passes(other).mean() < (0.02 if most == 26 else 1.0)
-    assert not suffix_tree.filter_of(table.limit(0), "h").passes(other).any()
+    assert not filters.filter_of(table.limit(0), "h").passes(other).any()
 
 
 def test_contexts_share_out_all_mass(docs_of):
