@@ -66,6 +66,22 @@ def test_parts_grow_with_the_rows(spark, monkeypatch):
     assert op.fit_features(df.where("id < 0"), ["kind"], "answer").parts == forest.PARTS
 
 
+def test_many_equal_rows_are_drawn_together(spark, monkeypatch):
+    df = mixed(spark, 4000)
+    assert op.fit_features(df, ["kind"], "answer", numeric=["x"]).drawn == 1
+    monkeypatch.setattr(forest, "DRAWS", 100)
+    features = op.fit_features(df, ["kind"], "answer", numeric=["x"])
+    assert features.drawn > 1
+    ready = op.apply_features(features, df)
+    cells = [vector_to_array("features").alias("x"), "label"]
+    dealt = op.deal(ready, features).select(*cells, "weight")
+    want = ready.select(*cells).groupBy("x", "label").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    got = dealt.groupBy("x", "label").agg(F.sum("weight").alias("n"))
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert dealt.count() <= 100 + want.count()
+    assert dealt.agg(F.max("weight")).head()[0] == features.drawn
+
+
 @pytest.mark.parametrize("unseen", ["keep", "error"])
 def test_scaling_is_that_of_the_min_max_scaler(spark, unseen):
     df = mixed(spark).withColumn("flat", F.lit(7.5)).withColumn("whole", (F.col("id") % 17).cast("int"))
