@@ -82,6 +82,17 @@ def test_many_equal_rows_are_drawn_together(spark, monkeypatch):
     assert dealt.agg(F.max("weight")).head()[0] == features.drawn
 
 
+def test_rows_are_drawn_one_by_one_at_any_size(spark):
+    n = 4_100_000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("kind"), F.when(F.col("id") % 3 == 0, "no").otherwise("yes").alias("answer")
+    )
+    features = op.fit_features(df, ["kind"], "answer")
+    assert features.drawn == 1
+    found = op.deal(op.apply_features(features, df), features).agg(F.count(F.lit(1)), F.min("weight"), F.max("weight")).head()
+    assert tuple(found) == (n, 1.0, 1.0)
+
+
 @pytest.mark.parametrize("unseen", ["keep", "error"])
 def test_scaling_is_that_of_the_min_max_scaler(spark, unseen):
     df = mixed(spark).withColumn("flat", F.lit(7.5)).withColumn("whole", (F.col("id") % 17).cast("int"))
