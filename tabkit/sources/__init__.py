@@ -1,4 +1,4 @@
-from tabkit.sources.scratch import cleared, settle, shared_dir, shared_path, store
+from tabkit.sources.scratch import cleared, settle, shared_dir, shared_path, shuffles_removed, store
 from tabkit.sources.tables import matrix_frame, preview, read_csv_text, read_table
 
 __all__ = [
@@ -10,5 +10,6 @@ __all__ = [
     "settle",
     "shared_dir",
     "shared_path",
+    "shuffles_removed",
     "store",
 ]

@@ -14,6 +14,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
+from tabkit import sources
 from tabkit.llm import (
     compression,
     filters,
@@ -746,6 +747,43 @@ def test_runs_of_each_length_are_counted_once(spark, docs_of, monkeypatch):
     assert sorted(counted) == list(range(2, suffix_tree.DEPTH + 2))
 
 
+def test_a_large_tree_stores_no_rows_of_tokens(spark, docs_of, monkeypatch):
+    """A tree beyond ``told`` is looked up part by part, and scores are those of a whole one to the last bit."""
+    stored = []
+    plain = suffix_tree.store
+    monkeypatch.setattr(suffix_tree, "store", lambda df, name: stored.append((name, plain(df, name))) or stored[-1][1])
+    monkeypatch.setattr(suffix_tree, "TOGETHER", 2000)
+    docs, got = docs_of(tree_texts()), {}
+    for told, held in ((1_000_000, 1), (60, 1), (60, 1500)):
+        monkeypatch.setattr(suffix_tree, "LOOKED_UP", held)
+        got[told, held] = sorted(map(repr, suffix_tree.suffix_tree_scores(docs, F.lit(False), least=8, told=told).collect()))
+    assert len({tuple(x) for x in got.values()}) == 1
+    assert [name for name, _ in stored].count("told") == 4
+    assert not {"open", "rests", "gains"} & {name for name, _ in stored}
+    for name, table in stored:
+        if name == "scored":
+            assert table.columns == ["row", "key", "held_out", "n_tokens", "n_known", "base", "gain", "cold"]
+
+
+def test_shuffle_files_go_with_each_step(spark):
+    place = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        return {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(place.getAllFiles()) if f.getName().startswith("shuffle_")}
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was, before = spark.conf.get(name, None), shuffles()
+    with sources.shuffles_removed(spark):
+        kept = sources.store(spark.range(5000).groupBy(F.xxhash64("id").alias("h")).count(), "counts")
+        assert spark.conf.get(name) == "true"
+    for _ in range(50):
+        if not shuffles() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffles() - before and kept.count() == 5000
+    assert spark.conf.get(name, None) == was
+
+
 def test_words_of_a_column_are_those_of_each_text():
     rng = np.random.default_rng(4)
     letters = list(" \t\n\x0b\x0c\r\x1c\x85\xa0\u2028AZaz\x00\u00c4\u0130\u212a")
